@@ -8,8 +8,44 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import neardup, packing
-from quotemill.llm.common import table
+from quotemill.llm import chat, decontamination, neardup, packing, quality, secrets, sharding, tokencount
+from quotemill.llm.common import table, text_or_empty
+
+
+def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    verdicts = quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "scale")
+
+
+def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of unigram tokens of every document."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _chat_events(conversations: DataFrame) -> DataFrame:
+    """The rows as a log of one event per message, and the conversation -7."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "role", text_or_empty().alias("text"))
+    said = r"\### Assistant: </turn> ok"
+    spark = conversations.sparkSession
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return rows.unionByName(own).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message_id"), "role", "text")
+
+
+def op5_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, read back from the formatted text."""
+    done = chat.formatted(_chat_events(table(spark, sf_dir, "conversations")))
+    turns = chat.read_back(F.col("formatted"))
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = done.select("conv_id", "formatted", turns.alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,14 +53,69 @@ def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SHARD_NAMES = tuple(f"shard-{k:03d}" for k in range(sharding.SHARDS))
+
+
+def op7_permutation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return sharding.placed(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARD_NAMES)
+
+
 def op8_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in every document."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each document one version of one path."""
+    docs = table(spark, sf_dir, "documents")
+    found, _ = secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
+    base = F.filter("findings", lambda f: f["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(secrets.joined_spans(base).cast("binary"), 256).alias("base_sha256")
+    return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), digest, secrets.joined_spans(F.col("findings")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_dart_minhash": op6_dart_minhash,
-    "op8_tournament_packing": op8_tournament_packing,
+    f.__name__: f
+    for f in (
+        op1_risk_controlled_rules,
+        op3_unigram_counts,
+        op5_event_sourced_chat,
+        op6_dart_minhash,
+        op7_permutation_table,
+        op8_tournament_packing,
+        op9_bm25_wand,
+        op10_blob_ledger,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+#: Query 5: the same digests from the rows, the formatted length from the escapes' growth.
+_OP5 = r"""
+with rows as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+sized as (
+  select *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')) as body from rows)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(4 + length(role) + 2 + body + 8)::bigint as formatted_chars
+from sized group by conv_id
+"""
+_SLOT = f"cast(('0x' || substr(md5(cast(doc_id as varchar)), 1, 15)) as bigint) % {sharding.TABLE_SIZE}"
+#: Query 7: the filled table as a list; tests check it against another way of filling.
+_OP7 = f"""
+select doc_id, slot, 'shard-' || lpad(cast(list_extract(filled, (slot + 1)::int) as varchar), 3, '0') as shard
+from (select doc_id, {_SLOT} as slot from documents),
+  (select {sharding.lookup_table(SHARD_NAMES)} as filled)
+"""
+ORACLE_SQL: dict[str, str] = {"op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7}
