@@ -198,3 +198,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = rows.mapInArrow(run, HITS)
         out = hits if out is None else out.unionByName(hits)
     return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the rows in which some item is found, all columns as they are; rows with null ids or texts included."""
+    kept = docs
+    for index in index_blocks(benchmark):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not t or not sent.value.search(t) for t in batch["text"].to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        kept = kept.mapInArrow(run, docs.schema)
+    return kept

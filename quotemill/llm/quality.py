@@ -159,7 +159,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
     table = cutoffs(signals, labels, risk, delta)
     judged = signals.join(table, "stratum", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("badness") > F.col("scale"), F.lit(False))
-    return judged.select("doc_id", *COUNTS, "base_failed", "stratum", "badness", "scale", kept.alias("kept"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "stratum", "badness", "scale", kept.alias("kept"), "text_key")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that the verdict keeps, all columns as they are."""
+    verdicts = quality_verdicts(docs, labels, stratum, risk, delta).filter("kept")
+    keys = verdicts.select(F.col("doc_id").alias("_id"), F.col("stratum").alias("_stratum"), F.col("text_key").alias("_key"))
+    here = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key")) & (here == F.col("_stratum"))
+    return docs.join(keys, same, "left_semi")
 
 
 def with_base(signals: DataFrame) -> DataFrame:

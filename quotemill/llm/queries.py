@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontamination, neardup, packing, quality, secrets, sharding, tokencount
+from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, secrets, sharding, tokencount, toxicity
 from quotemill.llm.common import table, text_or_empty
 
 
@@ -18,11 +18,21 @@ def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "badness", "scale")
 
 
+def op2_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return htmltext.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of unigram tokens of every document."""
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _chat_events(conversations: DataFrame) -> DataFrame:
     """The rows as a log of one event per message, and the conversation -7."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "role", text_or_empty().alias("text"))
@@ -50,7 +60,7 @@ def op5_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near-duplicates of every document."""
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "is_first")
 
 
 SHARD_NAMES = tuple(f"shard-{k:03d}" for k in range(sharding.SHARDS))
@@ -86,7 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_risk_controlled_rules,
+        op2_minimum_cut,
         op3_unigram_counts,
+        op4_positive_unlabelled,
         op5_event_sourced_chat,
         op6_dart_minhash,
         op7_permutation_table,
