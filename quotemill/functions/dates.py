@@ -47,10 +47,12 @@ def minute_label(index: Column, afternoon: int = 120) -> Column:
 
 
 def vendor_time(c: Column) -> Column:
-    """H:MM:SS.mmm of the vendor's quote time, whose last six digits count fractions of an hour's minutes."""
+    """H:MM:SS.mmm of the vendor's quote time: hours before the last six digits. Those are mm and a fraction of a minute, or, if mm
+    is no minute, a fraction of the hour."""
     hour, rest = F.floor(c / 1_000_000), c % 1_000_000
-    minute = F.when(rest < 600_000, F.floor(rest / 10_000)).otherwise(F.floor(rest * 60 / 1_000_000))
-    second = F.when(rest < 600_000, (rest % 10_000) * 60 / 10_000).otherwise((rest * 60 % 1_000_000) * 60 / 1_000_000)
+    plain = rest < 600_000
+    minute = F.when(plain, F.floor(rest / 10_000)).otherwise(F.floor(rest * 60 / 1_000_000))
+    second = F.when(plain, (rest % 10_000) * 60 / 10_000).otherwise((rest * 60 % 1_000_000) * 60 / 1_000_000)
     return F.format_string("%d:%02d:%06.3f", hour, minute, second.cast("double"))
 
 

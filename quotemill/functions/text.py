@@ -63,24 +63,24 @@ def mapped(c: Column, names: dict[str, str], otherwise: Column | None = None) ->
 
 #: Fixed names of the relay status codes, as sources write them.
 RELAY_STATUS = {
+    "连板": "promoted",
     "promoted": "promoted",
-    "晋级": "promoted",
+    "平板": "sealed",
     "sealed": "sealed",
-    "涨停": "sealed",
+    "断板": "broken",
     "broken": "broken",
-    "炸板": "broken",
+    "炸板": "open_limit",
     "open_limit": "open_limit",
-    "开板": "open_limit",
-    "limit_down": "limit_down",
     "跌停": "limit_down",
-    "failed": "failed",
-    "断板": "failed",
-    "unknown": "unknown",
-    "未知": "unknown",
+    "limit_down": "limit_down",
+    "停牌": "suspended",
+    "suspended": "suspended",
     "": "unknown",
+    "未知": "unknown",
+    "unknown": "unknown",
 }
 
 
 def relay_status(c: Column) -> Column:
     """One of seven codes; null for a name that is not known, which callers must reject."""
-    return mapped(F.lower(F.trim(F.coalesce(c, F.lit("")))), RELAY_STATUS)
+    return mapped(F.trim(F.coalesce(c, F.lit(""))), RELAY_STATUS)
