@@ -41,7 +41,7 @@ def alias_list(c: Column) -> Column:
 
 
 def ordered_unique(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def symbol_market(c: Column) -> Column:
