@@ -26,8 +26,8 @@ from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles, weighted_
 SIMILARITY = 0.8
 #: 24 bands of 7 coordinates: two texts of similarity 0.8 share a bucket with probability 0.9965, of 0.85 with 0.9999.
 BANDS, ROWS = 24, 7
-#: Leaders of a bucket that are compared in each round after the first.
-LEADERS_A_ROUND = 32
+#: Leaders of a bucket that are compared in the second round, and how many times more in each later one.
+LEADERS, MORE_LEADERS = 16, 16
 
 _U = np.uint64
 
@@ -81,27 +81,65 @@ def band_codes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-def buckets_of(texts: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(node, bucket) of every text with a word; a task gives each node once, whatever its copies."""
+def sketch_columns(k: int) -> list[str]:
+    return [f"s{i}" for i in range(-(-k // 16))]
+
+
+def signatures(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+    """(node, weight, buckets, s0, s1, ...) of every text with a word; a task gives each node once, whatever its copies.
+
+    weight is the number of shingles; the last columns pack four bits of every coordinate, sixteen to a long.
+    """
+    names = sketch_columns(bands * rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                nodes, codes = [], []
+                nodes, codes, weights, sketches = [], [], [], []
                 for node, text in zip(part["node"].to_pylist(), part["text"].to_pylist(), strict=True):
                     if node in seen:
                         continue
                     seen.add(node)
                     element, count = shingles(text, size)
                     if len(element):
+                        signature = dart_minhash(element, count.astype(np.float64), bands * rows)
                         nodes.append(node)
-                        codes.append(band_codes(dart_minhash(element, count.astype(np.float64), bands * rows), bands, rows))
+                        weights.append(int(count.sum()))
+                        codes.append(band_codes(signature, bands, rows))
+                        sketches.append(sketch(signature))
                 if nodes:
-                    yield pa.record_batch({"node": pa.array(np.repeat(np.array(nodes, object), bands), pa.binary()), "bucket": pa.array(np.concatenate(codes), pa.int64())})
+                    packed = {n: pa.array(c, pa.int64()) for n, c in zip(names, np.array(sketches).T, strict=True)}
+                    yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "weight": pa.array(weights, pa.int64()), "buckets": pa.array(codes, pa.list_(pa.int64()))} | packed)
+
+    return texts.select("node", "text").mapInArrow(run, ", ".join(["node binary, weight long, buckets array<long>", *(f"{n} long" for n in names)]))
+
+
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen to a signed 64-bit number, the last filled with zeros."""
+    bits = np.zeros(-(-len(signature) // 16) * 16, _U)
+    bits[: len(signature)] = signature >> _U(32) & _U(15)
+    return (bits.reshape(-1, 16) << (_U(4) * np.arange(16, dtype=_U))).sum(axis=1, dtype=_U).astype(np.int64)
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, bucket long")
+
+def may_reach(similarity: float, k: int, one: str = "x", other: str = "y") -> F.Column:
+    """Whether two signatures (structs with weight and sketch) can belong to texts of the similarity.
+
+    The smaller over the larger weight bounds it exactly. Of k coordinates, those that differ in four bits are binomial; more
+    than 4.5 standard deviations above what the similarity gives happens to one link in 300,000, a thousandth of what
+    the bands lose.
+    """
+    differ = (1 - similarity) * 15 / 16
+    most = k * differ + 4.5 * (k * differ * (1 - differ)) ** 0.5
+    lengths = F.least(f"{one}.weight", f"{other}.weight") >= F.lit(similarity) * F.greatest(f"{one}.weight", f"{other}.weight")
+    found = F.lit(0)
+    for name in sketch_columns(k):
+        bits = F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}"))
+        for shift in (1, 2):
+            bits = bits.bitwiseOR(F.shiftright(bits, shift))
+        found = found + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+    return lengths & (found <= int(most))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -127,7 +165,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): root is the least node of each connected component of the edges (a, b). Nodes without an edge are absent.
 
-    Alternates large-star and small-star steps until the edges no longer change; each step takes a minimum per node, which
+    Alternates large-star and small-star steps until only stars are left; each step takes a minimum per node, which
     is pre-aggregated, and a join, so a hub's neighbours are never gathered in one place.
     """
 
@@ -141,54 +179,74 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         moved = joined.filter(F.col("v") > F.col("u")) if both else joined.filter(F.col("v") > F.col("m")).unionByName(least.withColumn("v", F.col("u")))
         return moved.filter(F.col("v") > F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))).first())
+    def settled(e: DataFrame) -> bool:
+        """Whether the edges are stars already: no node is the larger end of two, or of one and the smaller end of another."""
+        ends = e.select(F.col("a").alias("n"), F.lit(0).alias("larger")).unionByName(e.select(F.col("b").alias("n"), F.lit(1).alias("larger")))
+        return not ends.groupBy("n").agg(F.sum("larger").alias("up"), F.min("larger").alias("down")).filter("up > 1 or up = 1 and down = 0").limit(1).count()
 
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), label)
-    before, after = None, state(now)
-    while before != after:
+    while not settled(now):
         now = written(stars(stars(now, True), False), label)
-        before, after = after, state(now)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of its class), is_kept (its text is the class's first, and it is that text's first row).
-
-    Needs doc_id and text; other columns are ignored. Texts whose five-word shingles have a weighted Jaccard similarity of at
-    least 0.8 are linked, and classes are what links connect. Words are lower-case runs between white space; a text of fewer
-    than five words is one shingle. Equal texts are always one class, so all empty and null texts are one; of other texts
-    without words each is its own. Repeated rows stay repeated, one of them kept. Null ids sort last and can be kept. An empty
-    table gives no rows.
-    """
+def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
+    """(doc_id, node, root) of every row of docs: its text's node, and the node that stands for the class."""
+    k = bands * rows
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     keyed = keyed.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
+    signed = written(signatures(keyed, bands, rows, size), "signatures")
     inside = Window.partitionBy("bucket")
-    shared = buckets_of(keyed, bands, rows, size).repartition("bucket").dropDuplicates(["bucket", "node"])
+    shared = signed.select("node", F.explode("buckets").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "node"])
     shared = written(shared.withColumn("others", F.count("*").over(inside) - 1).filter("others > 0"), "buckets")
     density = shared.groupBy("node").agg(F.sum("others").alias("density"))
+    profile = signed.dropDuplicates(["node"]).select("node", F.struct("weight", *sketch_columns(k)).alias("x"))
     ordered = Window.partitionBy("bucket").orderBy(F.desc("density"), "node")
-    ranked = shared.join(density, "node").withColumn("rank", F.row_number().over(ordered)).withColumn("leader", F.first("node").over(ordered))
-    ranked = written(ranked.select("bucket", "node", "rank", "leader"), "ranked")
-    first_rows = keyed.join(density.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = written(first_rows, "texts")
+    ranked = shared.select("bucket", "node").join(density, "node").join(profile, "node")
+    ranked = ranked.withColumn("rank", F.row_number().over(ordered)).withColumn("leader", F.first(F.struct("node", "x")).over(ordered))
+    ranked = written(ranked.select("bucket", "node", "x", "rank", F.when(F.col("rank") > 1, F.col("leader")).alias("leader")), "ranked")
+    texts = written(keyed.join(density.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
 
-    edges = written(verified(ranked.filter("rank > 1").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, similarity, size), "edges")
+    led = ranked.filter("rank > 1").select(F.col("leader.node").alias("a"), F.col("node").alias("b"), "x", F.col("leader.x").alias("y")).filter(may_reach(similarity, k))
+    edges = written(verified(led.select("a", "b").distinct(), texts, similarity, size), "edges")
     roots = written(components(edges), "roots")
-    done, last = 1, ranked.agg(F.max("rank")).first()[0] or 0
+    done, more, last = 1, LEADERS, ranked.agg(F.max("rank")).first()[0] or 0
     while done < last:
-        apart = ranked.select("bucket", "node", "rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_up = apart.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
-        apart = apart.join(mixed_up, "bucket", "left_semi")
-        lead = apart.filter((F.col("rank") > done) & (F.col("rank") <= done + LEADERS_A_ROUND)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_a"))
-        member = apart.select("bucket", F.col("node").alias("b"), "rank", "root")
-        pairs = lead.join(member, "bucket").filter("rank > rank_a and root <> root_a").select("a", "b").distinct()
+        apart = ranked.select("bucket", "node", "x", "rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        least = apart.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("rank").alias("size")).filter(f"least < most and size > {done}").select("bucket")
+        apart = written(apart.join(least, "bucket", "left_semi"), "apart")
+        lead = apart.filter((F.col("rank") > done) & (F.col("rank") <= done + more)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_a"), F.col("x").alias("y"))
+        member = apart.select("bucket", F.col("node").alias("b"), "rank", "root", "x")
+        apart_enough = (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & may_reach(similarity, k)
+        pairs = lead.join(member, "bucket").filter(apart_enough).select("a", "b").distinct()
         new = written(verified(pairs, texts, similarity, size), "edges")
+        done, more = done + more, more * MORE_LEADERS
+        last = apart.agg(F.max("rank")).first()[0] or 0
         if new.limit(1).count():
             roots = written(components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)), "roots")
-        done += LEADERS_A_ROUND
-        last = apart.agg(F.max("rank")).first()[0] or 0
 
-    classed = keyed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return keyed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
+    """One row per document: doc_id, class_id (the least doc_id of its class), is_first (its id is that one).
+
+    Needs doc_id and text; other columns are ignored. Texts whose five-word shingles have a weighted Jaccard similarity of at
+    least 0.8 are linked, and classes are what links connect. Words are lower-case runs between white space; a text of fewer
+    than five words is one shingle. Equal texts are always one class, so all empty and null texts are one; of other texts
+    without words each is its own. Repeated rows stay repeated. A class of null ids only has a null class_id. An empty table gives
+    no rows.
+    """
+    classed = classes(docs, similarity, bands, rows, size)
     firsts = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return classed.join(firsts, "root").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("is_first"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return classed.join(firsts, "root").select("doc_id", "class_id", first.alias("is_first"))
+
+
+def first_documents(docs: DataFrame, **settings: float) -> DataFrame:
+    """One row of docs for each class, of the least id in it (null only if all are), all columns as they are; of rows that tie one is taken."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    firsts = classes(docs, **settings).groupBy("root").agg(F.min(key).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
+    here = F.unhex(F.md5(text_or_empty().cast("binary")))
+    tied = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (here == F.col("_node")))
+    return tied.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(0)))).filter("_n = 1").drop("_id", "_node", "_n")
