@@ -234,6 +234,10 @@ def edited(text, share, seed):
 
 
 def brute_classes(rows):
+    return sorted(classes_in_order(rows), key=str)
+
+
+def classes_in_order(rows):
     own = [shingles.shingles(t or "") for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -251,7 +255,7 @@ def brute_classes(rows):
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return sorted(((d, least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
+    return [(d, least.get(find(i))) for i, (d, _) in enumerate(rows)]
 
 
 def test_near_duplicates_match_brute_force(spark):
