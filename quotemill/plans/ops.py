@@ -135,3 +135,15 @@ def reconciled_pools(pools: DataFrame) -> DataFrame:
 def expired(rows: DataFrame, column: str, months: int, today: Column) -> DataFrame:
     """Rows that a retention of so many months keeps."""
     return rows.filter(F.col(column) >= F.add_months(today, -months))
+
+
+def breadth_issue(row: Column) -> Column:
+    """Why a breadth row (a struct) cannot be: more movers than instruments, or a stricter threshold passed by more; else null."""
+    some = F.lit(0)
+    for c in ("up_count", "down_count", "flat_count", "unchanged_or_suspended_count"):
+        some = some + F.coalesce(row[c], F.lit(0))
+    wrong = F.when(some > row["total_count"], "counts_exceed_total")
+    for side in ("up", "down"):
+        for least, strict in ((f"{side}_count", f"{side}_gt_3_count"), (f"{side}_gt_3_count", f"{side}_gt_5_count"), (f"{side}_gt_5_count", f"{side}_gt_7_count")):
+            wrong = wrong.when(row[strict] > row[least], f"{strict}_exceeds")
+    return wrong

@@ -249,6 +249,32 @@ def block_members(rows: DataFrame) -> DataFrame:
     return raw.select("source_path", "block_no", slug(F.col("block_name")).alias("block_id"), "block_name", "block_type", "member_order", "symbol").filter(F.col("symbol") != "")
 
 
+#: A custom-block catalogue: records of a name and an id, whose members are the lines of a file named by the id.
+CUSTOM_NAME, CUSTOM_ID = 50, 70
+
+
+def custom_blocks(rows: DataFrame) -> DataFrame:
+    """block_id, block_name, member_order, market, symbol of catalogue files (blocknew.cfg) and their .blk files of lines such as 1600000.
+
+    The line's first digit is the market: 0 sz, 1 sh, 2 bj. A member counts once, where it comes first; files without a catalogue
+    entry are left out.
+    """
+
+    def decode(content: bytes) -> Decoded:
+        size = CUSTOM_NAME + CUSTOM_ID
+        parts = [content[k : k + size] for k in range(0, len(content) - size + 1, size)]
+        return {"block_name": [vendor_text(p[:CUSTOM_NAME]) for p in parts], "block_id": [vendor_text(p[CUSTOM_NAME:]) for p in parts]}
+
+    name = F.lower(F.element_at(F.split("source_path", "/"), -1))
+    listed = decoded(rows.filter(name == "blocknew.cfg"), decode, "block_name string, block_id string").filter("block_id <> ''")
+    lines = rows.filter(name.endswith(".blk")).select(F.regexp_replace(name, r"\.blk$", "").alias("_id"), F.posexplode(F.split(F.col("content").cast("string"), r"\r?\n")).alias("member_order", "line"))
+    line = F.trim("line")
+    market = F.when(line.startswith("0"), "sz").when(line.startswith("1"), "sh").when(line.startswith("2"), "bj")
+    members = lines.filter(line.rlike("^[012][0-9]{6}$")).select("_id", "member_order", market.alias("market"), F.substring(line, 2, 6).alias("symbol"))
+    first = members.groupBy("_id", "market", "symbol").agg(F.min("member_order").alias("member_order"))
+    return listed.select("block_name", "block_id", F.lower("block_id").alias("_id")).join(first, "_id").drop("_id")
+
+
 #: A day package: fixed-length codes and bars paired by position.
 PACK_CODE, PACK_BAR = 150, np.dtype({"names": ["open", "high", "low", "close", "volume", "amount"], "formats": ["<f8"] * 4 + ["<u8", "<f8"], "offsets": [12, 20, 28, 36, 56, 72], "itemsize": 512})
 
