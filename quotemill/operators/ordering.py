@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,20 @@ def complete(df: DataFrame, bound: int) -> DataFrame:
     if df.limit(bound + 1).count() > bound:
         raise TooManyRowsError(f"more than {bound} rows")
     return df
+
+
+def clamped(limit: int, usual: int = 20, most: int = 200) -> int:
+    """A page size between 1 and most; the usual one if none is asked for."""
+    return usual if limit <= 0 else min(limit, most)
+
+
+def stalled_pages(pages: DataFrame, by: Sequence[str], number: str, first: str, last: str) -> DataFrame:
+    """Pages of a backward read that do not end strictly before the page read before them begins."""
+    earlier = F.lag(first).over(Window.partitionBy(*by).orderBy(number))
+    return pages.withColumn("_earlier", earlier).filter(F.col(last) >= F.col("_earlier")).drop("_earlier")
+
+
+def incomplete_catalogues(pages: DataFrame, by: Sequence[str], rows: str, total: str) -> DataFrame:
+    """Catalogues whose pages disagree on the total, or do not add up to it."""
+    found = pages.groupBy(*by).agg(F.sum(rows).alias("found"), F.min(total).alias("least"), F.max(total).alias("most"))
+    return found.filter("least <> most or found <> most").select(*by, "found", F.col("most").alias("declared"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.operators.latest import newest
+from quotemill.plans.bars import between
 from quotemill.plans.ops import bounds, issue_id, severity
 
 COMMIT = "_commit_seq"
@@ -48,6 +49,12 @@ def read_facts(spark: SparkSession, dataset: Dataset, since: str = "", until: st
     return newest(rows.drop("_part"), dataset.key, COMMIT)
 
 
+def in_range(rows: DataFrame, time: str, since: str = "", until: str = "") -> tuple[DataFrame, DataFrame]:
+    """(rows in the range, one row with how many are in it and how many were skipped). A date as the upper bound holds its whole day."""
+    inside = between(time, since, until, dict(rows.dtypes)[time] == "date")
+    return rows.filter(inside), rows.agg(F.count_if(inside).alias("rows_read"), F.count_if(~inside).alias("rows_skipped"))
+
+
 def issue_rows(issues: DataFrame, run_id: str, dataset: str, key: Sequence[str]) -> DataFrame:
     """Issues in the form of the operations table."""
     text = F.concat_ws("|", *[F.col(k).cast("string") for k in key])

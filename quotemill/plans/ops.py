@@ -147,3 +147,14 @@ def breadth_issue(row: Column) -> Column:
         for least, strict in ((f"{side}_count", f"{side}_gt_3_count"), (f"{side}_gt_3_count", f"{side}_gt_5_count"), (f"{side}_gt_5_count", f"{side}_gt_7_count")):
             wrong = wrong.when(row[strict] > row[least], f"{strict}_exceeds")
     return wrong
+
+
+def latest_members(snapshots: DataFrame, members: DataFrame) -> DataFrame:
+    """The members of every scope's newest snapshot, ties by id."""
+    newest = snapshots.groupBy("scope").agg(F.max(F.struct("snapshot_time", "snapshot_id")).alias("s")).select("scope", "s.snapshot_id")
+    return members.join(newest, ["scope", "snapshot_id"])
+
+
+def fastest(probes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per group the server of least latency among those that answered."""
+    return probes.filter("ok").groupBy(*by).agg(F.min(F.struct("latency_ms", "server")).alias("b")).select(*by, "b.server", "b.latency_ms")

@@ -156,3 +156,22 @@ class LimitQuery:
     @property
     def days(self) -> tuple[str, str]:
         return (self.trade_date, self.trade_date) if self.trade_date else (self.since, self.until)
+
+
+#: First year that provider bars are asked for, and most years of one request.
+PROVIDER_SINCE, PROVIDER_YEARS = 1990, 10
+
+
+@dataclass(frozen=True)
+class ProviderQuery:
+    since: str
+    until: str
+    adjust: str = "none"
+
+    def checked(self, today: dt.date) -> ProviderQuery:
+        since, until = iso_date(self.since.strip()), iso_date(self.until.strip())
+        _need((self.adjust.strip().lower() or "none") == "none", "provider bars are not adjusted")
+        _need(since.year >= PROVIDER_SINCE, f"since must be {PROVIDER_SINCE} or later")
+        _need(since <= until <= today, "since must not be after until, nor until after today")
+        _need(until.year - since.year + 1 <= PROVIDER_YEARS, f"at most {PROVIDER_YEARS} calendar years")
+        return ProviderQuery(since.isoformat(), until.isoformat())

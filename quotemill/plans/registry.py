@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import dates, text
 from quotemill.operators import latest, timeseries
 from quotemill.plans import adapters as views
-from quotemill.plans import bars, derive, ops, review, securities
+from quotemill.plans import bars, derive, imports, ops, review, securities
 from quotemill.plans.params import BarQuery, LimitQuery, PointQuery
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,3 +441,23 @@ def security_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("trade_date")
     return views.bars_1d(spark, sf_dir).groupBy("trade_date", dates.partition_month(day).alias("month"), dates.partition_year(day).alias("year")).agg(F.count("*").alias("row_count"))
+
+
+@query(_chain(*_RELAY, _FRESH, "ups as (select trade_date, count(*) filter (event_type = 'limit_up') as up, count(*) filter (event_type = 'limit_down') as down, count(*) filter (event_type = 'open_limit') as broken, count(distinct board_count) filter (event_type = 'limit_up') as heights from limit_events group by trade_date)", "summ as (select s.trade_date, coalesce(f.limit_up_count, s.limit_up_count) as u, f.limit_down_count as d, f.open_limit_count as o from limit_summary_stored s left join fresh f on f.trade_date = s.trade_date)", "br as (select trade_date from breadth)", "ix as (select trade_date, count(*) as n from index_bars group by trade_date)", "rl as (select trade_date, count(*) as n from relay group by trade_date)", "alld as (select trade_date from ups union select trade_date from summ union select trade_date from br union select trade_date from ix union select trade_date from rl)", select="select a.trade_date, coalesce(ups.up, 0) as limit_up_pool, coalesce(ups.broken, 0) as broken, coalesce(ups.down, 0) as limit_down, coalesce(ups.heights, 0) as ladder_heights, coalesce(rl.n, 0) as relay, concat_ws(',', case when ups.up is null then 'events_missing' end, case when br.trade_date is null then 'market_breadth_missing' end, case when ix.n is null then 'performance_indices_missing' end, case when rl.n is null then 'relay_missing' end, case when summ.u <> ups.up or summ.d <> ups.down or summ.o <> ups.broken then 'summary_event_count_mismatch' end, case when summ.trade_date is null then 'summary_missing' end) as warnings from alld a left join ups using (trade_date) left join summ using (trade_date) left join br using (trade_date) left join ix using (trade_date) left join rl using (trade_date)"))
+def limit_review_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = views.limit_events(spark, sf_dir)
+    fresh = review.summaries(views.limit_summary_stored(spark, sf_dir), events)
+    return review.day_reviews(events, _relayed(spark, sf_dir), fresh, views.breadth(spark, sf_dir), views.index_bars(spark, sf_dir))
+
+
+@query("select count(*) filter (trade_date between date '1996-01-01' and date '1997-06-30') as rows_read, count(*) filter (trade_date not between date '1996-01-01' and date '1997-06-30') as rows_skipped from bars_1d")
+def import_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports.in_range(views.bars_1d(spark, sf_dir), "trade_date", "1996-01-01", "1997-06-30")[1]
+
+
+@query("select board as scope, market, symbol, snapshot_id from (select board, market, symbol, cast(symbol as int) % 7 as snapshot_id from securities) where snapshot_id = 6")
+def latest_block_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("symbol").cast("int")
+    members = views.securities(spark, sf_dir).select(F.col("board").alias("scope"), "market", "symbol", (n % 7).alias("snapshot_id"))
+    snapshots = members.select("scope", "snapshot_id", F.col("snapshot_id").alias("snapshot_time")).distinct()
+    return ops.latest_members(snapshots, members)

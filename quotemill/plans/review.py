@@ -233,3 +233,32 @@ def review_days(events: DataFrame, relayed: DataFrame, summary: DataFrame, bread
     days = every.groupBy("trade_date").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(f"n_{k}") for k in kinds])
     missing = F.array_compact(F.array(F.when(F.col("n_breadth") == 0, "market_breadth_missing"), F.when(F.col("n_indices") == 0, "performance_indices_missing"), F.when(F.col("n_summary") == 0, "summary_missing")))
     return days.withColumn("warnings", F.array_join(missing, ","))
+
+
+def day_reviews(events: DataFrame, relayed: DataFrame, summary: DataFrame, breadth: DataFrame, indices: DataFrame) -> DataFrame:
+    """One row per day: sizes of the three pools, of the relay and of the ladder, and warnings for what is missing or disagrees.
+
+    summary is the refreshed one (limit_up_count, limit_down_count, open_limit_count may be null); breadth may have limit counts.
+    """
+    kind = F.col("event_type")
+    pools = events.groupBy("trade_date").agg(F.count_if(kind == "limit_up").alias("up"), F.count_if(kind == "limit_down").alias("down"), F.count_if(kind == "open_limit").alias("broken"), F.count_distinct(F.when(kind == "limit_up", F.col("board_count"))).alias("heights"))
+    counts = lambda df, name: df.groupBy("trade_date").agg(F.count("*").alias(name))
+    declared = summary.select("trade_date", F.lit(True).alias("has_summary"), "limit_up_count", "limit_down_count", "open_limit_count")
+    limits = [F.col(c).alias(f"breadth_{c}") if c in breadth.columns else F.lit(None).cast("long").alias(f"breadth_{c}") for c in ("limit_up_count", "limit_down_count")]
+    days = pools.join(declared, "trade_date", "full_outer").join(breadth.select("trade_date", F.lit(True).alias("has_breadth"), *limits), "trade_date", "full_outer")
+    days = days.join(counts(indices, "n_indices"), "trade_date", "full_outer").join(counts(relayed, "n_relay"), "trade_date", "full_outer")
+    differs = (F.col("limit_up_count") != F.col("up")) | (F.col("limit_down_count") != F.col("down")) | (F.col("open_limit_count") != F.col("broken"))
+    apart = (F.col("breadth_limit_up_count") != F.col("limit_up_count")) | (F.col("breadth_limit_down_count") != F.col("limit_down_count"))
+    warnings = F.array_compact(
+        F.array(
+            F.when(apart, "breadth_limit_count_mismatch"),
+            F.when(F.col("up").isNull(), "events_missing"),
+            F.when(F.col("has_breadth").isNull(), "market_breadth_missing"),
+            F.when(F.col("n_indices").isNull(), "performance_indices_missing"),
+            F.when(F.col("n_relay").isNull(), "relay_missing"),
+            F.when(differs, "summary_event_count_mismatch"),
+            F.when(F.col("has_summary").isNull(), "summary_missing"),
+        )
+    )
+    size = lambda c, name: F.coalesce(c, F.lit(0)).alias(name)
+    return days.select("trade_date", size("up", "limit_up_pool"), size("broken", "broken"), size("down", "limit_down"), size("heights", "ladder_heights"), size("n_relay", "relay"), F.array_join(warnings, ",").alias("warnings"))

@@ -64,6 +64,11 @@ def entries(archives: DataFrame, suffixes: tuple[str, ...] = (), most_bytes: int
     return archives.select("source_path", "content").mapInPandas(run, "source_path string, entry string, content binary")
 
 
+def as_files(members: DataFrame) -> DataFrame:
+    """Archive members in the form of files, their path the archive's with the entry's behind it."""
+    return members.select(F.concat_ws("!/", "source_path", "entry").alias("source_path"), "content")
+
+
 def decoded(rows: DataFrame, decode: Callable[[bytes], Decoded], schema: str) -> DataFrame:
     """All records of the files in rows (source_path, content): source_path, row_offset and the schema's columns."""
 

@@ -55,3 +55,38 @@ def test_custom_blocks(spark):
     rows = spark.createDataFrame([("/b/blocknew.cfg", bytearray(cfg)), ("/b/WD.blk", bytearray(b"1600000\r\n0000001\r\n\r\n1600000\r\nodd")), ("/b/other.blk", bytearray(b"1600000"))], "source_path string, content binary")
     out = sorted((r.block_name, r.block_id, r.member_order, r.market, r.symbol) for r in records.custom_blocks(rows).collect())
     assert out == [("我的", "WD", 0, "sh", "600000"), ("我的", "WD", 1, "sz", "000001")]
+
+
+def test_ranges_and_pages(spark):
+    from quotemill.operators import ordering
+    from quotemill.plans import params
+
+    rows = spark.createDataFrame([(dt.datetime(2024, 1, d, 12),) for d in (1, 2, 3)], "t timestamp_ntz")
+    kept, counts = imports.in_range(rows, "t", "2024-01-02", "2024-01-02")
+    assert kept.count() == 1 and tuple(counts.first()) == (1, 2)
+    pages = spark.createDataFrame([("a", 1, 5, 9), ("a", 2, 2, 5), ("a", 3, 0, 1)], "k string, n int, first int, last int")
+    assert [r.n for r in ordering.stalled_pages(pages, ["k"], "n", "first", "last").collect()] == [2]
+    parts = spark.createDataFrame([("a", 2, 3), ("a", 1, 3), ("b", 2, 3), ("c", 1, 1), ("c", 0, 2)], "k string, n int, total int")
+    assert sorted(r.k for r in ordering.incomplete_catalogues(parts, ["k"], "n", "total").collect()) == ["b", "c"]
+    assert [ordering.clamped(n) for n in (0, -1, 7, 999)] == [20, 20, 7, 200]
+    today = D(2024, 6, 1)
+    assert params.ProviderQuery(" 2015-01-01", "2024-06-01").checked(today).since == "2015-01-01"
+    for wrong in (("1989-01-01", "1989-02-01"), ("2014-01-01", "2024-01-01"), ("2024-01-02", "2024-01-01"), ("2024-01-01", "2024-06-02")):
+        with pytest.raises(params.InvalidQueryError):
+            params.ProviderQuery(*wrong).checked(today)
+    with pytest.raises(params.InvalidQueryError):
+        params.ProviderQuery("2024-01-01", "2024-01-02", "qfq").checked(today)
+
+
+def test_archived_minutes_and_servers(spark):
+    import io
+    import struct
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("vipdoc/sh/minline/sh600000.lc1", struct.pack("<HHfffffII", 20 * 2048 + 105, 571, 1.5, 2.0, 1.0, 1.25, 9.0, 3, 0))
+    files = records.as_files(records.entries(spark.createDataFrame([("/x/v.zip", bytearray(out.getvalue()))], "source_path string, content binary"), (".lc1",)))
+    assert [(r.market, r.symbol, r.minute_of_day) for r in records.minute_bars(files)[0].collect()] == [("sh", "600000", 571)]
+    probes = spark.createDataFrame([("g", "a", 9, True), ("g", "b", 1, False), ("g", "c", 9, True)], "g string, server string, latency_ms int, ok boolean")
+    assert [(r.server, r.latency_ms) for r in ops.fastest(probes, ["g"]).collect()] == [("a", 9)]
