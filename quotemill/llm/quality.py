@@ -29,7 +29,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 #: Reference cutoff of each rule: a share of the text's words, lines or characters.
-REFERENCE = {"symbols": 0.5, "marks": 0.5, "capitals": 0.3, "repeats": 0.3, "repeated_lines": 0.3, "word_length": 20.0}
+REFERENCE = {"symbols": 0.1, "marks": 0.5, "capitals": 0.3, "repeats": 0.3, "repeated_lines": 0.5, "word_length": 20.0}
 #: The path of scales, from lenient to strict.
 SCALES = tuple(round(4.0 * 0.85**k, 4) for k in range(26))
 #: Largest share of good documents that may be rejected in a stratum, and the probability that this fails anywhere.
