@@ -8,7 +8,8 @@ their weighted Jaccard similarity. Only about k ln k darts have to be looked at,
 Texts, not ids, are the nodes: equal texts are one node from the start, so copies cost nothing later. Texts that agree on all
 coordinates of a band share a bucket. In each bucket the best-connected text is compared with all others; the texts which that
 leaves in different classes are then compared with the next leaders, until no bucket holds two texts of different classes
-that have not been compared. Thus no link that the bands find is lost, and a bucket of near copies costs one comparison each.
+that have neither been compared nor been shown too far apart by what they share with their leader. Thus no link that the bands
+find is lost, and a bucket of near copies costs one comparison each.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import text_or_empty, written
-from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles, weighted_jaccard
+from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles
 
 SIMILARITY = 0.8
 #: 24 bands of 7 coordinates: two texts of similarity 0.8 share a bucket with probability 0.9965, of 0.85 with 0.9999.
@@ -81,69 +82,42 @@ def band_codes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-def sketch_columns(k: int) -> list[str]:
-    return [f"s{i}" for i in range(-(-k // 16))]
+def node_of(text: F.Column) -> F.Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def signatures(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """(node, weight, buckets, s0, s1, ...) of every text with a word; a task gives each node once, whatever its copies.
-
-    weight is the number of shingles; the last columns pack four bits of every coordinate, sixteen to a long.
-    """
-    names = sketch_columns(bands * rows)
+    """(node, weight, buckets) of every text with a word; a task gives each node once, whatever its copies. weight is the number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                nodes, codes, weights, sketches = [], [], [], []
+                nodes, codes, weights = [], [], []
                 for node, text in zip(part["node"].to_pylist(), part["text"].to_pylist(), strict=True):
                     if node in seen:
                         continue
                     seen.add(node)
                     element, count = shingles(text, size)
                     if len(element):
-                        signature = dart_minhash(element, count.astype(np.float64), bands * rows)
                         nodes.append(node)
                         weights.append(int(count.sum()))
-                        codes.append(band_codes(signature, bands, rows))
-                        sketches.append(sketch(signature))
+                        codes.append(band_codes(dart_minhash(element, count.astype(np.float64), bands * rows), bands, rows))
                 if nodes:
-                    packed = {n: pa.array(c, pa.int64()) for n, c in zip(names, np.array(sketches).T, strict=True)}
-                    yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "weight": pa.array(weights, pa.int64()), "buckets": pa.array(codes, pa.list_(pa.int64()))} | packed)
+                    yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "weight": pa.array(weights, pa.int64()), "buckets": pa.array(codes, pa.list_(pa.int64()))})
 
-    return texts.select("node", "text").mapInArrow(run, ", ".join(["node binary, weight long, buckets array<long>", *(f"{n} long" for n in names)]))
+    return texts.select("node", "text").mapInArrow(run, "node binary, weight long, buckets array<long>")
 
 
-def sketch(signature: np.ndarray) -> np.ndarray:
-    """Four bits of each coordinate, sixteen to a signed 64-bit number, the last filled with zeros."""
-    bits = np.zeros(-(-len(signature) // 16) * 16, _U)
-    bits[: len(signature)] = signature >> _U(32) & _U(15)
-    return (bits.reshape(-1, 16) << (_U(4) * np.arange(16, dtype=_U))).sum(axis=1, dtype=_U).astype(np.int64)
+COMPARED = "a binary, b binary, shared long, similar boolean, codes array<long>, extra array<long>"
 
 
-def may_reach(similarity: float, k: int, one: str = "x", other: str = "y") -> F.Column:
-    """Whether two signatures (structs with weight and sketch) can belong to texts of the similarity.
+def compared(pairs: DataFrame, texts: DataFrame, similarity: float, size: int, extras: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes with the weight that their whole texts share and whether they are similar enough.
 
-    The smaller over the larger weight bounds it exactly. Of k coordinates, those that differ in four bits are binomial; more
-    than 4.5 standard deviations above what the similarity gives happens to one link in 300,000, a thousandth of what
-    the bands lose.
+    With extras, also the shingles of which b has more than a, and how many more.
     """
-    differ = (1 - similarity) * 15 / 16
-    most = k * differ + 4.5 * (k * differ * (1 - differ)) ** 0.5
-    lengths = F.least(f"{one}.weight", f"{other}.weight") >= F.lit(similarity) * F.greatest(f"{one}.weight", f"{other}.weight")
-    found = F.lit(0)
-    for name in sketch_columns(k):
-        bits = F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}"))
-        for shift in (1, 2):
-            bits = bits.bitwiseOR(F.shiftright(bits, shift))
-        found = found + F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
-    return lengths & (found <= int(most))
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose whole texts are similar enough."""
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
@@ -151,15 +125,40 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
         for batch in batches:
-            out = []
-            for x, y, s, t in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if x != last:
-                    last, own = x, shingles(s, size)
-                if weighted_jaccard(own, shingles(t, size)) >= similarity:
-                    out.append((x, y))
-            yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
-
-    return both.mapInArrow(run, "a binary, b binary")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for x, y, s, t in zip(*(part[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+                    if x != last:
+                        last, own = x, shingles(s, size)
+                    other = shingles(t, size)
+                    _, i, j = np.intersect1d(own[0], other[0], assume_unique=True, return_indices=True)
+                    more = other[1].copy()
+                    more[j] -= np.minimum(own[1][i], other[1][j])
+                    shared, total = int(other[1].sum() - more.sum()), int(own[1].sum() + other[1].sum())
+                    out.append((x, y, shared, shared >= similarity * (total - shared), other[0][more > 0].astype(np.int64) if extras else [], more[more > 0] if extras else []))
+                if out:
+                    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in COMPARED.split(", ")])
+
+    return both.mapInArrow(run, COMPARED)
+
+
+def common_extras(led: DataFrame) -> DataFrame:
+    """(a, b, extra): of the weight that b has beyond its leader a, how much lies on shingles on which another of a's followers has more too."""
+    spread = led.select("a", "b", F.explode(F.arrays_zip("codes", "extra")).alias("e")).select("a", "b", "e.codes", "e.extra")
+    counted = spread.withColumn("n", F.count("*").over(Window.partitionBy("a", "codes"))).filter("n > 1")
+    return counted.groupBy("a", "b").agg(F.sum("extra").alias("extra"))
+
+
+def may_be_similar(similarity: float) -> F.Column:
+    """Whether two followers of one leader can be similar: an exact bound from what each shares with it.
+
+    Two texts share at most the smaller of what they share with the leader, and beyond it at most the smaller of their common
+    extras. Copies with edits of their own have none, so those too far from the leader are too far from each other.
+    """
+    most = F.least("shared_a", "shared") + F.least("extra_a", "extra")
+    return most >= F.lit(similarity) * (F.col("weight_a") + F.col("weight") - most)
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -191,41 +190,46 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(doc_id, node, root) of every row of docs: its text's node, and the node that stands for the class."""
-    k = bands * rows
+    """(node, first_id, root) of every distinct text: its least doc_id (null only if all are), and the node that stands for its class."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    keyed = keyed.withColumn("node", F.unhex(F.md5(F.col("text").cast("binary"))))
-    signed = written(signatures(keyed, bands, rows, size), "signatures")
+    keyed = keyed.withColumn("node", node_of(F.col("text")))
+    firsts = written(keyed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts")
     inside = Window.partitionBy("bucket")
-    shared = signed.select("node", F.explode("buckets").alias("bucket")).repartition("bucket").dropDuplicates(["bucket", "node"])
+    banded = signatures(keyed, bands, rows, size).select("node", "weight", F.explode("buckets").alias("bucket"))
+    shared = banded.repartition("bucket").dropDuplicates(["bucket", "node"])
     shared = written(shared.withColumn("others", F.count("*").over(inside) - 1).filter("others > 0"), "buckets")
     density = shared.groupBy("node").agg(F.sum("others").alias("density"))
-    profile = signed.dropDuplicates(["node"]).select("node", F.struct("weight", *sketch_columns(k)).alias("x"))
     ordered = Window.partitionBy("bucket").orderBy(F.desc("density"), "node")
-    ranked = shared.select("bucket", "node").join(density, "node").join(profile, "node")
-    ranked = ranked.withColumn("rank", F.row_number().over(ordered)).withColumn("leader", F.first(F.struct("node", "x")).over(ordered))
-    ranked = written(ranked.select("bucket", "node", "x", "rank", F.when(F.col("rank") > 1, F.col("leader")).alias("leader")), "ranked")
-    texts = written(keyed.join(density.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-    led = ranked.filter("rank > 1").select(F.col("leader.node").alias("a"), F.col("node").alias("b"), "x", F.col("leader.x").alias("y")).filter(may_reach(similarity, k))
-    edges = written(verified(led.select("a", "b").distinct(), texts, similarity, size), "edges")
-    roots = written(components(edges), "roots")
-    done, more, last = 1, LEADERS, ranked.agg(F.max("rank")).first()[0] or 0
-    while done < last:
-        apart = ranked.select("bucket", "node", "x", "rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        least = apart.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.max("rank").alias("size")).filter(f"least < most and size > {done}").select("bucket")
-        apart = written(apart.join(least, "bucket", "left_semi"), "apart")
-        lead = apart.filter((F.col("rank") > done) & (F.col("rank") <= done + more)).select("bucket", F.col("node").alias("a"), F.col("rank").alias("rank_a"), F.col("root").alias("root_a"), F.col("x").alias("y"))
-        member = apart.select("bucket", F.col("node").alias("b"), "rank", "root", "x")
-        apart_enough = (F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & may_reach(similarity, k)
-        pairs = lead.join(member, "bucket").filter(apart_enough).select("a", "b").distinct()
-        new = written(verified(pairs, texts, similarity, size), "edges")
+    ranked = shared.join(density, "node").withColumn("rank", F.row_number().over(ordered)).withColumn("leader", F.first("node").over(ordered))
+    ranked = written(ranked.select("bucket", "node", "weight", "rank", "leader", (F.col("others") + 1).alias("size")), "ranked")
+    # one row's text for each node, found by its id, so that the copies of a text are not gathered anywhere
+    wanted = firsts.join(density.select("node"), "node", "left_semi").select(F.col("node").alias("_node"), "first_id")
+    same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = written(keyed.join(wanted, same).select("node", "text"), "texts")
+
+    pairs = ranked.filter("rank > 1").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    led = written(compared(pairs, texts, similarity, size, extras=True), "led")
+    roots = written(components(led.filter("similar").select("a", "b")), "roots")
+    done, more, last, bounds = 1, LEADERS, ranked.agg(F.max("rank")).first()[0] or 0, None
+    while done + 1 < last:
+        apart = ranked.filter(F.col("size") > done + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed_up = apart.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
+        apart = written(apart.join(mixed_up, "bucket", "left_semi"), "apart")
+        if bounds is None:
+            open_led = led.join(apart.select(F.col("leader").alias("a")).distinct(), "a", "left_semi")
+            bounds = open_led.select("a", "b", "shared").join(common_extras(open_led), ["a", "b"], "left")
+            bounds = written(bounds.select(F.col("a").alias("leader"), F.col("b").alias("node"), "shared", F.coalesce("extra", F.lit(0)).alias("extra")), "bounds")
+        member = apart.filter(F.col("rank") > done).join(bounds, ["leader", "node"]).select("bucket", "node", "rank", "root", "weight", "shared", "extra")
+        lead = member.filter(F.col("rank") <= done + more).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "rank", "root", "weight", "shared", "extra")])
+        found = lead.join(member, "bucket").filter((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & may_be_similar(similarity))
+        pairs = found.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+        new = written(compared(pairs, texts, similarity, size).filter("similar").select("a", "b"), "edges")
         done, more = done + more, more * MORE_LEADERS
         last = apart.agg(F.max("rank")).first()[0] or 0
         if new.limit(1).count():
             roots = written(components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)), "roots")
 
-    return keyed.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
@@ -237,16 +241,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     without words each is its own. Repeated rows stay repeated. A class of null ids only has a null class_id. An empty table gives
     no rows.
     """
-    classed = classes(docs, similarity, bands, rows, size)
-    firsts = classed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return classed.join(firsts, "root").select("doc_id", "class_id", first.alias("is_first"))
+    nodes = classes(docs, similarity, bands, rows, size)
+    least = nodes.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    labels = written(nodes.join(least, "root").select("node", "class_id"), "labels")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(text_or_empty()).alias("node"))
+    return keyed.join(labels, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
 
 
 def first_documents(docs: DataFrame, **settings: float) -> DataFrame:
     """One row of docs for each class, of the least id in it (null only if all are), all columns as they are; of rows that tie one is taken."""
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
-    firsts = classes(docs, **settings).groupBy("root").agg(F.min(key).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
-    here = F.unhex(F.md5(text_or_empty().cast("binary")))
+    key = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")
+    firsts = classes(docs, **settings).groupBy("root").agg(F.min(key).alias("first")).select(F.col("first.first_id").alias("_id"), F.col("first.node").alias("_node"))
+    here = node_of(text_or_empty())
     tied = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (here == F.col("_node")))
     return tied.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(0)))).filter("_n = 1").drop("_id", "_node", "_n")
