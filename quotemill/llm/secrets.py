@@ -111,6 +111,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: S
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     sort_key = F.transform("findings", lambda f: F.struct(f["start"].alias("start"), order[f["kind"]].alias("o"), f["end"].alias("end"), f["kind"].alias("kind")))
     found = found.select("blob", F.transform(F.array_sort(sort_key), lambda f: F.struct(f["kind"].alias("kind"), f["start"].alias("start"), f["end"].alias("end"))).alias("findings"))
+    found = written(found, "findings")  # a table of its own, so that Spark can split the join where a blob has many versions
     joined = rows.select("path", "version", "blob").join(found, "blob", "left")
     return joined.select("path", "version", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings")), new
 
