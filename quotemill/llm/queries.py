@@ -108,6 +108,43 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_SCALES = ", ".join(f"({i}, {s}::double)" for i, s in enumerate(quality.SCALES))
+_REF = quality.REFERENCE
+#: Query 1: the counts word by word, the certified scales by exact binomial tails, the verdicts.
+_OP1 = rf"""
+with words as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+windows as (
+  select doc_id, i, count(*) over (partition by doc_id, g) as c
+  from (select doc_id, i, array_to_string(ws[i : i + 7], ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from words where len(ws) >= 8))),
+repeats as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 8)) as j from windows where c > 1) group by doc_id),
+lines as (
+  select doc_id, count(*) as n, count(*) - count(distinct line) as doubles
+  from (select doc_id, unnest(string_split(t, chr(10))) as line from words) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+counts as (
+  select w.doc_id, lang, t, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) as n_symbols,
+    coalesce(l.doubles, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, l.n as n_lines,
+    len(regexp_extract_all(t, '[!?]')) as marks, len(regexp_extract_all(t, '\p{{Lu}}')) as capitals
+  from words w left join lines l on l.doc_id = w.doc_id left join repeats r on r.doc_id = w.doc_id),
+signals as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    case when n_words = 0 then 0 else greatest(n_symbols::double / n_words / {_REF["symbols"]}::double, marks::double / n_words / {_REF["marks"]}::double, capitals::double / word_chars / {_REF["capitals"]}::double,
+      n_repeat_words::double / n_words / {_REF["repeats"]}::double, n_dup_lines::double / n_lines / {_REF["repeated_lines"]}::double, word_chars::double / n_words / {_REF["word_length"]}::double) end as badness
+  from counts),
+held as (select lang, t, max(quality) as good, any_value(badness) as badness from signals join labels using (doc_id) where not base_failed and quality is not null group by lang, t),
+steps as (
+  select lang, step, scale, count(*) filter (good = 1 and badness > scale) as g, count(*) filter (good = 0 and badness > scale) as b, count(*) filter (good = 1) as n
+  from held, (values {_SCALES}) x(step, scale) group by lang, step, scale),
+tails as (
+  select lang, step, scale, b - g as gain, n > 0 and (g < n) and
+    (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK}))) from range(0, g + 1) r(i)) <= {quality.DELTA} / (select count(distinct lang) from held) as passed
+  from steps),
+certified as (select *, bool_and(passed) over (partition by lang order by step) as ok from tails),
+chosen as (select lang, arg_max(scale, struct_pack(gain := gain, first := -step)) as scale from certified where ok group by lang)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
+  base_failed, not base_failed and not coalesce(badness > c.scale, false) as kept, badness::double as badness, c.scale
+from signals s left join chosen c on c.lang = s.lang
+"""
 #: Query 5: the same digests from the rows, the formatted length from the escapes' growth.
 _OP5 = r"""
 with rows as (
@@ -130,4 +167,4 @@ select doc_id, slot, 'shard-' || lpad(cast(list_extract(filled, (slot + 1)::int)
 from (select doc_id, {_SLOT} as slot from documents),
   (select {sharding.lookup_table(SHARD_NAMES)} as filled)
 """
-ORACLE_SQL: dict[str, str] = {"op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7}
+ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7}
