@@ -145,6 +145,23 @@ select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_s
   base_failed, not base_failed and not coalesce(badness > c.scale, false) as kept, badness::double as badness, c.scale
 from signals s left join chosen c on c.lang = s.lang
 """
+#: Query 6: all pairs of different texts that share a shingle, compared exactly, and what they connect.
+_OP6 = rf"""
+with recursive nodes as (
+  select coalesce(text, '') as t, min(doc_id) as node, regexp_extract_all(lower(coalesce(text, '')), '\S+') as ws from documents group by all),
+shingles as (
+  select node, g, count(*) as c
+  from (select node, array_to_string(ws[i : i + 4], ' ') as g from (select node, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from nodes where len(ws) > 0))
+  group by node, g),
+weights as (select node, sum(c) as w from shingles group by node),
+shared as (select a.node as a, b.node as b, sum(least(a.c, b.c)) as s from shingles a join shingles b on a.g = b.g and a.node < b.node group by a.node, b.node),
+links as (select a, b from shared join weights x on x.node = a join weights y on y.node = b where s >= {neardup.SIMILARITY} * (x.w + y.w - s)),
+both_ways as (select a, b from links union select b, a from links),
+reached as (select node as a, node as b from nodes union select r.a, e.b from reached r join both_ways e on e.a = r.b),
+classes as (select a as node, min(b) as class_id from reached group by a)
+select d.doc_id, c.class_id, d.doc_id = c.class_id as is_first
+from documents d join nodes n on n.t = coalesce(d.text, '') join classes c on c.node = n.node
+"""
 #: Query 5: the same digests from the rows, the formatted length from the escapes' growth.
 _OP5 = r"""
 with rows as (
@@ -167,4 +184,4 @@ select doc_id, slot, 'shard-' || lpad(cast(list_extract(filled, (slot + 1)::int)
 from (select doc_id, {_SLOT} as slot from documents),
   (select {sharding.lookup_table(SHARD_NAMES)} as filled)
 """
-ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7}
+ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7}
