@@ -184,4 +184,25 @@ select doc_id, slot, 'shard-' || lpad(cast(list_extract(filled, (slot + 1)::int)
 from (select doc_id, {_SLOT} as slot from documents),
   (select {sharding.lookup_table(SHARD_NAMES)} as filled)
 """
-ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7}
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+#: Query 10: each rule's matches and the gaps between them give the places.
+_MATCHES = " union all ".join(
+    f"select doc_id, {i} as o, '{r.kind}' as kind, {r.least} as least, string_split_regex(t, {_quoted(r.pattern)}) as gaps, regexp_extract_all(t, {_quoted(r.pattern)}) as hits, regexp_extract_all(t, {_quoted(r.pattern)}, {r.group}) as parts from docs"
+    for i, r in enumerate(secrets.RULES)
+)
+_OP10 = f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+matched as ({_MATCHES}),
+placed as (
+  select doc_id, o, kind, least, length(parts[k]) as size, length(hits[k]) as whole,
+    length(array_to_string(gaps[1 : k], '')) + coalesce(length(array_to_string(hits[1 : k - 1], '')), 0) as place
+  from (select *, unnest(range(1, len(hits) + 1)) as k from matched where len(hits) > 0)),
+found as (select doc_id, o, kind, place, kind || ':' || place || ':' || (place + whole) as span from placed where size >= least)
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by place, o) filter (o < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by place, o), '') as spans
+from docs d left join found f on f.doc_id = d.doc_id group by d.doc_id
+"""
+ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7, "op10_blob_ledger": _OP10}
