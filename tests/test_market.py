@@ -286,3 +286,22 @@ def test_date_functions(spark):
     assert one(spark, dates.minute_label(F.col("a"), 121), a=120) == 690
     assert [one(spark, dates.vendor_time(F.col("a")), a=n) for n in (9305000, 14990000, 930)] == ["9:30:30.000", "14:59:24.000", "0:00:05.580"]
     assert one(spark, dates.clock_of_seconds(F.col("a"), F.lit("2024-01-05").cast("date")), a=1704418260) == "09:31"
+
+
+def test_filters_reach_the_scan_below_newest_reads(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("sz", "1", D(2024, 1, 2), 1, 2.0)], "market string, symbol string, trade_date date, v long, close double").write.parquet(path)
+    rows = latest.newest(spark.read.parquet(path), ["market", "symbol", "trade_date"], "v")
+    plan = rows.filter((F.col("market") == "sz") & (F.col("trade_date") >= F.lit("2024-01-01").cast("date")))._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(market,sz)" in plan and "GreaterThanOrEqual(trade_date,2024-01-01)" in plan
+
+
+def test_as_of_and_factors_form_no_pairs(spark):
+    """One window over the union of both sides: no join of bars with actions."""
+    rows = timeseries.asof_before(actions(spark, []), day_bars(spark, [1.0]), ["market", "symbol"], "event_date", "trade_date", "close", "prev")
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recent_rows_need_no_full_sort(spark):
+    plan = ordering.recent_ascending(spark.range(1000), "id", 5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan
