@@ -147,6 +147,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float, size: int, e
 def common_extras(led: DataFrame) -> DataFrame:
     """(a, b, extra): of the weight that b has beyond its leader a, how much lies on shingles on which another of a's followers has more too."""
     spread = led.select("a", "b", F.explode(F.arrays_zip("codes", "extra")).alias("e")).select("a", "b", "e.codes", "e.extra")
+    spread = spread.repartition("a", "codes")  # else Spark would leave all shingles of a leader's followers in one task
     counted = spread.withColumn("n", F.count("*").over(Window.partitionBy("a", "codes"))).filter("n > 1")
     return counted.groupBy("a", "b").agg(F.sum("extra").alias("extra"))
 
