@@ -4,7 +4,8 @@ Index terms are pairs of adjacent words, so that a chance passage meets few post
 size and like length, each block broadcast and queried by all passages. Scores are shares of an item's score against itself;
 a passage retrieves, by weak-AND with block maxima, every item of a share above the threshold. Passages overlap so far that
 any run of words as long as the longest item of its block lies whole in one of them. What is retrieved is then verified: the
-words of the item's question and of its answer, aligned with the passage's surroundings, must be covered each.
+words of the item's question and of its answer, aligned with the passage's surroundings, must be covered each; a short part
+is also sought word by word beside the other one, so that a label or a changed word between them hides nothing.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 #: Share of the question's and of the answer's words that must be covered, by runs of at least MIN_RUN words.
 COVERED, MIN_RUN = 0.6, 3
+#: Longest question or answer, in words, that one changed word can leave uncovered by such runs; and the words that may lie between it and the other part.
+SHORT, BESIDE = math.ceil(MIN_RUN / (1 - COVERED)) - 1, 50
 #: Bounds of one block of the index: its items and their words; and the postings under one block maximum.
 BLOCK_ITEMS, BLOCK_WORDS, POSTINGS = 20_000, 2_000_000, 32
 #: Longest item, in words, of each length class; longer ones double it.
@@ -151,15 +154,69 @@ class Index:
         return [(i, *x) for i, x in sorted(best.items())]
 
 
+def runs(part: tuple[str, ...], words: list[str], least: int) -> list[tuple[int, int, int]]:
+    """(place in part, place in words, size) of the common runs of at least so many words, in order."""
+    return [m for m in SequenceMatcher(None, part, words, autojunk=False).get_matching_blocks() if m.size >= max(1, least)]
+
+
 def overlap(item: Item, words: list[str]) -> tuple[float, float]:
-    """Shares of the question's and of the answer's words in common runs, in order; 1 for a part without words."""
-    least = min(MIN_RUN, len(item.words))
+    """Shares of the question's and of the answer's words that are covered, in order; 1 for a part without words.
+
+    Words are covered by common runs. As a single changed word or a label can leave a part of at most SHORT words no run, such a
+    part is also covered word by word, by the words of a window of twice its length within BESIDE words of the other part.
+    """
     hit = np.zeros(len(item.words), bool)
-    for m in SequenceMatcher(None, item.words, words, autojunk=False).get_matching_blocks():
-        if m.size >= least:
-            hit[m.a : m.a + m.size] = True
+    for at, _, size in runs(item.words, words, min(MIN_RUN, len(item.words))):
+        hit[at : at + size] = True
     question, answer = hit[: item.question], hit[item.question :]
-    return (float(question.mean()) if len(question) else 1.0), (float(answer.mean()) if len(answer) else 1.0)
+    found = (float(question.mean()) if len(question) else 1.0), (float(answer.mean()) if len(answer) else 1.0)
+    if 0 < item.question < len(item.words) and min(found) < 1:
+        found = max([found, *beside(item.words[: item.question], item.words[item.question :], words)], key=lambda x: (min(x), sum(x)))
+    return found
+
+
+def beside(question: tuple[str, ...], answer: tuple[str, ...], words: list[str]) -> Iterator[tuple[float, float]]:
+    """Shares of question and answer at every place where one is covered and the other, a short one, is sought beside it."""
+    if len(answer) <= SHORT:
+        reach = BESIDE + 2 * len(answer)
+        for _, end, share in (places_of_short if len(question) <= SHORT else places_of_long)(question, words):
+            yield share, max((a for start, _, a in places_of_short(answer, words[end : end + reach]) if start <= BESIDE), default=0.0)
+    elif len(question) <= SHORT:
+        reach = BESIDE + 2 * len(question)
+        for start, _, share in places_of_long(answer, words):
+            before = words[max(0, start - reach) : start]
+            yield max((q for _, end, q in places_of_short(question, before) if len(before) - end <= BESIDE), default=0.0), share
+
+
+def places_of_short(part: tuple[str, ...], words: list[str]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, share) of every place that covers the part word by word, in order, in a window of twice its length."""
+    for start, word in enumerate(words):
+        if word not in part:
+            continue
+        row, most, end = [0] * (len(part) + 1), 0, start
+        for k, w in enumerate(words[start : start + 2 * len(part)], start + 1):  # the longest common subsequence
+            diagonal = 0
+            for j, p in enumerate(part, 1):
+                diagonal, row[j] = row[j], diagonal + 1 if p == w else max(row[j], row[j - 1])
+            if row[-1] > most:
+                most, end = row[-1], k
+        if most >= COVERED * len(part):
+            yield start, end, most / len(part)
+
+
+def places_of_long(part: tuple[str, ...], words: list[str]) -> Iterator[tuple[int, int, float]]:
+    """(start, end, share) of every place that covers the part by runs; where copies lie apart, the words before and after are searched too."""
+    todo = [(0, len(words))]
+    while todo:
+        low, high = todo.pop()
+        own = runs(part, words[low:high], MIN_RUN)
+        share = sum(size for *_, size in own) / len(part)
+        if share < COVERED:
+            continue
+        apart = [y[1] for x, y in zip(own, own[1:], strict=False) if y[1] - x[1] - (y[0] - x[0]) > len(part) // 2]  # runs of another copy
+        end = low + own[-1][1] + own[-1][2]
+        yield low + own[0][1], end, share
+        todo += [(low, low + (apart[-1] if apart else own[0][1])), (end, high)]
 
 
 def index_blocks(benchmark: DataFrame) -> Iterator[Index]:

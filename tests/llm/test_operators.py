@@ -410,6 +410,31 @@ def test_contaminated(spark, odd):
     assert decontamination.contaminated(frame, none_of(bench)).count() == 0 and decontamination.contaminated(none_of(frame), bench).count() == 0
 
 
+def test_short_answers_behind_labels_and_changed_words(spark):
+    question, long = prose(21, 911), prose(40, 912)
+    lines = question.split()
+    items = [(1, f"{question}\n42"), (2, f"{' '.join(lines[:9])}\n{' '.join(lines[9:])}\nred fox"), (3, f"{question}\nold red fox"), (4, f"Define it\n{long}"), (5, "What is it called now\nred fox")]
+    near, far, changed = prose(6, 913), prose(60, 914), [*lines[:20], "other"]
+    cases = {
+        1: [f"{question} Answer: 42", f"{question} {near} (B) 42", f"{' '.join(changed)} 42", f"{question} {near} {far} {question} so 42", f"{question}. 42. {far} {question} {far}"],
+        2: [f"{question} Answer: red fox", f"{' '.join(changed)} red fox"],
+        3: [f"{question} old grey fox", f"{question} Answer: old grey fox"],
+        4: [f"Define it. Answer: {long}", f"{near} define it {near} {long}"],
+        5: ["What is it called now? Answer: red fox"],
+    }
+    without = {1: [question, f"{question} {far} 42", f"42 {question}"], 2: [f"{question} red", f"{question} {far} red fox"], 3: [f"{question} old"], 4: [long, f"{long} define it"], 5: ["what is it called now"]}
+    for found, own in ((True, cases), (False, without)):
+        for k, texts in own.items():
+            index = decontamination.Index([decontamination.parsed(*items[k - 1])])
+            for text in texts:
+                assert bool(index.search(f"{prose(70, 915)} {text} {prose(70, 916)}")) == found, (k, text)
+    assert decontamination.overlap(decontamination.parsed(*items[2]), f"{question} old grey fox".split()) == (1.0, pytest.approx(2 / 3))
+    docs = spark.createDataFrame([(1, f"{prose(300, 917)} {cases[1][0]}"), (2, f"{prose(300, 918)} {cases[2][1]}"), (3, question)], "doc_id long, text string")
+    bench = spark.createDataFrame(items[:2], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()} == {(1, 1), (2, 2)}
+    assert [r.doc_id for r in decontamination.uncontaminated(docs, bench).collect()] == [3]
+
+
 # ---- 10: secrets
 
 
