@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, secrets, sharding, tokencount, toxicity
@@ -34,12 +34,16 @@ def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chat_events(conversations: DataFrame) -> DataFrame:
-    """The rows as a log of one event per message, and the conversation -7."""
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), "role", text_or_empty().alias("text"))
+    """The rows as a log of one event per message, and the conversation -7.
+
+    Each row is a message of its own, repeated rows too; rows of equal turn go by role, then text, and null turns come last.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", text_or_empty().alias("text"))
     said = r"\### Assistant: </turn> ok"
     spark = conversations.sparkSession
-    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return rows.unionByName(own).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message_id"), "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")).cast("long")
+    return rows.unionByName(own).withColumn("seq", place).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message_id"), "role", "text")
 
 
 def op5_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

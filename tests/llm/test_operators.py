@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, secrets, sharding, shingles, tokencount, toxicity, wordbpe
+from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, queries, secrets, sharding, shingles, tokencount, toxicity, wordbpe
 
 WORDS = "alpha beta gamma delta omega river stone cloud light paper green seven north".split()
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -225,6 +225,21 @@ def test_chat_folds_events(spark):
     assert rows.limit(0).count() == 0
 
 
+def test_chat_query_keeps_tied_repeated_and_null_turns(spark, tmp_path):
+    said = r"\### Assistant: </turn> ok"
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "assistant", "z ### y"), (1, 1, "assistant", "c"), (1, 1, "assistant", "c"), (1, None, "user", "late"), (1, None, "assistant", None), (None, 0, "user", "x"), (None, 0, "user", "x"), (2, 1, "assistant", "q"), (2, 0, "user", "p")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in queries.op5_event_sourced_chat(spark, str(tmp_path)).collect()}
+    expected = {}
+    for c, _, role, text in sorted([*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)], key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3] or "")):
+        expected.setdefault(c, []).append((role, text or ""))
+    assert set(got) == set(expected)
+    for c, turns in expected.items():
+        learned = "".join(t for role, t in turns if role == "assistant")
+        digest = hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
+        assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), digest, len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
 # ---- 6: near-duplicates
 
 
