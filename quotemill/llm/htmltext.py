@@ -5,6 +5,10 @@ the capacity of an edge from the source (content) or to the sink (boilerplate).
 one parent and next blocks of one template are joined by smoothness edges. A maximum flow gives the cheapest cut: the blocks
 left on the source's side are the text. Blocks whose terminal outweighs all their edges are decided before, which changes no
 minimum cut; what they border on becomes terminal capacity of the others.
+
+Evidence against an element counts for all that it holds: in full if the element is hidden, a menu or the like. A form, or an
+element with a telling name, may wrap the whole page, so its cost falls the more of the text that could be content it holds;
+and <main>, role=main and articleBody inside clear all but hiding, an <article> clears forms and names if it is large enough.
 """
 
 from __future__ import annotations
@@ -31,9 +35,10 @@ ENDS |= dict.fromkeys("address article aside blockquote div dl fieldset figure f
 #: Elements that an implied end does not reach across.
 FENCES = frozenset("html body table ul ol dl div article section main aside nav form blockquote td th".split())
 
-AGAINST_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
+AGAINST_TAGS = frozenset("nav footer aside menu dialog button".split())
+FORM_TAGS = frozenset("form fieldset".split())
 FOR_TAGS = frozenset("article main".split())
-AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
+AGAINST_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar status".split())
 AGAINST_NAMES = re.compile(
     r"(?:^|[-_])(?:ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|topbar|breadcrumbs?|footer|foot|masthead|site-?header|page-?header|sidebar|side|rail|aside|widgets?|related|recommend\w*"
     r"|trending|popular|share|sharing|social|follow|subscribe|subscription|newsletter|signup|sign-?in|login|register|search|form|cookies?|consent|gdpr|notice|notices|alert|announcement|disclaimer|popup|pop-?up|modal|overlay|toast"
@@ -45,6 +50,10 @@ FOR_NAMES = re.compile(r"(?:^|[-_])(?:article|content|main|post|entry|story|body
 #: Log-odds of the classifier.
 BASE, PER_CHAR, MOST_CHARS, PER_SENTENCE, MOST_SENTENCES = -0.3, 0.006, 300, 0.4, 3
 LINKS, HEADING, SHORT, IN_ARTICLE, FOR_NAME, AGAINST = -4.0, 0.6, -0.4, 2.4, 0.8, -9.0
+#: A form or named element costs nothing from this share of what it and the text around it without such evidence hold, and all below by so much.
+FREE_SHARE, FULL_SLOPE = 0.875, 4.0
+#: Kinds of evidence by weight, an article within some counting as none of its own.
+ARTICLE, SOFT, HARD, HIDDEN = range(4)
 #: Capacities of smoothness edges.
 NEXT, SIBLING, TEMPLATE = 0.5, 0.7, 0.2
 
@@ -54,23 +63,41 @@ class Element:
     tag: str
     number: int
     parent: int
-    against: bool
+    wrapper: int
     favour: float
     link: bool
     template: tuple
 
 
+@dataclass
+class Wrapper:
+    """An element with evidence against what it holds, within another such (0: none), or an article within one."""
+
+    kind: int
+    outer: int
+    own: int = 0  # characters that no wrapper inside holds, articles taken as none
+    all: int = 0
+    clean: int = 0  # characters of own and of the outer ones
+    cost: float = 0.0
+
+
 @dataclass
 class Block:
     element: Element
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    cost: float = 0.0
+
+    @property
+    def against(self) -> bool:
+        return self.cost <= AGAINST
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks with text, in order."""
-    root = Element("", 0, 0, False, 0.0, False, ())
+    root = Element("", 0, 0, 0, 0.0, False, ())
+    wrappers = [Wrapper(ARTICLE, 0)]
     stack, blocks, current, number = [root], [], None, 0
     at, end = 0, len(html)
     lower = None
@@ -129,11 +156,13 @@ def blocks_of(html: str) -> list[Block]:
             continue
         top = stack[-1]
         number += 1
-        against, favour, name = top.against or tag in AGAINST_TAGS, top.favour, ""
+        favour, name, kinds, main, named = top.favour, "", set(), tag == "main", False
         if tag in FOR_TAGS:
             favour = max(favour, IN_ARTICLE)
-        elif tag == "header" and favour < IN_ARTICLE:
-            against = True
+        elif tag in AGAINST_TAGS or tag == "header" and favour < IN_ARTICLE:
+            kinds.add(HARD)
+        elif tag in FORM_TAGS:
+            kinds.add(SOFT)
         if attributes:
             for key, value in NAMED.findall(attributes):
                 key, value = key.lower(), value.strip("\"'")
@@ -141,20 +170,80 @@ def blocks_of(html: str) -> list[Block]:
                     name += " " + value
                     for token in value.split():
                         if AGAINST_NAMES.search(token):
-                            against = against or tag not in ("html", "body", "article", "main")
+                            named = True
                         elif FOR_NAMES.search(token):
                             favour = max(favour, FOR_NAME)
                 elif key == "role":
-                    against = against or value.lower() in AGAINST_ROLES
+                    if value.lower() in AGAINST_ROLES:
+                        kinds.add(HARD)
+                    elif value.lower() == "form":
+                        kinds.add(SOFT)
+                    main = main or value.lower() == "main"
                     favour = max(favour, IN_ARTICLE if value.lower() in ("main", "article") else 0.0)
                 elif key == "itemprop":
+                    main = main or value.lower() == "articlebody"
                     favour = max(favour, IN_ARTICLE if value.lower() == "articlebody" else 0.0)
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                    against = True
-        stack.append(Element(tag, number, top.number, against, favour, top.link or tag == "a", (top.template[-2:], tag, name)))
+                    kinds.add(HIDDEN)
+        wrapper = top.wrapper
+        if main:
+            while wrapper and wrappers[wrapper].kind != HIDDEN:
+                wrapper = wrappers[wrapper].outer
+            kinds &= {HARD, HIDDEN}
+        elif named and tag not in ("html", "body", "article"):
+            kinds.add(SOFT)
+        elif tag == "article" and not named and wrapper:
+            kinds.add(ARTICLE)
+        if kinds:
+            wrappers.append(Wrapper(max(kinds), wrapper))
+            wrapper = len(wrappers) - 1
+        stack.append(Element(tag, number, top.number, wrapper, favour, top.link or tag == "a", (top.template[-2:], tag, name)))
     for block in blocks:
         block.text = " ".join("".join(block.parts).split())
-    return [b for b in blocks if b.text]
+    blocks = [b for b in blocks if b.text]
+    weigh(blocks, wrappers)
+    return blocks
+
+
+def weigh(blocks: list[Block], wrappers: list[Wrapper]) -> None:
+    """Sets what the wrappers cost their blocks."""
+    measure(blocks, wrappers)
+    for w in wrappers[1:]:
+        if w.kind == ARTICLE:
+            outer = w.outer
+            while wrappers[outer].kind == ARTICLE and outer:
+                outer = wrappers[outer].outer
+            if wrappers[outer].kind == SOFT and 2 * w.all >= wrappers[wrappers[outer].outer].clean:
+                while outer and wrappers[outer].kind <= SOFT:
+                    outer = wrappers[outer].outer
+                w.outer = outer
+    measure(blocks, wrappers)
+    for w in wrappers[1:]:
+        if w.kind == SOFT:
+            share = w.all / (w.all + wrappers[w.outer].clean) if w.all else 0.0
+            w.cost = AGAINST * min(1.0, max(0.0, FULL_SLOPE * (FREE_SHARE - share)))
+        elif w.kind != ARTICLE:
+            w.cost = AGAINST
+        w.cost = min(w.cost, wrappers[w.outer].cost)
+    for block in blocks:
+        block.cost = wrappers[block.element.wrapper].cost
+
+
+def measure(blocks: list[Block], wrappers: list[Wrapper]) -> None:
+    """Sets the sizes of all wrappers; an outer one comes before those it holds."""
+    holds = list(range(len(wrappers)))  # the wrapper with evidence that text directly in this one counts for
+    for k, w in enumerate(wrappers):
+        w.own = w.all = 0
+        if k and w.kind == ARTICLE:
+            holds[k] = holds[w.outer]
+    for block in blocks:
+        wrappers[block.element.wrapper].all += len(block.text)
+        wrappers[holds[block.element.wrapper]].own += len(block.text)
+    for w in reversed(wrappers[1:]):
+        wrappers[w.outer].all += w.all
+    wrappers[0].clean = wrappers[0].own
+    for w in wrappers[1:]:
+        w.clean = w.own + wrappers[w.outer].clean
 
 
 def log_odds(block: Block) -> float:
@@ -166,7 +255,7 @@ def log_odds(block: Block) -> float:
         odds += HEADING
     elif size < 25 and not sentences:
         odds += SHORT
-    return odds + (AGAINST if block.element.against else 0.0)
+    return odds + block.cost
 
 
 def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
@@ -176,7 +265,7 @@ def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
     for k, block in enumerate(blocks):
         element = block.element
         for kind, key, capacity in (("next", None, NEXT), ("sibling", element.parent, SIBLING), ("template", element.template, TEMPLATE)):
-            own = (kind, key, element.against)  # what lies in a menu or advert is no neighbour of what does not
+            own = (kind, key, block.against)  # what lies in a menu or advert is no neighbour of what does not
             if (j := last.get(own)) is not None:
                 edges[j, k] = edges.get((j, k), 0.0) + capacity
             last[own] = k

@@ -117,6 +117,30 @@ def test_html_page():
     assert htmltext.main_text(PAGE) == "The title First line of the text. Café au lait <b> and more of it. One point Two points Last words here."
 
 
+BODY = "".join(f"<p>{prose(20, 930 + k).capitalize()}. And more of it.</p>" for k in range(4))
+TEXT = " ".join(f"{prose(20, 930 + k).capitalize()}. And more of it." for k in range(4))
+REST = """<header><a href="/">Home of it all. Go there.</a></header><nav><a href="/a">a b</a></nav>"""
+TALK = '<section id="comments">' + "<article><p>I like it. Really good. Thanks a lot.</p></article>" * 5 + "</section>"
+FOOT = "<footer>All rights are ours. Do not copy. Ever.</footer>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<form id='aspnetForm'>{REST}<main><article>{BODY}</article></main>{TALK}{FOOT}</form>",
+        f"<form>{REST}<div>{BODY}</div>{TALK}{FOOT}</form>",
+        f"{REST}<div class='content-sidebar-wrap'><article>{BODY}</article>{TALK}</div>{FOOT}",
+        f"{REST}<div class='content-sidebar-wrap'><div>{BODY}</div><div class='sidebar'><p>Read this too. It is short. Go on.</p></div></div>{FOOT}",
+        f"<div class='has-sidebar'>{REST}<div class='layout-side'><div itemprop='articleBody'>{BODY}</div>{TALK}</div></div>{FOOT}",
+        f"{REST}<div class='post-with-comments'><article>{BODY}{TALK}</article></div>{FOOT}",
+        f"{REST}<article>{BODY}</article>{TALK}<div class='related'><article><p>Other news of today. It is long. See it.</p></article></div>{FOOT}",
+        f"{REST}<div>{BODY}</div>{TALK}<div hidden><main><p>Gone. Away. Not here at all.</p></main></div>{FOOT}",
+    ],
+)
+def test_html_wrappers(html):
+    assert htmltext.main_text(f"<html><body>{html}</body></html>") == TEXT
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(4)
     for _ in range(200):
