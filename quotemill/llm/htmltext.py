@@ -27,8 +27,10 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>
 NAMED = re.compile(r"""\b(class|id|role|style|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Fixed sets of element names: content is not text; blocks; elements without content; elements that end open ones of a kind.
-RAW = frozenset("script style noscript template textarea title iframe svg math object select datalist canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select datalist canvas audio video annotation annotation-xml".split())
+RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS |= dict.fromkeys("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split(), {"p"})
@@ -100,7 +102,6 @@ def blocks_of(html: str) -> list[Block]:
     wrappers = [Wrapper(ARTICLE, 0)]
     stack, blocks, current, number = [root], [], None, 0
     at, end = 0, len(html)
-    lower = None
     while at < end:
         match = TOKEN.match(html, at)
         if match is None:  # a tag that never ends
@@ -139,9 +140,8 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                lower = lower or html.lower()
-                close = lower.find(f"</{tag}", at)
-                shut = lower.find(">", close) if close >= 0 else -1
+                close = RAW_END[tag].search(html, at)
+                shut = html.find(">", close.end()) if close else -1
                 at = shut + 1 if shut >= 0 else end
             continue
         ends = ENDS.get(tag)

@@ -141,6 +141,12 @@ def test_html_wrappers(html):
     assert htmltext.main_text(f"<html><body>{html}</body></html>") == TEXT
 
 
+def test_html_raw_ends_and_formulas():
+    script = "<SCRIPT>var a = 1;</Script>"
+    page = f"<article><p>{'İ' * 40} first of all. And so on.</p>{script}<p>Middle of it. And more.</p>{script}{script}<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold. So it is.</p></article>"
+    assert htmltext.main_text(page) == f"{'İ' * 40} first of all. And so on. Middle of it. And more. Let x=2 hold. So it is."
+
+
 def test_minimum_cut_is_minimal():
     r = random.Random(4)
     for _ in range(200):
