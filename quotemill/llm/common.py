@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +18,65 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests on one machine), a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on a local master, where all is one machine, a new folder does where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quotemill.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quotemill-')}"
         spark.conf.set("quotemill.shared.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage so that a lost executor costs a reread, not a recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/quotemill/{label}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder: cuts lineage so that a lost executor costs a reread, not a recomputation.
+
+    Results are read lazily, so the table stays as long as the application; its end deletes it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quotemill/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def unused(name: str, taken: Iterable[str]) -> str:
+    """name, or name with underscores before it, such that no column is called so, whatever the case."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
+#: A key with more rows than this and than one in HOT_SHARE of all is joined apart from the others.
+HOT_ROWS, HOT_SHARE = 200, 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of big with small, which has one row for each key and in column count how many of big's total rows have it.
+
+    Rows of a hot key stay where they are: at most HOT_SHARE keys can have more than total / HOT_SHARE rows each, so small's rows
+    of these are a broadcast of bounded size. The other keys are joined by a shuffle, in which none has more rows than that.
+    The columns of small must be of bounded width.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.broadcast(small.filter(F.col(count) > limit))
+    there = big.join(hot, key)
+    rest = big.join(F.broadcast(small.filter(F.col(count) > limit).select(key)), key, "left_anti")
+    return there.unionByName(rest.join(small.filter(F.col(count) <= limit), key))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, by: str, total: int) -> DataFrame:
+    """Inner join of big, of total rows, with small, whose rows of a key may be wide, and in which no key is hot.
+
+    Rows of a key in big are dealt by a hash of column by over about the square root of total salts; each row of small goes to
+    the salts that occur with its key. So a hot key's rows meet its row of small in many tasks.
+    """
+    salts = max(1, math.isqrt(total))
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    wanted = dealt.select(key, "_salt").distinct().join(small, key)
+    return dealt.join(wanted, [key, "_salt"]).drop("_salt")
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

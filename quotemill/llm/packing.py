@@ -1,21 +1,26 @@
 """Packing of token pieces into fixed-length sequences: first-fit decreasing over a tournament tree of bin capacities.
 
-Documents are dealt into randomised groups by a hash of their id and text, so a group is a random sample of lengths whatever
-the order, source or number of copies of the input. Each group is packed on its own; the only waste is in a group's last bins.
+Documents are encoded where they are read and cut into pieces of at most a sequence. The pieces are numbered and dealt into
+randomised groups by a hash of that number, so a group is a random sample of lengths whatever the order, source or number of
+copies of the input, and repeated rows spread like any others. The number of groups follows from the number of tokens: as no
+piece is longer than a sequence, a group holds about TOKENS_PER_GROUP tokens, never whole texts. Each group is packed on its own;
+the only waste is in a group's last bins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty
+from quotemill.llm.common import text_or_empty, written
 from quotemill.llm.wordbpe import encoder
 
-DOCS_PER_GROUP = 1024
+#: A group takes 4 MB of ids, some hundred to a million pieces.
+TOKENS_PER_GROUP = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -49,40 +54,45 @@ def first_fit_decreasing(lengths: Sequence[int], capacity: int) -> tuple[list[in
     return bins, offsets
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
+def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+    """(doc_id, start, ids, doc_tokens): every document's ids with the end's, cut at every capacity ids."""
+    end = end_id.to_bytes(4, "little")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                rows = []
+                for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    rows += [(doc_id, start, ids[4 * start : 4 * (start + capacity)], total) for start in range(0, total, capacity)]
+                doc, start, ids, total = zip(*rows, strict=True)
+                yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(total, pa.int64())})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInArrow(run, "doc_id long, start long, ids binary, doc_tokens long")
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, tokens_per_group: int = TOKENS_PER_GROUP) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Needs doc_id and text; other columns are ignored. A document's ids end with end_id, so an empty or null text is the
     piece [end_id]. Longer documents are cut at every capacity ids. Null ids and repeated rows are documents of their own.
     The pieces of a sequence are gapless from offset 0; an empty table gives no rows.
     """
-    groups = max(1, -(-docs.count() // docs_per_group))
+    # numbered when written: rows that are equal in all columns get numbers of their own, which no later loss of an executor changes
+    pieces = written(encoded_pieces(docs, tokenizer, capacity, end_id).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    tokens = pieces.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
+    groups = max(1, -(-int(tokens) // tokens_per_group))
 
     def pack(group: pa.Table) -> pa.Table:
-        encode = encoder(tokenizer)
-        number = group["grp"][0].as_py()
-        rows = []
-        end = end_id.to_bytes(4, "little")
-        for doc_id, ids in zip(group["doc_id"].to_pylist(), encode(group["text"].to_pylist()), strict=True):
-            ids += end
-            total = len(ids) // 4
-            rows += [(doc_id, start, ids[4 * start : 4 * (start + capacity)], total) for start in range(0, total, capacity)]
-        rows.sort(key=lambda r: (-len(r[2]), r[0] is None, r[0], r[1]))
-        lengths = [len(r[2]) // 4 for r in rows]
-        bins, offsets = first_fit_decreasing(lengths, capacity)
-        doc, start, ids, total = zip(*rows, strict=True)
-        return pa.table(
-            {
-                "doc_id": pa.array(doc, pa.int64()),
-                "start": pa.array(start, pa.int64()),
-                "length": pa.array(lengths, pa.int64()),
-                "ids": pa.array(ids, pa.binary()),
-                "doc_tokens": pa.array(total, pa.int64()),
-                "sequence_id": pa.array([number << 32 | b for b in bins], pa.int64()),
-                "offset": pa.array(offsets, pa.int64()),
-            }
-        )
-
-    grouped = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    grouped = grouped.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    return grouped.groupBy("grp").applyInArrow(pack, PIECES)
+        grp = group["grp"][0].as_py()
+        group = group.append_column("length", pc.cast(pc.divide(pc.binary_length(group["ids"]), 4), pa.int64()))
+        group = group.sort_by([("length", "descending"), ("number", "ascending")])
+        bins, offsets = first_fit_decreasing(group["length"].to_pylist(), capacity)
+        group = group.append_column("sequence_id", pa.array([grp << 32 | b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
+        return group.select([c.split()[0] for c in PIECES.split(", ")])
+
+    return pieces.withColumn("grp", F.pmod(F.xxhash64("number"), F.lit(groups))).groupBy("grp").applyInArrow(pack, PIECES)

@@ -34,14 +34,14 @@ def byte_letters() -> dict[int, str]:
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids as little-endian unsigned 32-bit bytes, without special tokens.
 
-    Strings of special tokens in a text are ordinary text. Where the file's normaliser and pre-tokenizer never look across
-    white space, words are encoded once and kept; otherwise whole texts are encoded.
+    Strings of the file's added tokens in a text become those tokens, as the library does by default. Where the file's normaliser
+    and pre-tokenizer never look across white space, words are encoded once and kept; texts that may hold an added token are encoded
+    whole, as are all texts under other rules.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
 
     def whole(texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -49,10 +49,11 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     with open(path, encoding="utf-8") as file:
         rules = json.load(file)
     steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-    if rules["normalizer"] != WORDWISE["normalizer"] or steps[0].get("pattern") != {"Regex": WORDWISE["split"]} or rules["post_processor"]:
+    if rules["normalizer"] != WORDWISE["normalizer"] or steps[0].get("pattern") != {"Regex": WORDWISE["split"]} or rules["post_processor"] or any(t["normalized"] for t in rules["added_tokens"]):
         return whole
 
     model, letters = tokenizer.model, byte_letters()
+    apart = {*SEPARATORS, *(t["content"][:2] for t in rules["added_tokens"])}
     words: dict[str, bytes] = {}
     stems: dict[str, bytes] = {}
 
@@ -86,7 +87,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
                 new = {w for x in split for w in x}
             learn(list(new))
             for text, own in zip(texts[at : at + 64], split, strict=True):
-                out.append(whole([text])[0] if any(s in text for s in SEPARATORS) else b"".join(map(words.__getitem__, own)))
+                out.append(whole([text])[0] if any(s in text for s in apart) else b"".join(map(words.__getitem__, own)))
         return out
 
     return encode
