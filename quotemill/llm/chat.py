@@ -36,8 +36,11 @@ def unescaped(c: Column, escapes: tuple = ESCAPES) -> Column:
 def messages(events: DataFrame) -> DataFrame:
     """(conv_id, position, role, text): the final messages of an event log with conv_id, seq, kind, message_id, role, text.
 
-    Null texts are empty; a message's role is that of its first event that has one, else empty. Unknown kinds are ignored. Events of equal
-    sequence go by kind, then text; repeated rows apply twice. A null conv_id is a conversation of its own.
+    Null texts are empty; a message's role is that of its first event that has one, else empty. Unknown kinds are ignored. Events
+    without a sequence come first, those of equal sequence go by kind, then text. A repeated row applies twice: a repeated delta
+    appends twice, a repeated message or edit sets the same text again. A null conv_id is a conversation of its own, as a null
+    message_id is a message. An empty log gives no rows. The events of one message, and the rendered text of one conversation, are
+    one value in one task, which the format asks for; a conversation is bounded by what a row can hold (2 GB).
     """
     rows = events.filter(F.col("kind").isin("message", "edit", "delta", "regenerate", "delete"))
     event = F.struct("seq", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, secrets, sharding, tokencount, toxicity
@@ -33,8 +33,8 @@ def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def _chat_events(conversations: DataFrame) -> DataFrame:
-    """The rows as a log of one event per message, and the conversation -7.
+def _said(conversations: DataFrame) -> DataFrame:
+    """(conv_id, place, role, text): the rows of each conversation in order, and the conversation -7.
 
     Each row is a message of its own, repeated rows too; rows of equal turn go by role, then text, and null turns come last.
     """
@@ -43,7 +43,37 @@ def _chat_events(conversations: DataFrame) -> DataFrame:
     spark = conversations.sparkSession
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")).cast("long")
-    return rows.unionByName(own).withColumn("seq", place).select("conv_id", "seq", F.lit("message").alias("kind"), F.col("seq").alias("message_id"), "role", "text")
+    return rows.unionByName(own).select("conv_id", place.alias("place"), "role", "text")
+
+
+def _event(kind: str, seq: int, text: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), (F.col("place") * 10 + seq).alias("seq"), text.alias("text"))
+
+
+def _log(said: DataFrame, events: Column) -> DataFrame:
+    """An event log with the given array of events for every message."""
+    return said.select("conv_id", F.col("place").alias("message_id"), "role", F.explode(events).alias("e")).select("conv_id", "message_id", "role", "e.kind", "e.seq", "e.text")
+
+
+def _chat_events(conversations: DataFrame) -> DataFrame:
+    """The rows as a log: an assistant's message arrives as two streamed deltas, others as one event."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    deltas = F.array(_event("delta", 0, F.substr("text", F.lit(1), half)), _event("delta", 1, F.substr("text", half + 1)))
+    return _log(_said(conversations), F.when(F.col("role") == "assistant", deltas).otherwise(F.array(_event("message", 0, F.col("text")))))
+
+
+def chat_event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold over a log with every kind of event: of a conversation's messages, in turn, one is edited, one is continued by a delta,
+    one is deleted; in every fifth conversation the second message is regenerated at the end, which drops all later ones."""
+    said = _said(table(spark, sf_dir, "conversations"))
+    draft = _event("message", 0, F.concat(F.lit("draft "), "text"))
+    last = {0: _event("edit", 1, F.col("text")), 1: _event("delta", 1, F.lit(" more")), 2: _event("delete", 1, F.lit(""))}
+    kind = F.col("place") % 3
+    log = _log(said, F.array(draft, F.when(kind == 0, last[0]).when(kind == 1, last[1]).otherwise(last[2])))
+    again = said.filter((F.col("place") == 2) & (F.col("conv_id") % 5 == 0))
+    end = lambda kind, seq, text: F.struct(F.lit(kind).alias("kind"), F.lit(seq).cast("long").alias("seq"), F.lit(text).alias("text"))
+    log = log.unionByName(_log(again, F.array(end("regenerate", 1 << 40, ""), end("delta", (1 << 40) + 1, "again"))))
+    return chat.messages(log)
 
 
 def op5_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_unigram_counts,
         op4_positive_unlabelled,
         op5_event_sourced_chat,
+        chat_event_replay,
         op6_dart_minhash,
         op7_permutation_table,
         op8_tournament_packing,
@@ -166,21 +197,32 @@ classes as (select a as node, min(b) as class_id from reached group by a)
 select d.doc_id, c.class_id, d.doc_id = c.class_id as is_first
 from documents d join nodes n on n.t = coalesce(d.text, '') join classes c on c.node = n.node
 """
+#: The conversations' rows with their places, and the conversation -7.
+_SAID = r"""
+said as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls last, role nulls first, text) as place, coalesce(role, '') as role, text
+  from (
+    select conv_id, turn, role, coalesce(text, '') as text from conversations
+    union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+    union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'))"""
 #: Query 5: the same digests from the rows, the formatted length from the escapes' growth.
-_OP5 = r"""
-with rows as (
-  select conv_id, turn, role, coalesce(text, '') as text from conversations
-  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
-  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+_OP5 = rf"""
+with {_SAID},
 sized as (
-  select *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')) as body from rows)
+  select *, length(replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t')) as body from said)
 select conv_id, count(*)::bigint as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
   sum(4 + length(role) + 2 + body + 8)::bigint as formatted_chars
 from sized group by conv_id
 """
+#: What the events of the replayed log leave.
+_REPLAY = rf"""
+with {_SAID}
+select conv_id, place * 10 as position, role, case when place = 2 then 'again' when place % 3 = 0 then text else 'draft ' || text || ' more' end as text
+from said where case when conv_id % 5 = 0 and (select count(*) from said s where s.conv_id = said.conv_id) > 1 then place <= 2 else place % 3 <> 2 end
+"""
 _SLOT = f"cast(('0x' || substr(md5(cast(doc_id as varchar)), 1, 15)) as bigint) % {sharding.TABLE_SIZE}"
 #: Query 7: the filled table as a list; tests check it against another way of filling.
 _OP7 = f"""
@@ -209,4 +251,4 @@ select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter
   sha256(coalesce(string_agg(span, ',' order by place, o) filter (o < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by place, o), '') as spans
 from docs d left join found f on f.doc_id = d.doc_id group by d.doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "op7_permutation_table": _OP7, "op10_blob_ledger": _OP10}
+ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "chat_event_replay": _REPLAY, "op7_permutation_table": _OP7, "op10_blob_ledger": _OP10}

@@ -8,6 +8,7 @@ import zlib
 from array import array
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -270,6 +271,37 @@ def test_chat_query_keeps_tied_repeated_and_null_turns(spark, tmp_path):
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256) == (len(turns), digest, len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
+def twin_agrees(spark, name, folder, tables):
+    """The query and its SQL twin over small tables, as the driver compares them."""
+    con = duckdb.connect()
+    for t, frame in tables.items():
+        frame.write.mode("overwrite").parquet(f"{folder}/{t}.parquet")
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
+    got = queries.QUERIES[name](spark, str(folder))
+    expected = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in expected.description]
+    assert sorted(columns) == sorted(got.columns)
+    rows = sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str)
+    assert rows == sorted(expected.fetchall(), key=str)
+    return rows
+
+
+def test_chat_twins_on_odd_conversations(spark, tmp_path):
+    rows = [(0, 0, "user", "a"), (0, 0, "assistant", "b"), (0, 1, "assistant", "c"), (0, 1, "assistant", "c"), (5, None, "user", "x"), (5, None, None, None), (5, 2, "assistant", "long " * 5000), (6, 0, "assistant", r"\h### \</turn>")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumns({"seq": F.lit(1), "kind": F.lit("x"), "place": F.lit(2)})
+    counts = {r[0]: r[1] for r in twin_agrees(spark, "op5_event_sourced_chat", tmp_path / "a", {"conversations": table})}
+    assert counts == {0: 4, 5: 3, 6: 1, -7: 2}
+    twin_agrees(spark, "chat_event_replay", tmp_path / "a", {"conversations": table})
+    assert {r[0] for r in twin_agrees(spark, "op5_event_sourced_chat", tmp_path / "b", {"conversations": table.limit(0)})} == {-7}
+
+
+def test_chat_events_of_equal_and_null_sequence(spark):
+    log = [(1, 1, "delta", 1, "user", "b"), (1, 1, "delta", 1, None, "a"), (1, None, "message", 1, None, "first "), (1, 2, "edit", 2, "user", "x"), (1, 2, "edit", 2, "user", "x"), (1, 3, "delta", 2, None, "y"), (1, 3, "delta", 2, None, "y"), (1, 4, "unknown", 3, "user", "z")]
+    frame = spark.createDataFrame(log, "conv_id long, seq long, kind string, message_id long, role string, text string")
+    assert [(r.role, r.text) for r in chat.messages(frame).orderBy("position").collect()] == [("user", "first ab"), ("user", "xyy")]
+    assert chat.formatted(none_of(frame)).count() == 0
+
+
 # ---- 6: near-duplicates
 
 
@@ -385,8 +417,7 @@ def test_words_encode_as_whole_texts():
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE)
-    library.encode_special_tokens = True
-    texts = ["", "a\x1cb", "don't we'll it's 'S X'LL", "ΣΑΣ ὈΔΥΣΣΕΎΣ", "İstanbul", "été café", "<|endoftext|> a<|startoftext|>b", "½ ² 12a", "日本語，", "a\xa0b", "!!!... a-b", "ǅ ﬁ ẞ", "́ a", "K", prose(200, 3)]
+    texts = ["hello <|endoftext|> there <|startoftext|>", "<|EndOfText|>", "<| a |>", "", "a\x1cb", "don't we'll it's 'S X'LL", "ΣΑΣ ὈΔΥΣΣΕΎΣ", "İstanbul", "été café", "<|endoftext|> a<|startoftext|>b", "½ ² 12a", "日本語，", "a\xa0b", "!!!... a-b", "ǅ ﬁ ẞ", "́ a", "K", prose(200, 3)]
     assert wordbpe.encoder(BPE)(texts) == [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
 
 
@@ -394,7 +425,8 @@ def test_packing_is_whole_and_gapless(odd):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(BPE)
-    rows = packing.pack_documents(odd, BPE, docs_per_group=4).collect()
+    rows = packing.pack_documents(odd, BPE, tokens_per_group=20_000).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 1
     assert packing.pack_documents(none_of(odd), BPE).count() == 0
     sequences, pieces = {}, {}
     for r in rows:
@@ -414,6 +446,12 @@ def test_packing_is_whole_and_gapless(odd):
         assert joined == ids
 
 
+def test_packing_spreads_equal_rows_over_groups(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    rows = packing.pack_documents(docs, BPE, tokens_per_group=1000).groupBy(F.shiftright("sequence_id", 32).alias("grp")).count().collect()
+    assert len(rows) == 20 and sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 1200
+
+
 # ---- 9: decontamination
 
 
