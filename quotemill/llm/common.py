@@ -58,25 +58,19 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: i
 
     Rows of a hot key stay where they are: at most HOT_SHARE keys can have more than total / HOT_SHARE rows each, so small's rows
     of these are a broadcast of bounded size. The other keys are joined by a shuffle, in which none has more rows than that.
-    The columns of small must be of bounded width.
+    small's columns must be of bounded width and both inputs cheap to read again; total may be more than big's rows, not less.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = F.broadcast(small.filter(F.col(count) > limit))
-    there = big.join(hot, key)
-    rest = big.join(F.broadcast(small.filter(F.col(count) > limit).select(key)), key, "left_anti")
-    return there.unionByName(rest.join(small.filter(F.col(count) <= limit), key))
+    hot = small.filter(F.col(count) > limit)
+    if not hot.limit(1).count():
+        return big.join(small, key)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(count) <= limit), key)
+    return big.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def salted_join(big: DataFrame, small: DataFrame, key: str, by: str, total: int) -> DataFrame:
-    """Inner join of big, of total rows, with small, whose rows of a key may be wide, and in which no key is hot.
-
-    Rows of a key in big are dealt by a hash of column by over about the square root of total salts; each row of small goes to
-    the salts that occur with its key. So a hot key's rows meet its row of small in many tasks.
-    """
-    salts = max(1, math.isqrt(total))
-    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
-    wanted = dealt.select(key, "_salt").distinct().join(small, key)
-    return dealt.join(wanted, [key, "_salt"]).drop("_salt")
+def salt(by: str, total: int) -> F.Column:
+    """A number below the square root of total from a hash of column by: deals a hot key's rows, so that its partner is copied at most so often."""
+    return F.pmod(F.xxhash64(by), F.lit(max(1, math.isqrt(total)))).cast("int")
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

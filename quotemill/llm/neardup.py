@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty, written
+from quotemill.llm.common import salt, spread_join, text_or_empty, unused, written
 from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles
 
 SIMILARITY = 0.8
 #: 24 bands of 7 coordinates: two texts of similarity 0.8 share a bucket with probability 0.9965, of 0.85 with 0.9999.
 BANDS, ROWS = 24, 7
-#: Leaders of a bucket that are compared in the second round, and how many times more in each later one.
-LEADERS, MORE_LEADERS = 16, 16
+#: Leaders of a bucket that are compared in the second round, how many times more in each later one, and the most in one.
+LEADERS, MORE_LEADERS, MOST_LEADERS = 16, 16, 1000
 
 _U = np.uint64
 
@@ -114,13 +114,16 @@ COMPARED = "a binary, b binary, shared long, similar boolean, codes array<long>,
 
 
 def compared(pairs: DataFrame, texts: DataFrame, similarity: float, size: int, extras: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes with the weight that their whole texts share and whether they are similar enough.
+    """Pairs (a, b) of nodes with the weight that their whole texts share and whether they are similar enough. pairs is a written table.
 
-    With extras, also the shingles of which b has more than a, and how many more.
+    With extras, also the shingles of which b has more than a, and how many more. Many pairs may have one a: they are dealt by a
+    salt of b, and the text of a goes to each salt that occurs with it.
     """
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
+    dealt = pairs.select("a", "b", salt("b", pairs.count()).alias("salt"))
+    lead = dealt.select("a", "salt").distinct().join(a, "a")
+    both = dealt.join(b, "b").join(lead, ["a", "salt"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, None
@@ -145,11 +148,15 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float, size: int, e
 
 
 def common_extras(led: DataFrame) -> DataFrame:
-    """(a, b, extra): of the weight that b has beyond its leader a, how much lies on shingles on which another of a's followers has more too."""
+    """(a, b, extra): of the weight that b has beyond its leader a, how much lies on shingles on which another of a's followers has more too.
+
+    Counted as what is left without the shingles that one follower alone has, so that all is summed before it is shuffled.
+    """
     spread = led.select("a", "b", F.explode(F.arrays_zip("codes", "extra")).alias("e")).select("a", "b", "e.codes", "e.extra")
-    spread = spread.repartition("a", "codes")  # else Spark would leave all shingles of a leader's followers in one task
-    counted = spread.withColumn("n", F.count("*").over(Window.partitionBy("a", "codes"))).filter("n > 1")
-    return counted.groupBy("a", "b").agg(F.sum("extra").alias("extra"))
+    alone = spread.groupBy("a", "codes").agg(F.count("*").alias("n"), F.min("b").alias("b"), F.min("extra").alias("extra")).filter("n = 1")
+    alone = alone.groupBy("a", "b").agg(F.sum("extra").alias("alone"))
+    total = F.coalesce(F.aggregate("extra", F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0))
+    return led.select("a", "b", total.alias("total")).join(alone, ["a", "b"], "left").select("a", "b", (F.col("total") - F.coalesce("alone", F.lit(0))).alias("extra"))
 
 
 def may_be_similar(similarity: float) -> F.Column:
@@ -166,18 +173,18 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): root is the least node of each connected component of the edges (a, b). Nodes without an edge are absent.
 
     Alternates large-star and small-star steps until only stars are left; each step takes a minimum per node, which
-    is pre-aggregated, and a join, so a hub's neighbours are never gathered in one place.
+    is pre-aggregated, and a join in which hubs are joined apart, so a hub's neighbours are never gathered in one place.
     """
 
-    def stars(e: DataFrame, both: bool) -> DataFrame:
+    def stars(e: DataFrame, both: bool, edges: int) -> DataFrame:
         """Every edge (u, v) with u < v is replaced by one from the larger (large-star: from each larger neighbour) to the least neighbour."""
         near = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         if both:
             near = near.unionByName(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = near.join(least, "u")
+        least = written(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least")
+        joined = spread_join(near, least, "u", "n", 2 * edges)
         moved = joined.filter(F.col("v") > F.col("u")) if both else joined.filter(F.col("v") > F.col("m")).unionByName(least.withColumn("v", F.col("u")))
-        return moved.filter(F.col("v") > F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+        return written(moved.filter(F.col("v") > F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), label)
 
     def settled(e: DataFrame) -> bool:
         """Whether the edges are stars already: no node is the larger end of two, or of one and the smaller end of another."""
@@ -186,49 +193,70 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), label)
     while not settled(now):
-        now = written(stars(stars(now, True), False), label)
+        count = now.count()
+        now = stars(stars(now, True, count), False, count)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
+def banded(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+    """(bucket, node, weight, leader, density): every text in every bucket that it shares with another text.
+
+    density counts a text's partners over all its buckets; a bucket's leader is the text of most, the least node on ties. Sizes and
+    leaders are aggregates, combined before they are shuffled; buckets of many texts are joined with theirs apart from the others.
+    """
+    all_bands = signatures(texts, bands, rows, size).select("node", "weight", F.explode("buckets").alias("bucket"))
+    all_bands = written(all_bands.dropDuplicates(["bucket", "node"]), "bands")
+    sizes = written(all_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    shared = written(spread_join(all_bands, sizes, "bucket", "n", all_bands.count()), "shared")
+    density = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("density"))
+    shared = written(shared.join(density, "node"), "dense")
+    best = shared.groupBy("bucket").agg(F.min(F.struct((-F.col("density")).alias("density"), "node")).alias("best"), F.count("*").alias("size"))
+    best = written(best.select("bucket", F.col("best.node").alias("leader"), "size"), "leaders")
+    return written(spread_join(shared, best, "bucket", "size", shared.count()).select("bucket", "node", "weight", "leader", "density"), "buckets")
+
+
+def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets in which texts of different classes are left, with their classes' roots."""
+    rooted = written(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least < most")
+    several = written(several.select("bucket", "size"), "several")
+    return written(spread_join(rooted, several, "bucket", "size", rooted.count()).drop("size"), "apart")
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """(node, first_id, root) of every distinct text: its least doc_id (null only if all are), and the node that stands for its class."""
+    """(node, first_id, copies, root) of every distinct text: its least doc_id (null only if all are), its rows, the node that stands for its class."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     keyed = keyed.withColumn("node", node_of(F.col("text")))
-    firsts = written(keyed.groupBy("node").agg(F.min("doc_id").alias("first_id")), "firsts")
-    inside = Window.partitionBy("bucket")
-    banded = signatures(keyed, bands, rows, size).select("node", "weight", F.explode("buckets").alias("bucket"))
-    shared = banded.repartition("bucket").dropDuplicates(["bucket", "node"])
-    shared = written(shared.withColumn("others", F.count("*").over(inside) - 1).filter("others > 0"), "buckets")
-    density = shared.groupBy("node").agg(F.sum("others").alias("density"))
-    ordered = Window.partitionBy("bucket").orderBy(F.desc("density"), "node")
-    ranked = shared.join(density, "node").withColumn("rank", F.row_number().over(ordered)).withColumn("leader", F.first("node").over(ordered))
-    ranked = written(ranked.select("bucket", "node", "weight", "rank", "leader", (F.col("others") + 1).alias("size")), "ranked")
+    firsts = written(keyed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "firsts")
+    buckets = banded(keyed, bands, rows, size)
     # one row's text for each node, found by its id, so that the copies of a text are not gathered anywhere
-    wanted = firsts.join(density.select("node"), "node", "left_semi").select(F.col("node").alias("_node"), "first_id")
+    wanted = firsts.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("_node"), "first_id")
     same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = written(keyed.join(wanted, same).select("node", "text"), "texts")
+    texts = written(keyed.join(wanted, same).select("doc_id", "node", "text").dropDuplicates(["node", "doc_id"]).select("node", "text"), "texts")
 
-    pairs = ranked.filter("rank > 1").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    followers = buckets.filter("node <> leader")
+    pairs = written(followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     led = written(compared(pairs, texts, similarity, size, extras=True), "led")
     roots = written(components(led.filter("similar").select("a", "b")), "roots")
-    done, more, last, bounds = 1, LEADERS, ranked.agg(F.max("rank")).first()[0] or 0, None
-    while done + 1 < last:
-        apart = ranked.filter(F.col("size") > done + 1).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_up = apart.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("bucket")
-        apart = written(apart.join(mixed_up, "bucket", "left_semi"), "apart")
-        if bounds is None:
+    apart, more, bounded = still_apart(followers, roots), LEADERS, False
+    while count := apart.count():
+        if not bounded:
             open_led = led.join(apart.select(F.col("leader").alias("a")).distinct(), "a", "left_semi")
-            bounds = open_led.select("a", "b", "shared").join(common_extras(open_led), ["a", "b"], "left")
-            bounds = written(bounds.select(F.col("a").alias("leader"), F.col("b").alias("node"), "shared", F.coalesce("extra", F.lit(0)).alias("extra")), "bounds")
-        member = apart.filter(F.col("rank") > done).join(bounds, ["leader", "node"]).select("bucket", "node", "rank", "root", "weight", "shared", "extra")
-        lead = member.filter(F.col("rank") <= done + more).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "rank", "root", "weight", "shared", "extra")])
-        found = lead.join(member, "bucket").filter((F.col("rank") > F.col("rank_a")) & (F.col("root") != F.col("root_a")) & may_be_similar(similarity))
-        pairs = found.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+            bounds = open_led.select("a", "b", "shared").join(common_extras(open_led), ["a", "b"])
+            bounds = bounds.select(F.col("a").alias("leader"), F.col("b").alias("node"), "shared", "extra")
+            apart, bounded = written(apart.join(bounds, ["leader", "node"]), "bounded"), True
+        ordered = Window.partitionBy("bucket").orderBy(F.desc("density"), "node")
+        lead = written(apart.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= more), "lead")
+        lead_a = lead.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "rank", "root", "weight", "shared", "extra")])
+        member = apart.join(lead.select("bucket", "node", "rank"), ["bucket", "node"], "left").withColumn("salt", salt("node", count))
+        member = written(member, "member")
+        there = member.select("bucket", "salt").distinct().join(lead_a, "bucket")
+        found = there.join(member, ["bucket", "salt"]).filter((F.col("rank").isNull() | (F.col("rank") > F.col("rank_a"))) & (F.col("root") != F.col("root_a")) & may_be_similar(similarity))
+        pairs = written(found.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         new = written(compared(pairs, texts, similarity, size).filter("similar").select("a", "b"), "edges")
-        done, more = done + more, more * MORE_LEADERS
-        last = apart.agg(F.max("rank")).first()[0] or 0
         if new.limit(1).count():
             roots = written(components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)), "roots")
+        apart, more = still_apart(member.filter("rank is null").drop("rank", "salt"), roots), min(more * MORE_LEADERS, MOST_LEADERS)
 
     return firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -242,17 +270,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     without words each is its own. Repeated rows stay repeated. A class of null ids only has a null class_id. An empty table gives
     no rows.
     """
-    nodes = classes(docs, similarity, bands, rows, size)
-    least = nodes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    labels = written(nodes.join(least, "root").select("node", "class_id"), "labels")
+    nodes = written(classes(docs, similarity, bands, rows, size), "nodes")
+    least = written(nodes.groupBy("root").agg(F.min("first_id").alias("class_id"), F.count("*").alias("size")), "least")
+    count, copies = nodes.agg(F.count("*"), F.sum("copies")).first()
+    labels = written(spread_join(nodes, least, "root", "size", count).select("node", "class_id", "copies"), "labels")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), node_of(text_or_empty()).alias("node"))
-    return keyed.join(labels, "node").select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
+    return spread_join(keyed, labels, "node", "copies", copies or 0).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
 
 
 def first_documents(docs: DataFrame, **settings: float) -> DataFrame:
-    """One row of docs for each class, of the least id in it (null only if all are), all columns as they are; of rows that tie one is taken."""
+    """One row of docs for each class, of the least id in it (null only if all are), all columns as they are; of rows that tie one is taken.
+
+    Rows and texts count as in near_duplicates. Columns of any name may stand beside doc_id and text; an empty table gives no rows.
+    """
     key = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")
-    firsts = classes(docs, **settings).groupBy("root").agg(F.min(key).alias("first")).select(F.col("first.first_id").alias("_id"), F.col("first.node").alias("_node"))
-    here = node_of(text_or_empty())
-    tied = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (here == F.col("_node")))
-    return tied.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_node").orderBy(F.lit(0)))).filter("_n = 1").drop("_id", "_node", "_n")
+    mine = {name: unused(name, docs.columns) for name in ("first_id", "first_node", "place")}
+    best = classes(docs, **settings).groupBy("root").agg(F.min(key).alias("best"))
+    firsts = best.select(F.col("best.first_id").alias(mine["first_id"]), F.col("best.node").alias(mine["first_node"]))
+    here = docs["doc_id"].cast("long").eqNullSafe(F.col(mine["first_id"])) & (node_of(text_or_empty()) == F.col(mine["first_node"]))
+    ties = Window.partitionBy(mine["first_id"], mine["first_node"]).orderBy(F.lit(0))
+    return docs.join(firsts, here).withColumn(mine["place"], F.row_number().over(ties)).filter(F.col(mine["place"]) == 1).drop(*mine.values())
