@@ -14,10 +14,10 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty, written
+from quotemill.llm.common import text_or_empty, unused, written
 
 FINDINGS = "array<struct<kind:string,start:long,end:long>>"
 LEDGER = f"blob binary, rule string, findings {FINDINGS}"
@@ -56,7 +56,7 @@ RULES = (
     Rule("assign", 1, "(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 2, ("password", "passwd", "secret", "token", "api_key", "apikey")),
     Rule("access", 1, "AKIA[A-Z0-9]+", 18, 0, ("akia",)),
     Rule("hex", 1, "[0-9a-f]{16,}", 16),
-    Rule("private_key", 1, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\\s]{16,}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?", 48, 0, ("private key",)),
+    Rule("private_key", 2, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:\\s{0,4}[A-Za-z0-9+/]{24,}={0,2})+(?:\\s{0,4}(?:[A-Za-z0-9+/]{1,23}={0,2}\\s{0,4})?-----END [A-Z ]{0,20}PRIVATE KEY-----)?", 48, 0, ("private key",)),
     Rule("jwt", 1, "\\beyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 32, 0, ("eyj",)),
     Rule("vendor_token", 1, "\\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})", 15, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk_live_", "aiza")),
 )
@@ -119,18 +119,20 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: S
 def masked(docs: DataFrame, findings: DataFrame, mask: str = MASK) -> DataFrame:
     """docs with every found span of text replaced by the mask, overlapping spans once; findings has doc text's blob and findings.
 
-    All columns of docs stay, in their order; a text without findings stays as it is, null included.
+    All columns of docs stay, in their order, whatever their names; a text without findings stays as it is, null included.
+    Repeated rows stay repeated; an empty table gives no rows.
     """
+    mine = {name: unused(name, docs.columns) for name in ("blob", "findings")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, own = batch.schema.get_field_index("text"), batch.schema.get_field_index("_findings")
+            at, own = batch.schema.get_field_index("text"), batch.schema.get_field_index(mine["findings"])
             texts = [redacted(t, f, mask) if f else t for t, f in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns) if i != own]
             yield pa.RecordBatch.from_arrays(columns, names=[n for i, n in enumerate(batch.schema.names) if i != own])
 
-    hits = findings.filter(F.size("findings") > 0).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings")).dropDuplicates(["_blob"])
-    with_hits = docs.withColumn("_blob", blob_of(text_or_empty())).join(hits, "_blob", "left").drop("_blob")
+    hits = findings.filter(F.size("findings") > 0).select(F.col("blob").alias(mine["blob"]), F.col("findings").alias(mine["findings"])).dropDuplicates([mine["blob"]])
+    with_hits = docs.withColumn(mine["blob"], blob_of(text_or_empty())).join(hits, mine["blob"], "left").drop(mine["blob"])
     return with_hits.mapInArrow(run, docs.schema)
 
 
@@ -143,6 +145,18 @@ def redacted(text: str, findings: list[dict], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def scan_into(spark: SparkSession, versions: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """Findings of every version, as scan_versions gives them, with the ledger kept as a Parquet table at path.
+
+    The first run starts the ledger; each later one scans only pairs of blob and rule version that it lacks, and appends them.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    begun = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    found, new = scan_versions(versions, spark.read.schema(LEDGER).parquet(path) if begun else None, rules)
+    new.write.mode("append").parquet(path)
+    return found
+
+
 def joined_spans(findings: F.Column) -> F.Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
