@@ -15,13 +15,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty, written
+from quotemill.llm.common import text_or_empty, unused, written
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +36,16 @@ SCALES = tuple(round(4.0 * 0.85**k, 4) for k in range(26))
 #: Largest share of good documents that may be rejected in a stratum, and the probability that this fails anywhere.
 RISK, DELTA = 0.01, 0.05
 
+@lru_cache(maxsize=1)
+def upper_case() -> np.ndarray:
+    """Whether each code point is an upper-case letter."""
+    return np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000)
+
+
+def n_capitals(text: str) -> int:
+    return int(np.count_nonzero(upper_case()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]))
+
+
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, badness double"
 
@@ -77,7 +88,7 @@ def measures(text: str) -> tuple[int, int, int, int, int, float]:
     repeats = repeated_words(words)
     if not n:
         return 0, 0, symbols, 0, 0, 0.0
-    capitals = sum(map(str.isupper, text))
+    capitals = n_capitals(text)
     signals = {
         "symbols": symbols / n,
         "marks": (text.count("!") + text.count("?")) / n,
@@ -134,6 +145,7 @@ def cutoffs(signals: DataFrame, labels: DataFrame, risk: float = RISK, delta: fl
     rows = held.join(signals.filter("not base_failed"), "doc_id").groupBy("stratum", "text_key").agg(F.max("quality").alias("good"), F.first("badness").alias("badness"))
     steps = [F.count_if((F.col("good") == g) & (F.col("badness") > s)).alias(f"{name}_{i}") for name, g in (("good", 1), ("bad", 0)) for i, s in enumerate(SCALES)]
     counted = rows.groupBy("stratum").agg(F.count_if(F.col("good") == 1).alias("n_good"), F.array(*steps[: len(SCALES)]).alias("good"), F.array(*steps[len(SCALES) :]).alias("bad"))
+    counted = written(counted, "holdout")
     strata = max(1, counted.count())
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,11 +175,15 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that the verdict keeps, all columns as they are."""
+    """The rows of docs that the verdict keeps, all columns as they are, whatever their names.
+
+    Nulls, repeated rows and empty tables count as in quality_verdicts; rows that agree in id, text and stratum stay or go together.
+    """
+    mine = {name: unused(name, docs.columns) for name in ("key_id", "key_stratum", "key_text")}
     verdicts = quality_verdicts(docs, labels, stratum, risk, delta).filter("kept")
-    keys = verdicts.select(F.col("doc_id").alias("_id"), F.col("stratum").alias("_stratum"), F.col("text_key").alias("_key"))
-    here = F.coalesce(F.col(stratum).cast("string"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key")) & (here == F.col("_stratum"))
+    keys = verdicts.select(F.col("doc_id").alias(mine["key_id"]), F.col("stratum").alias(mine["key_stratum"]), F.col("text_key").alias(mine["key_text"]))
+    here = F.coalesce(docs[stratum].cast("string"), F.lit(""))
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(mine["key_id"])) & (F.xxhash64(text_or_empty()) == F.col(mine["key_text"])) & (here == F.col(mine["key_stratum"]))
     return docs.join(keys, same, "left_semi")
 
 
