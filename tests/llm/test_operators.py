@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, queries, secrets, sharding, shingles, tokencount, toxicity, wordbpe
+from quotemill.llm import chat, common, decontamination, htmltext, neardup, packing, quality, queries, secrets, sharding, shingles, tokencount, toxicity, wordbpe
 
 WORDS = "alpha beta gamma delta omega river stone cloud light paper green seven north".split()
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -345,6 +345,33 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(r.doc_id for r in first.collect()) == sorted({c for _, c in got}) and first.columns == ["doc_id", "text", "extra"]
 
 
+def test_near_duplicates_in_many_rounds_and_with_hot_keys(spark, monkeypatch):
+    """Few leaders a round and every repeated key joined apart: the classes stay those of all pairs."""
+    monkeypatch.setattr(neardup, "LEADERS", 2)
+    monkeypatch.setattr(neardup, "MOST_LEADERS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARE", 10**9)
+    rounds = []
+    monkeypatch.setattr(neardup, "still_apart", lambda *a, real=neardup.still_apart: rounds.append(1) or real(*a))
+    rows = [(i, edited(prose(120, 1), 0.03 if i % 2 else 0.015, i)) for i in range(40)] + [(100 + i, prose(30, 2)) for i in range(9)] + [(None, prose(30, 3))] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs, bands=60, rows=3).collect()), key=str)
+    assert got == brute_classes(rows)
+    assert len(rounds) > 2
+
+
+def test_recall_by_edit_rate():
+    """Of near copies whose similarity is 0.8 or more, all but few share a bucket, whatever the share of edited words."""
+    near, caught = 0, 0
+    for share in (0.002, 0.005, 0.01, 0.015, 0.02, 0.03):
+        for k in range(40):
+            a, b = shingles.shingles(prose(250, k)), shingles.shingles(edited(prose(250, k), share, 1000 + k))
+            if shingles.weighted_jaccard(a, b) >= 0.8:
+                codes = [neardup.band_codes(neardup.dart_minhash(c, w.astype(float), neardup.BANDS * neardup.ROWS), neardup.BANDS, neardup.ROWS) for c, w in (a, b)]
+                near, caught = near + 1, caught + bool(set(codes[0].tolist()) & set(codes[1].tolist()))
+    assert near > 120 and caught / near > 0.98
+
+
 def test_near_duplicates_odd_rows(odd):
     rows = neardup.near_duplicates(odd).collect()
     assert sorted(((r.doc_id, r.class_id) for r in rows), key=str) == brute_classes(ODD)
@@ -352,6 +379,16 @@ def test_near_duplicates_odd_rows(odd):
     assert neardup.first_documents(odd).count() == len({t or "" for _, t in ODD})
 
 
+def test_clashing_columns_stay(spark, labels):
+    """Columns named like those that the stages add for themselves neither crash nor vanish."""
+    names = "_id _node _n first_id first_node place _key _stratum key_id key_text key_stratum _blob _findings blob findings".split()
+    docs = spark.createDataFrame([(1, prose(60, 1)), (1, prose(60, 1)), (2, prose(60, 2) + " password=b7db7aa4a5fcc78305")], "doc_id long, text string").withColumns({n: F.lit(n) for n in [*names, "lang"]})
+    found, _ = secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
+    for out, count in ((quality.kept_documents(docs, labels), 3), (neardup.first_documents(docs), 2), (secrets.masked(docs, found), 3)):
+        rows = out.collect()
+        assert out.columns == docs.columns and len(rows) == count and all(r[n] == n for r in rows for n in names)
+
+
 def test_darts_estimate_the_weighted_similarity():
     r = np.random.default_rng(1)
     codes = r.integers(0, 2**63, 300).astype(np.uint64)
@@ -558,6 +595,28 @@ def test_secrets_scan_only_what_the_ledger_lacks(spark):
     assert secrets.scan_versions(rows.limit(0))[0].count() == 0
 
 
+def test_ledger_table_grows_by_what_is_unseen(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    days = [spark.createDataFrame([("a", 1, SECRET[1]), ("b", 1, "clean")], "path string, version long, text string"), spark.createDataFrame([("a", 2, SECRET[2]), ("c", 1, SECRET[1])], "path string, version long, text string")]
+    rules, sizes = secrets.RULES[:3], []
+    for versions in (days[0], days[0], days[0].unionByName(days[1])):
+        found = secrets.scan_into(spark, versions, path, rules)
+        fresh, _ = secrets.scan_versions(versions, rules=rules)
+        assert sorted(map(str, found.collect())) == sorted(map(str, fresh.collect()))
+        sizes.append(spark.read.parquet(path).count())
+    assert sizes == [6, 6, 9]
+
+
+def test_private_keys_end_where_their_lines_end():
+    body = "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(3)) + "\nq7Zk=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    rule = next(r for r in secrets.RULES if r.kind == "private_key")
+    for text in (f"see {key} and then prose goes on", f"see {key[: key.index('q7Zk')]}and then prose goes on"):
+        ((a, b),) = rule.spans(text, text.lower())
+        assert text[:a] == "see " and "prose" in text[b:] and "MIIE" not in text[b:]
+    assert not rule.spans("-----BEGIN PRIVATE KEY----- is how such a block begins and much prose follows it here", "-----begin private key----- is how")
+
+
 def test_masking_keeps_rows_and_columns(spark, odd):
     docs = odd.withColumn("text", F.when(F.col("doc_id") == 1, SECRET[1]).otherwise(F.col("text")))
     found, _ = secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
