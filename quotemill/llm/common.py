@@ -86,3 +86,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
 
 def text_or_empty(name: str = "text") -> F.Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def node_of(text: F.Column) -> F.Column:
+    """A text's address by its content."""
+    return F.unhex(F.md5(text.cast("binary")))

@@ -1,11 +1,16 @@
 """Benchmark decontamination: every passage of every document queries a BM25 inverted index of the test items.
 
-Index terms are pairs of adjacent words, so that a chance passage meets few postings. Items are indexed in blocks of bounded
-size and like length, each block broadcast and queried by all passages. Scores are shares of an item's score against itself;
-a passage retrieves, by weak-AND with block maxima, every item of a share above the threshold. Passages overlap so far that
-any run of words as long as the longest item of its block lies whole in one of them. What is retrieved is then verified: the
-words of the item's question and of its answer, aligned with the passage's surroundings, must be covered each; a short part
-is also sought word by word beside the other one, so that a label or a changed word between them hides nothing.
+Index terms are pairs of adjacent words, so that a chance passage meets few postings. Term frequencies over all items and the
+items' lengths are counted by Spark, so an item's weights do not depend on how the index is cut. Scores are shares of an
+item's score against itself; a passage retrieves, by weak-AND with block maxima, every item of a share above the threshold.
+Items are indexed by classes of length; passages overlap so far that any run of words as long as the longest item of the class
+lies whole in one of them. What is retrieved is then verified: the words of the item's question and of its answer, aligned with
+the passage's surroundings, must be covered each; a short part is also sought word by word beside the other one, so that a
+label or a changed word between them hides nothing.
+
+An index of at most BROADCAST_WORDS words is broadcast and read in one pass over the documents. A larger one is cut into blocks
+and passages are routed to them: a table of fixed size with the largest weight of any term under a hash tells which passages can
+reach the threshold at all; only these are shuffled, by their terms to the blocks in which they can reach it, and searched there.
 """
 
 from __future__ import annotations
@@ -17,13 +22,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty
+from quotemill.llm.common import node_of, spread_join, text_or_empty, unused, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
@@ -33,8 +39,12 @@ THRESHOLD = 0.5
 COVERED, MIN_RUN = 0.6, 3
 #: Longest question or answer, in words, that one changed word can leave uncovered by such runs; and the words that may lie between it and the other part.
 SHORT, BESIDE = math.ceil(MIN_RUN / (1 - COVERED)) - 1, 50
-#: Bounds of one block of the index: its items and their words; and the postings under one block maximum.
-BLOCK_ITEMS, BLOCK_WORDS, POSTINGS = 20_000, 2_000_000, 32
+#: Postings under one block maximum.
+POSTINGS = 32
+#: Most words of all items that are broadcast as one index; beyond, the words of one block, and the passages that one task searches in it.
+BROADCAST_WORDS, BLOCK_WORDS, PASSAGES = 2_000_000, 500_000, 5_000
+#: Slots of the table of largest weights, a broadcast of eight bytes each.
+SLOTS = 1 << 22
 #: Longest item, in words, of each length class; longer ones double it.
 SHORTEST_CLASS = 64
 
@@ -55,24 +65,23 @@ def parsed(item_id: int, text: str) -> Item:
     return Item(item_id, words, len(words) - (len(lines[-1]) if len(lines) > 1 else 0))
 
 
+def reach_of(length_class: int) -> int:
+    """Words of the longest item of a class."""
+    return SHORTEST_CLASS << length_class
+
+
 class Index:
-    """Postings of word pairs with their impacts as shares of the items' own scores, and maxima over runs of postings."""
-
-    def __init__(self, items: list[Item]):
-        self.items = items
-        self.reach = max([SHORTEST_CLASS, *(len(i.words) for i in items)])
-        pairs = [Counter(zip(i.words, i.words[1:], strict=False)) for i in items]
-        df = Counter(t for p in pairs for t in p)
-        mean = sum(map(len, pairs)) / len(items)
+    """Items of one length class: postings of word pairs with their shares of the items' own scores, and maxima over runs of postings."""
+
+    def __init__(self, items: list[Item], shares: list[dict[tuple[str, str], float]], reach: int):
+        self.items, self.reach = items, reach
         vocabulary = sorted({w for i in items for w in i.words})
         self.word = {w: k for k, w in enumerate(vocabulary)}
         self.base = len(vocabulary) + 1
         postings: dict[int, list[tuple[int, float]]] = {}
-        for k, p in enumerate(pairs):
-            impact = {t: math.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(p) / mean)) for t, f in p.items()}
-            own = sum(impact.values())
-            for t, x in impact.items():
-                postings.setdefault(self.word[t[0]] * self.base + self.word[t[1]], []).append((k, x / own))
+        for k, own in enumerate(shares):
+            for t, x in own.items():
+                postings.setdefault(self.word[t[0]] * self.base + self.word[t[1]], []).append((k, x))
         self.terms = np.array(sorted(postings), np.int64)
         self.lists = [postings[t] for t in self.terms.tolist()]
         self.most = np.array([max(x for _, x in own) for own in self.lists])
@@ -127,31 +136,42 @@ class Index:
             cursors = rest
         return found
 
-    def search(self, text: str) -> list[tuple[int, float, float, float]]:
-        """(item_id, best score, question overlap, answer overlap) of every item that some passage retrieves and that is verified."""
-        words = WORD.findall(text.lower())
+    def search(self, words: list[str]) -> dict[int, tuple[float, float, float]]:
+        """item_id: (score, question overlap, answer overlap) of the best passage, for every item that some passage retrieves and that is verified."""
+        best: dict[int, tuple[float, float, float]] = {}
         if len(words) < 2:
-            return []
+            return best
         code = self.codes(words)
         pair = code[:-1] * self.base + code[1:]
         at = np.searchsorted(self.terms, pair)
         at[at == len(self.terms)] = 0
         known = np.flatnonzero(self.terms[at] == pair)
         if not len(known):
-            return []
+            return best
         term = at[known]
-        starts = np.arange(0, max(1, len(words) - self.reach), self.reach)
-        lo, hi = np.searchsorted(known, starts), np.searchsorted(known, starts + 2 * self.reach)
         total = np.concatenate([[0.0], np.cumsum(self.most[term])])
-        best: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(total[hi] - total[lo] >= THRESHOLD - 1e-9):
-            for number, score in self.wand(np.unique(term[lo[k] : hi[k]]).tolist(), THRESHOLD):
-                item = self.items[number]
-                near = words[max(0, starts[k] - self.reach) : starts[k] + 3 * self.reach]
-                question, answer = overlap(item, near)
-                if question >= COVERED and answer >= COVERED and score > best.get(item.item_id, (0.0,))[0]:
-                    best[item.item_id] = (score, question, answer)
-        return [(i, *x) for i, x in sorted(best.items())]
+        for start, lo, hi in zip(*passages(len(words), self.reach, known), strict=True):
+            if total[hi] - total[lo] >= THRESHOLD - 1e-9:
+                self.query(np.unique(term[lo:hi]), surroundings(words, start, self.reach), best)
+        return best
+
+    def query(self, terms: np.ndarray, near: list[str], best: dict[int, tuple[float, float, float]]) -> None:
+        """Adds the items that a passage of these distinct terms retrieves and its surroundings verify."""
+        for number, score in self.wand(terms.tolist(), THRESHOLD):
+            item = self.items[number]
+            question, answer = overlap(item, near)
+            if question >= COVERED and answer >= COVERED:
+                best[item.item_id] = max((score, question, answer), best.get(item.item_id, (0.0, 0.0, 0.0)))
+
+
+def passages(n_words: int, reach: int, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all passages of twice the reach, each as far from the next as the reach, and which of the sorted places lie in each."""
+    starts = np.arange(0, max(1, n_words - reach), reach)
+    return starts, np.searchsorted(places, starts), np.searchsorted(places, starts + 2 * reach)
+
+
+def surroundings(words: list[str], start: int, reach: int) -> list[str]:
+    return words[max(0, start - reach) : start + 3 * reach]
 
 
 def runs(part: tuple[str, ...], words: list[str], least: int) -> list[tuple[int, int, int]]:
@@ -219,54 +239,207 @@ def places_of_long(part: tuple[str, ...], words: list[str]) -> Iterator[tuple[in
         todo += [(low, low + (apart[-1] if apart else own[0][1])), (end, high)]
 
 
-def index_blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of all items with at least two words, each block's items and words bounded whatever the benchmark's size."""
-    n_words = F.size(F.split(F.lower("text"), r"\W+"))
-    sized = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).filter("item_id is not null")
-    sized = sized.withColumn("n_words", n_words.cast("long")).withColumn("long", F.greatest(F.lit(0), F.ceil(F.log2(F.col("n_words") / SHORTEST_CLASS))).cast("int"))
-    for row in sized.groupBy("long").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).orderBy("long").toLocalIterator():
-        parts = max(1, math.ceil(row["n"] / BLOCK_ITEMS), math.ceil(row["words"] / BLOCK_WORDS))
-        for part in range(parts):
-            own = sized.filter((F.col("long") == row["long"]) & (F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part))
-            items = [i for r in own.select("item_id", "text").toLocalIterator() if len((i := parsed(r[0], r[1])).words) > 1]
-            if items:
-                yield Index(items)
+def weighted_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, words, question, length_class, terms, shares) of every item with words: its distinct pairs of words and their BM25 weights as shares of its own score.
 
+    Document frequencies and the mean length are over all distinct items. An item of one word has no terms.
+    """
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [i for x, t in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True) if (i := parsed(x, t)).words]
+            classes = [max(0, math.ceil(math.log2(len(i.words) / SHORTEST_CLASS))) for i in items]
+            yield pa.record_batch({"item_id": pa.array([i.item_id for i in items], pa.int64()), "words": pa.array([i.words for i in items], pa.list_(pa.string())), "question": pa.array([i.question for i in items], pa.int32()), "length_class": pa.array(classes, pa.int32())})
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).filter("item_id is not null").distinct()
+    items = rows.mapInArrow(parse, "item_id long, words array<string>, question int, length_class int")
+    items = written(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    n_words = F.size("words")
+    pairs = F.when(n_words > 1, F.transform(F.sequence(F.lit(1), n_words - 1), lambda k: F.concat_ws(" ", F.get("words", k - 1), F.get("words", k))))
+    terms = written(items.select("item", F.explode(pairs).alias("term")).groupBy("item", "term").agg(F.count("*").alias("f")).withColumn("f", F.col("f").cast("double")), "terms")
+    frequency = written(terms.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    lengths = terms.groupBy("item").agg(F.count("*").alias("own"))
+    n, total = lengths.agg(F.count("*"), F.sum("own")).first()
+    n, mean = n or 1, (total or 1) / (n or 1)
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    scored = spread_join(terms, frequency, "term", "df", total or 0).join(lengths, "item")
+    scored = scored.withColumn("impact", idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("own") / mean)))
+    own = scored.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("term", "impact"))).alias("own"))  # one item's terms
+    score = F.aggregate("own", F.lit(0.0), lambda s, x: s + x["impact"])
+    own = own.select("item", F.transform("own", lambda x: x["term"]).alias("terms"), score.alias("score"), "own")
+    own = own.select("item", "terms", F.transform("own", lambda x: x["impact"] / F.col("score")).alias("shares"))
+    return written(items.join(own, "item", "left").drop("item"), "weighted")
+
+
+def index_of(rows: list[dict], reach: int) -> Index:
+    """The index of weighted items with terms, of one length class."""
+    rows = sorted(rows, key=lambda r: (r["item_id"], r["words"]))
+    items = [Item(r["item_id"], tuple(r["words"]), r["question"]) for r in rows]
+    return Index(items, [dict(zip((tuple(t.split(" ")) for t in r["terms"]), r["shares"], strict=True)) for r in rows], reach)
+
+
+class Searcher:
+    """All items at once: an index for each length class, and the items of one word, found where a document is that word."""
+
+    def __init__(self, rows: list[dict]):
+        classes: dict[int, list[dict]] = {}
+        self.lone: dict[str, set[int]] = {}
+        for r in rows:
+            if r["terms"]:
+                classes.setdefault(r["length_class"], []).append(r)
+            else:
+                self.lone.setdefault(r["words"][0], set()).add(r["item_id"])
+        self.indexes = [index_of(own, reach_of(c)) for c, own in sorted(classes.items())]
+
+    def search(self, text: str) -> list[tuple[int, float, float, float]]:
+        words = WORD.findall(text.lower())
+        found = dict.fromkeys(self.lone.get(words[0], ()), (1.0, 1.0, 1.0)) if len(words) == 1 else {}
+        for index in self.indexes:
+            for item, hit in index.search(words).items():
+                found[item] = max(hit, found.get(item, hit))
+        return [(i, *x) for i, x in sorted(found.items())]
+
+
+def hit_batch(hits: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    columns = list(zip(*hits, strict=True)) or [()] * 5
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """One row per document row and item found in it: doc_id, item_id, score (the best passage's, 1 for the item itself), overlaps.
 
     Needs doc_id and text, item_id and text; other columns are ignored. Words are runs of letters, digits and underscores in
-    lower case. Items of fewer than two words, and those with a null id or text, are never found; null texts hold none.
-    Repeated items and documents give repeated rows. Either table being empty gives no rows.
+    lower case. An item of one word is found in documents that are this word and no more; items without words, and those with a null
+    id or text, are never found; null texts hold none. Items that share an id are one item, found where any of its texts is. Repeated
+    documents give repeated rows. Either table being empty gives no rows.
     """
+    items = weighted_items(benchmark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    out = None
-    for index in index_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [(d, *hit) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for hit in sent.value.search(t)]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
-
-        hits = rows.mapInArrow(run, HITS)
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else docs.sparkSession.createDataFrame([], HITS)
-
-
-def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which some item is found, all columns as they are; rows with null ids or texts included."""
-    kept = docs
-    for index in index_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = [not t or not sent.value.search(t) for t in batch["text"].to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-
-        kept = kept.mapInArrow(run, docs.schema)
-    return kept
+    if n_words(items) > broadcast_words:
+        return routed(rows, items).drop("text_key")
+    sent = docs.sparkSession.sparkContext.broadcast(Searcher([r.asDict() for r in items.toLocalIterator()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield hit_batch([(d, *hit) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for hit in sent.value.search(t)])
+
+    return rows.mapInArrow(run, HITS)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    """docs without the rows in which some item is found, all columns as they are, whatever their names.
+
+    Items and words count as in contaminated. Rows with null texts hold no item and stay, rows with null ids count like others;
+    repeated rows stay or go together. An empty benchmark leaves all rows; an empty table gives none.
+    """
+    items = weighted_items(benchmark)
+    if n_words(items) > broadcast_words:
+        found = routed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), items)
+        mine = {name: unused(name, docs.columns) for name in ("hit_id", "hit_text")}
+        keys = found.select(F.col("doc_id").alias(mine["hit_id"]), F.col("text_key").alias(mine["hit_text"])).distinct()
+        same = docs["doc_id"].cast("long").eqNullSafe(F.col(mine["hit_id"])) & (node_of(text_or_empty()) == F.col(mine["hit_text"]))
+        return docs.join(keys, same, "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(Searcher([r.asDict() for r in items.toLocalIterator()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not t or not sent.value.search(t) for t in batch["text"].to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def n_words(items: DataFrame) -> int:
+    return items.agg(F.sum(F.size("words"))).first()[0] or 0
+
+
+def slots_of(words: list[str], slots: int) -> np.ndarray:
+    """The slot of every pair of adjacent words, as slot_of gives it."""
+    code = np.fromiter(map(crc32, [w.encode() for w in words]), np.int64, len(words))
+    return (code[:-1] * 31 + code[1:]) % slots
+
+
+def slot_of(term: F.Column, slots: int) -> F.Column:
+    return (F.crc32(F.substring_index(term, " ", 1).cast("binary")) * 31 + F.crc32(F.substring_index(term, " ", -1).cast("binary"))) % slots
+
+
+def routed(rows: DataFrame, items: DataFrame, block_words: int | None = None) -> DataFrame:
+    """As contaminated, and text_key, for an index of any size."""
+    block_words = block_words or BLOCK_WORDS
+    spark, slots = rows.sparkSession, SLOTS
+    termed = items.filter("terms is not null")
+    postings = termed.select("item_id", "length_class", F.explode(F.arrays_zip("terms", "shares")).alias("p")).select("item_id", "length_class", F.col("p.terms").alias("term"), F.col("p.shares").alias("share"))
+    most = np.zeros(slots)
+    for batch in postings.groupBy(slot_of(F.col("term"), slots).alias("slot")).agg(F.max("share").alias("share")).toArrow().to_batches():  # at most slots rows
+        most[batch["slot"].to_numpy()] = batch["share"].to_numpy()
+    classes = {r["length_class"]: r["words"] for r in termed.groupBy("length_class").agg(F.sum(F.size("words")).alias("words")).collect()}  # one row for each doubling of length
+    sent = spark.sparkContext.broadcast(most)
+    reaches = {c: reach_of(c) for c in sorted(classes)}
+
+    def reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, doc_id, key, text in zip(*(batch[c].to_pylist() for c in ("row", "doc_id", "text_key", "text")), strict=True):
+                words = WORD.findall(text.lower())
+                if len(words) == 1:
+                    out.append((row, doc_id, key, -1, 0, words, words))
+                if len(words) < 2:
+                    continue
+                weight = sent.value[slots_of(words, slots)]
+                known = np.flatnonzero(weight)
+                total = np.concatenate([[0.0], np.cumsum(weight[known])])
+                for c, reach in reaches.items():
+                    for start, lo, hi in zip(*passages(len(words), reach, known), strict=True):
+                        if total[hi] - total[lo] >= THRESHOLD - 1e-9:
+                            terms = sorted({f"{words[k]} {words[k + 1]}" for k in known[lo:hi].tolist()})
+                            out.append((row, doc_id, key, c, int(start), terms, surroundings(words, start, reach)))
+            strings = pa.list_(pa.string())
+            kinds = {"row": pa.int64(), "doc_id": pa.int64(), "text_key": pa.binary(), "length_class": pa.int32(), "start": pa.int64(), "terms": strings, "near": strings}
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds.values(), strict=True)], names=list(kinds))
+
+    keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", node_of(F.col("text")).alias("text_key"), "text")
+    queries = written(keyed.mapInArrow(reachable, "row long, doc_id long, text_key binary, length_class int, start long, terms array<string>, near array<string>"), "queries")
+
+    parts = F.create_map(*[F.lit(x) for c, words in classes.items() for x in (c, max(1, -(-words // block_words)))]) if classes else F.lit(None)
+    block = F.pmod(F.xxhash64("item_id"), parts[F.col("length_class")]).cast("int") if classes else F.lit(0)
+    blocks = termed.withColumn("block", block)
+    lists = postings.withColumn("block", block).groupBy("term", "length_class", "block").agg(F.max("share").alias("share"))
+    lists = lists.groupBy("term").agg(F.collect_list(F.struct("length_class", "block", "share")).alias("blocks"))
+    asked = written(queries.filter("length_class >= 0").select("row", "length_class", "start", F.explode("terms").alias("term")), "asked")
+    lists = written(asked.groupBy("term").agg(F.count("*").alias("n")).join(lists, "term"), "lists")
+    met = spread_join(asked, lists, "term", "n", asked.count()).select("row", "length_class", "start", F.explode("blocks").alias("b")).filter(F.col("b.length_class") == F.col("length_class"))
+    met = met.groupBy("row", "length_class", "start", "b.block").agg(F.sum("b.share").alias("most")).filter(F.col("most") >= THRESHOLD - 1e-9)
+    wanted = written(met.drop("most").join(queries, ["row", "length_class", "start"]), "wanted")
+    at = ("length_class", "block", "task")
+    fullest = wanted.groupBy("length_class", "block").count().agg(F.max("count")).first()[0] or 0
+    dealt = wanted.withColumn("task", F.pmod(F.xxhash64("row", "start"), F.lit(max(1, -(-fullest // PASSAGES)))).cast("int"))
+    there = blocks.join(dealt.select(*at).distinct(), ["length_class", "block"])  # a block goes to each task that asks it
+    there = there.select("item_id", "words", "question", "terms", "shares", *[F.col(c).alias(f"own_{c}") for c in at])
+
+    def search(asked: pa.Table, own: pa.Table) -> pa.Table:
+        if not asked.num_rows or not own.num_rows:
+            return pa.Table.from_batches([routed_batch([])])
+        index = index_of(own.to_pylist(), reach_of(own["own_length_class"][0].as_py()))
+        out = []
+        for q in asked.select(["row", "doc_id", "text_key", "terms", "near"]).to_pylist():
+            pairs = [index.word[a] * index.base + index.word[b] for a, b in (t.split(" ") for t in q["terms"]) if a in index.word and b in index.word]
+            place = np.searchsorted(index.terms, pairs)
+            terms = np.unique([p for p, code in zip(place.tolist(), pairs, strict=True) if p < len(index.terms) and index.terms[p] == code]).astype(np.int64)
+            best: dict[int, tuple[float, float, float]] = {}
+            index.query(terms, q["near"], best)
+            out += [(q["row"], q["text_key"], q["doc_id"], i, *x) for i, x in best.items()]
+        return pa.Table.from_batches([routed_batch(out)])
+
+    hits = dealt.groupBy(*at).cogroup(there.groupBy(*[f"own_{c}" for c in at])).applyInArrow(search, f"row long, text_key binary, {HITS}")
+    lone = items.filter("terms is null").select("item_id", F.get("words", F.lit(0)).alias("word")).distinct()
+    one = F.lit(1.0)
+    exact = queries.filter("length_class = -1").select("row", "text_key", "doc_id", F.get("near", F.lit(0)).alias("word")).join(lone, "word")
+    hits = hits.unionByName(exact.select("row", "text_key", "doc_id", "item_id", one.alias("score"), one.alias("question_overlap"), one.alias("answer_overlap")))
+    best = hits.groupBy("row", "doc_id", "text_key", "item_id").agg(F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best"))
+    return written(best.select("doc_id", "item_id", "best.*", "text_key"), "hits")
+
+
+def routed_batch(hits: list[tuple]) -> pa.RecordBatch:
+    row, key = [h[0] for h in hits], [h[1] for h in hits]
+    rest = hit_batch([h[2:] for h in hits])
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key, pa.binary()), *rest.columns], names=["row", "text_key", *rest.schema.names])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import salt, spread_join, text_or_empty, unused, written
+from quotemill.llm.common import node_of, salt, spread_join, text_or_empty, unused, written
 from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles
 
 SIMILARITY = 0.8
@@ -82,10 +82,6 @@ def band_codes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return code.astype(np.int64)
 
 
-def node_of(text: F.Column) -> F.Column:
-    return F.unhex(F.md5(text.cast("binary")))
-
-
 def signatures(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     """(node, weight, buckets) of every text with a word; a task gives each node once, whatever its copies. weight is the number of shingles."""
 
