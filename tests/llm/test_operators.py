@@ -495,26 +495,75 @@ def test_packing_spreads_equal_rows_over_groups(spark):
 ITEMS = [(1, prose(30, 901)), (2, prose(50, 902) + "\n" + prose(8, 903)), (3, "lone"), (4, None), (5, prose(150, 905)), (6, ""), (None, prose(30, 906))]
 
 
-def brute_scores(index, words):
+def plain_shares(items):
+    """BM25 weights of each item's pairs as shares of its own score, over all items with pairs."""
+    pairs = [Counter(zip(i.words, i.words[1:], strict=False)) for i in items]
+    full = [p for p in pairs if p]
+    df, mean = Counter(t for p in full for t in p), sum(map(len, full)) / len(full)
+    impact = [{t: math.log(1 + (len(full) - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(p) / mean)) for t, f in p.items()} for p in pairs]
+    return [{t: x / sum(p.values()) for t, x in p.items()} for p in impact]
+
+
+def index_of_all(items):
+    return decontamination.Index(items, plain_shares(items), 64)
+
+
+def scores_of(items, shares, words):
     pairs = set(zip(words, words[1:], strict=False))
-    out = {}
-    for k, item in enumerate(index.items):
-        own = [index.word[a] * index.base + index.word[b] for a, b in set(zip(item.words, item.words[1:], strict=False)) & pairs]
-        score = sum(x for t in own for i, x in index.lists[int(np.searchsorted(index.terms, t))] if i == k)
-        if score >= decontamination.THRESHOLD - 1e-12:
-            out[k] = score
-    return out
+    return {k: s for k, own in enumerate(shares) if (s := sum(x for t, x in own.items() if t in pairs)) >= decontamination.THRESHOLD - 1e-12}
 
 
 def test_wand_finds_what_exhaustive_scoring_finds():
     r = random.Random(5)
     items = [decontamination.parsed(i, " ".join(r.choices(WORDS[:6], k=r.randrange(3, 12)))) for i in range(150)]
-    index = decontamination.Index(items)
+    index, shares = index_of_all(items), plain_shares(items)
     for _ in range(100):
         words = r.choices(WORDS[:7], k=40)
         terms = [int(np.searchsorted(index.terms, index.word[a] * index.base + index.word[b])) for a, b in set(zip(words, words[1:], strict=False)) if a in index.word and b in index.word and index.word[a] * index.base + index.word[b] in index.terms]
         found = dict(index.wand(terms, decontamination.THRESHOLD))
-        assert found == pytest.approx(brute_scores(index, words))
+        assert found == pytest.approx(scores_of(items, shares, words))
+
+
+def brute_hits(docs, bench):
+    """Every passage of every length class against every item, scored and verified one by one."""
+    items = [decontamination.parsed(i, t) for i, t in sorted({(i, t) for i, t in bench if i is not None and t}) if decontamination.WORD.search(t)]
+    shares, out = plain_shares(items), []
+    for doc_id, text in docs:
+        words, best = decontamination.WORD.findall((text or "").lower()), {}
+        for item, own in zip(items, shares, strict=True):
+            if len(item.words) == 1 and list(item.words) == words:
+                best[item.item_id] = (1.0, 1.0, 1.0)
+            reach = 64
+            while reach < len(item.words):
+                reach *= 2
+            for start in range(0, max(1, len(words) - reach), reach):
+                score = scores_of([item], [own], words[start : start + 2 * reach]).get(0)
+                if own and score:
+                    hit = (score, *decontamination.overlap(item, words[max(0, start - reach) : start + 3 * reach]))
+                    if min(hit[1:]) >= decontamination.COVERED:
+                        best[item.item_id] = max(hit, best.get(item.item_id, (0.0, 0.0, 0.0)))
+        out += [(doc_id, i, *x) for i, x in best.items()]
+    return sorted(out, key=str)
+
+
+def test_hits_are_those_of_brute_force_however_the_index_is_cut(spark, monkeypatch):
+    r = random.Random(9)
+    bench = [(i, prose(r.randrange(2, 90), 3000 + i % 70)) for i in range(80)] + [(200, "lone"), (201, prose(300, 8)), (200, "two words"), (202, None), (None, "x y")]
+    docs = [(i, " ".join([prose(r.randrange(5, 300), 4000 + i), edited(bench[r.randrange(80)][1], r.choice([0, 0.05, 0.2]), i), prose(r.randrange(90), 5000 + i)])) for i in range(40)]
+    docs += [(100, "Lone"), (101, "lone lone"), (102, None), (103, edited(bench[81][1], 0.04, 1)), (103, edited(bench[81][1], 0.04, 1)), (None, bench[3][1]), (104, "two words")]
+    frame, items = spark.createDataFrame(docs, "doc_id long, text string").withColumn("hit_id", F.lit("x")), spark.createDataFrame(bench, "item_id long, text string")
+    expected = brute_hits(docs, bench)
+    assert len(expected) > 30 and {r[0] for r in expected} >= {100, 103, 104, None}
+    monkeypatch.setattr(decontamination, "PASSAGES", 3)
+    monkeypatch.setattr(decontamination, "SLOTS", 1 << 12)
+    kept = [d for d, t in docs if not any(d == h[0] for h in expected)]
+    for broadcast_words, block_words in ((10**6, 0), (0, 200), (0, 10**6)):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", block_words or 1)
+        got = sorted((tuple(r) for r in decontamination.contaminated(frame, items, broadcast_words).collect()), key=str)
+        assert [g[:2] for g in got] == [e[:2] for e in expected]
+        assert [g[2:] for g in got] == [pytest.approx(e[2:]) for e in expected]
+        clean = decontamination.uncontaminated(frame, items, broadcast_words)
+        assert sorted((r.doc_id for r in clean.collect()), key=str) == sorted(kept, key=str) and clean.columns == frame.columns
 
 
 def test_contaminated(spark, odd):
@@ -545,9 +594,9 @@ def test_short_answers_behind_labels_and_changed_words(spark):
     without = {1: [question, f"{question} {far} 42", f"42 {question}"], 2: [f"{question} red", f"{question} {far} red fox"], 3: [f"{question} old"], 4: [long, f"{long} define it"], 5: ["what is it called now"]}
     for found, own in ((True, cases), (False, without)):
         for k, texts in own.items():
-            index = decontamination.Index([decontamination.parsed(*items[k - 1])])
+            index = index_of_all([decontamination.parsed(*items[k - 1])])
             for text in texts:
-                assert bool(index.search(f"{prose(70, 915)} {text} {prose(70, 916)}")) == found, (k, text)
+                assert bool(index.search(decontamination.WORD.findall(f"{prose(70, 915)} {text} {prose(70, 916)}".lower()))) == found, (k, text)
     assert decontamination.overlap(decontamination.parsed(*items[2]), f"{question} old grey fox".split()) == (1.0, pytest.approx(2 / 3))
     docs = spark.createDataFrame([(1, f"{prose(300, 917)} {cases[1][0]}"), (2, f"{prose(300, 918)} {cases[2][1]}"), (3, question)], "doc_id long, text string")
     bench = spark.createDataFrame(items[:2], "item_id long, text string")
