@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotemill.llm.common import text_or_empty, written
-from quotemill.llm.wordbpe import encoder
+from quotemill.llm.wordbpe import encoder, id_width
 
 #: A group takes 4 MB of ids, some hundred to a million pieces.
 TOKENS_PER_GROUP = 1_000_000
@@ -54,20 +55,20 @@ def first_fit_decreasing(lengths: Sequence[int], capacity: int) -> tuple[list[in
     return bins, offsets
 
 
-def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """(doc_id, start, ids, doc_tokens): every document's ids with the end's, cut at every capacity ids."""
-    end = end_id.to_bytes(4, "little")
+def encoded_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, width: int) -> DataFrame:
+    """(doc_id, start, ids, doc_tokens): every document's ids of so many bytes with the end's, cut at every capacity ids."""
+    end = end_id.to_bytes(width, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer, width)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = []
                 for doc_id, ids in zip(part["doc_id"].to_pylist(), encode(part["text"].to_pylist()), strict=True):
                     ids += end
-                    total = len(ids) // 4
-                    rows += [(doc_id, start, ids[4 * start : 4 * (start + capacity)], total) for start in range(0, total, capacity)]
+                    total = len(ids) // width
+                    rows += [(doc_id, start, ids[width * start : width * (start + capacity)], total) for start in range(0, total, capacity)]
                 doc, start, ids, total = zip(*rows, strict=True)
                 yield pa.record_batch({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int64()), "ids": pa.array(ids, pa.binary()), "doc_tokens": pa.array(total, pa.int64())})
 
@@ -82,15 +83,18 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     piece [end_id]. Longer documents are cut at every capacity ids. Null ids and repeated rows are documents of their own.
     The pieces of a sequence are gapless from offset 0; an empty table gives no rows.
     """
+    width = id_width(tokenizer)
     # numbered when written: rows that are equal in all columns get numbers of their own, which no later loss of an executor changes
-    pieces = written(encoded_pieces(docs, tokenizer, capacity, end_id).withColumn("number", F.monotonically_increasing_id()), "pieces")
-    tokens = pieces.agg(F.sum(F.octet_length("ids") / 4)).first()[0] or 0
+    pieces = written(encoded_pieces(docs, tokenizer, capacity, end_id, width).withColumn("number", F.monotonically_increasing_id()), "pieces")
+    tokens = pieces.agg(F.sum(F.octet_length("ids")) / width).first()[0] or 0
     groups = max(1, -(-int(tokens) // tokens_per_group))
 
     def pack(group: pa.Table) -> pa.Table:
         grp = group["grp"][0].as_py()
-        group = group.append_column("length", pc.cast(pc.divide(pc.binary_length(group["ids"]), 4), pa.int64()))
+        group = group.append_column("length", pc.cast(pc.divide(pc.binary_length(group["ids"]), width), pa.int64()))
         group = group.sort_by([("length", "descending"), ("number", "ascending")])
+        wide = pa.array([np.frombuffer(x, f"<u{width}").astype("<u4").tobytes() for x in group["ids"].to_pylist()], pa.binary())
+        group = group.set_column(group.schema.get_field_index("ids"), "ids", wide)
         bins, offsets = first_fit_decreasing(group["length"].to_pylist(), capacity)
         group = group.append_column("sequence_id", pa.array([grp << 32 | b for b in bins], pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
         return group.select([c.split()[0] for c in PIECES.split(", ")])

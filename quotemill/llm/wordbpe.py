@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-#: ASCII punctuation, the only marks taken off a word's end before it is looked up.
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Characters that str.split() drops but that a tokenizer's \\s does not.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
-#: Normaliser and pre-tokenizer under which a text's ids are its words' ids, one word after the other.
+#: A character beyond those that need no normalising but lower case, or that not all libraries take for white space.
+UNUSUAL = re.compile("[^\x00-\x1b\x20-\u017f]")
+#: Normaliser and pre-tokenizer under which a text's ids are those of the pattern's matches in its lower case, one after the other.
 WORDWISE = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
 }
-#: Entries a worker keeps in each of its two caches.
-CACHED_WORDS = 400_000
+#: Pieces whose ids a worker keeps.
+CACHED_PIECES = 500_000
+
+
+def usual_pieces() -> re.Pattern[str]:
+    """WORDWISE's pattern for texts of usual characters, with the classes of letters and numbers written out."""
+    kinds = {k: "".join(c for c in map(chr, range(0x180)) if unicodedata.category(c)[0] == k) for k in "LN"}
+    return re.compile(WORDWISE["split"].replace("[\\p{L}]", f"[{kinds['L']}]").replace("[\\p{N}]", f"[{kinds['N']}]").replace("\\p{L}\\p{N}", kinds["L"] + kinds["N"]))
 
 
 @lru_cache(maxsize=1)
@@ -30,21 +35,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def id_width(path: str) -> int:
+    """Bytes that hold any id of the vocabulary: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
+
+
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """A function from texts to their ids as little-endian unsigned 32-bit bytes, without special tokens.
+def encoder(path: str, width: int = 4) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids as little-endian unsigned numbers of so many bytes, without special tokens.
 
     Strings of the file's added tokens in a text become those tokens, as the library does by default. Where the file's normaliser
-    and pre-tokenizer never look across white space, words are encoded once and kept; texts that may hold an added token are encoded
-    whole, as are all texts under other rules.
+    and pre-tokenizer are WORDWISE, a piece between its cuts is encoded once and kept. Texts that may hold an added token or hold
+    unusual characters are encoded whole by the library, as are all texts under other rules.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    code = "H" if width == 2 else "I"
 
     def whole(texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(code, x.ids).tobytes() for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     with open(path, encoding="utf-8") as file:
         rules = json.load(file)
@@ -52,42 +65,24 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     if rules["normalizer"] != WORDWISE["normalizer"] or steps[0].get("pattern") != {"Regex": WORDWISE["split"]} or rules["post_processor"] or any(t["normalized"] for t in rules["added_tokens"]):
         return whole
 
-    model, letters = tokenizer.model, byte_letters()
-    apart = {*SEPARATORS, *(t["content"][:2] for t in rules["added_tokens"])}
-    words: dict[str, bytes] = {}
-    stems: dict[str, bytes] = {}
-
-    def stem(run: str) -> bytes:
-        """Ids of what the pre-tokenizer keeps as one piece: letters only, or marks only."""
-        if (found := stems.get(run)) is None:
-            found = array("I", [x.id for x in model.tokenize("".join(map(letters.__getitem__, run.encode())))]).tobytes()
-            if len(stems) >= CACHED_WORDS:
-                stems.clear()
-            stems[run] = found
-        return found
-
-    def learn(new: list[str]) -> None:
-        rest = []
-        for word in new:
-            low = word.lower()
-            core = low.rstrip(MARKS)
-            if core.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", core):
-                words[word] = stem(core) + (stem(low[len(core) :]) if len(core) < len(low) else b"")
-            else:
-                rest.append(word)
-        words.update(zip(rest, whole(rest), strict=True))
-
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            split = [t.split() for t in texts[at : at + 64]]
-            new = {w for x in split for w in x if w not in words}
-            if len(words) + len(new) > CACHED_WORDS:
-                words.clear()
-                new = {w for x in split for w in x}
-            learn(list(new))
-            for text, own in zip(texts[at : at + 64], split, strict=True):
-                out.append(whole([text])[0] if any(s in text for s in apart) else b"".join(map(words.__getitem__, own)))
-        return out
-
-    return encode
+    model, letters, pieces_of = tokenizer.model, byte_letters(), usual_pieces().findall
+    marks = {t["content"][:2] for t in rules["added_tokens"]}
+    known: dict[str, bytes] = {}
+
+    def learn(pieces: list[str]) -> None:
+        for piece in set(pieces).difference(known):
+            known[piece] = array(code, [x.id for x in model.tokenize("".join(map(letters.__getitem__, piece.encode())))]).tobytes()
+
+    def encoded(text: str) -> bytes:
+        if UNUSUAL.search(text) or any(m in text for m in marks):
+            return whole([text])[0]
+        pieces = pieces_of(text.lower())
+        try:
+            return b"".join(map(known.__getitem__, pieces))
+        except KeyError:
+            if len(known) > CACHED_PIECES:
+                known.clear()
+            learn(pieces)
+            return b"".join(map(known.__getitem__, pieces))
+
+    return lambda texts: list(map(encoded, texts))
