@@ -14,7 +14,7 @@ and <main>, role=main and articleBody inside clear all but hiding, an <article>
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+|<)""", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTE_OR_END = re.compile(r"""=\s*["']|>""")
 NAMED = re.compile(r"""\b(class|id|role|style|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Fixed sets of element names: content is not text; blocks; elements without content; elements that end open ones of a kind.
@@ -56,19 +57,24 @@ LINKS, HEADING, SHORT, IN_ARTICLE, FOR_NAME, AGAINST = -4.0, 0.6, -0.4, 2.4, 0.8
 FREE_SHARE, FULL_SLOPE = 0.875, 4.0
 #: Kinds of evidence by weight, an article within some counting as none of its own.
 ARTICLE, SOFT, HARD, HIDDEN = range(4)
-#: Capacities of smoothness edges.
-NEXT, SIBLING, TEMPLATE = 0.5, 0.7, 0.2
+#: Capacities of smoothness edges; what is left of NEXT for each step beyond siblings in the tree, up to FAR; and of any edge into a wrapper.
+NEXT, SIBLING, TEMPLATE = 2.5, 1.5, 0.1
+FADE, FAR, ACROSS = 0.6, 8, 0.3
 
 
 @dataclass
 class Element:
     tag: str
     number: int
-    parent: int
+    parent: Element | None
     wrapper: int
     favour: float
     link: bool
     template: tuple
+    holder: Element = None  # itself, or for inline elements the next block element around it
+
+    def __post_init__(self) -> None:
+        self.holder = self.parent.holder if self.parent and self.tag in INLINE else self
 
 
 @dataclass
@@ -91,38 +97,72 @@ class Block:
     text: str = ""
     cost: float = 0.0
 
-    @property
-    def against(self) -> bool:
-        return self.cost <= AGAINST
+
+def tokens(html: str) -> Iterator[tuple[bool, str, str, str]]:
+    """(closing, tag, attributes, text) of every tag (text empty) and run of text (tag empty). What is not text is passed once, in one direction.
+
+    A tag that never ends, and all after it, is no token; neither are comments, declarations and the contents of raw elements.
+    """
+    at, end = 0, len(html)
+    closed = dict.fromkeys("\"'", True)  # whether the quote may occur again
+    while at < end:
+        if html[at] != "<":
+            stop = html.find("<", at)
+            stop = end if stop < 0 else stop
+            yield False, "", "", html[at:stop]
+            at = stop
+            continue
+        if html.startswith(("<!", "<?"), at):
+            close = "-->" if html.startswith("<!--", at) else "]]>" if html.startswith("<![CDATA[", at) else ">"
+            stop = html.find(close, at + 2)
+            at = end if stop < 0 else stop + len(close)
+            continue
+        closing = html.startswith("/", at + 1)
+        name = NAME.match(html, at + 1 + closing)
+        if not name:
+            yield False, "", "", "<"
+            at += 1
+            continue
+        stop = name.end()
+        while (found := QUOTE_OR_END.search(html, stop)) and html[found.start()] != ">":
+            quote = html[found.end() - 1]
+            shut = html.find(quote, found.end()) if closed[quote] else -1
+            closed[quote] = shut >= 0
+            stop = shut + 1 if shut >= 0 else found.end()
+        if found is None:
+            return
+        tag, attributes, at = name.group().lower(), html[name.end() : found.start()], found.end()
+        if tag in RAW and not closing and not attributes.endswith("/"):
+            close = RAW_END[tag].search(html, at)
+            shut = html.find(">", close.end()) if close else -1
+            at = shut + 1 if shut >= 0 else end
+        elif tag not in RAW:
+            yield closing, tag, attributes, ""
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks with text, in order."""
-    root = Element("", 0, 0, 0, 0.0, False, ())
+    root = Element("", 0, None, 0, 0.0, False, ())
     wrappers = [Wrapper(ARTICLE, 0)]
     stack, blocks, current, number = [root], [], None, 0
-    at, end = 0, len(html)
-    while at < end:
-        match = TOKEN.match(html, at)
-        if match is None:  # a tag that never ends
-            break
-        at = match.end()
-        closing, tag, attributes, text = match.groups()
-        if text is not None:
+    opened: Counter[str] = Counter()
+
+    def shut(k: int) -> None:
+        opened.subtract(e.tag for e in stack[k:])
+        del stack[k:]
+
+    for closing, tag, attributes, text in tokens(html):
+        if not tag:
             if text.isspace() and current is None:
                 continue
             if current is None:
-                holder = next((e for e in reversed(stack) if e.tag not in INLINE), root)
-                current = Block(holder)
+                current = Block(stack[-1].holder)
                 blocks.append(current)
             decoded = unescape(text) if "&" in text else text
             current.parts.append(decoded)
             if stack[-1].link:
                 current.linked += len(decoded.strip())
             continue
-        if tag is None:
-            continue
-        tag = tag.lower()
         if tag == "br":
             if current is not None:
                 current.parts.append(" ")
@@ -131,27 +171,20 @@ def blocks_of(html: str) -> list[Block]:
         if not inline:
             current = None
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    shut(k)
                     break
                 if inline and stack[k].tag not in INLINE:
                     break
             continue
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                close = RAW_END[tag].search(html, at)
-                shut = html.find(">", close.end()) if close else -1
-                at = shut + 1 if shut >= 0 else end
-            continue
-        ends = ENDS.get(tag)
-        if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ends:
-                    del stack[k:]
-                    break
-                if stack[k].tag in FENCES:
-                    break
+        ends = ENDS.get(tag, ())
+        for k in range(len(stack) - 1, 0, -1) if any(opened[e] for e in ends) else ():
+            if stack[k].tag in ends:
+                shut(k)
+                break
+            if stack[k].tag in FENCES:
+                break
         if tag in VOID or attributes.endswith("/") and inline:
             continue
         top = stack[-1]
@@ -197,7 +230,8 @@ def blocks_of(html: str) -> list[Block]:
         if kinds:
             wrappers.append(Wrapper(max(kinds), wrapper))
             wrapper = len(wrappers) - 1
-        stack.append(Element(tag, number, top.number, wrapper, favour, top.link or tag == "a", (top.template[-2:], tag, name)))
+        opened[tag] += 1
+        stack.append(Element(tag, number, top, wrapper, favour, top.link or tag == "a", (top.template[-2:], tag, name)))
     for block in blocks:
         block.text = " ".join("".join(block.parts).split())
     blocks = [b for b in blocks if b.text]
@@ -258,18 +292,34 @@ def log_odds(block: Block) -> float:
     return odds + block.cost
 
 
+def distance(a: Element, b: Element) -> int:
+    """Steps between two elements by way of their nearest common ancestor, at most FAR."""
+    steps = 0
+    while a is not b and steps < FAR:
+        if a.number > b.number:  # a parent has a smaller number
+            a = a.parent
+        else:
+            b = b.parent
+        steps += 1
+    return steps
+
+
 def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
-    """Undirected edges between next blocks of the page, under one parent and of one template."""
+    """Undirected edges between next blocks of the page, by their distance in the tree, under one parent and of one template.
+
+    Where evidence against one of the two sets in, the edge has a part of that capacity only.
+    """
     edges: dict[tuple[int, int], float] = {}
     last: dict[tuple, int] = {}
     for k, block in enumerate(blocks):
         element = block.element
-        for kind, key, capacity in (("next", None, NEXT), ("sibling", element.parent, SIBLING), ("template", element.template, TEMPLATE)):
-            own = (kind, key, block.against)  # what lies in a menu or advert is no neighbour of what does not
-            if (j := last.get(own)) is not None:
+        if k:
+            edges[k - 1, k] = NEXT * FADE ** max(0, distance(blocks[k - 1].element, element) - 2)
+        for kind, key, capacity in (("sibling", element.parent and element.parent.number, SIBLING), ("template", element.template, TEMPLATE)):
+            if (j := last.get((kind, key))) is not None:
                 edges[j, k] = edges.get((j, k), 0.0) + capacity
-            last[own] = k
-    return edges
+            last[kind, key] = k
+    return {(j, k): c * (ACROSS if blocks[j].element.wrapper != blocks[k].element.wrapper else 1.0) for (j, k), c in edges.items()}
 
 
 def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -298,7 +348,11 @@ def minimum_cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[
 
 
 def source_side(odds: dict[int, float], near: dict[int, dict[int, float]]) -> set[int]:
-    """Nodes that residual capacity reaches from the source after a maximum flow, by shortest augmenting paths."""
+    """Nodes that residual capacity reaches from the source after a maximum flow.
+
+    In each phase the residual graph is layered by steps from the source and flow is pushed along layers until none reaches the
+    sink (Dinic's method), depth first without recursion, each node going on from the neighbour where it last found room.
+    """
     source, sink = -1, -2
     room: dict[int, dict[int, float]] = {source: {}, sink: {}}
     for i, own in near.items():
@@ -309,24 +363,36 @@ def source_side(odds: dict[int, float], near: dict[int, dict[int, float]]) -> se
         elif c < 0:
             room[i][sink], room[sink][i] = -c, 0.0
     while True:
-        came = {source: source}
-        queue = deque([source])
-        while queue and sink not in came:
+        layer, queue = {source: 0}, deque([source])
+        while queue:
             i = queue.popleft()
             for j, c in room[i].items():
-                if c > 1e-9 and j not in came:
-                    came[j] = i
+                if c > 1e-9 and j not in layer:
+                    layer[j] = layer[i] + 1
                     queue.append(j)
-        if sink not in came:
-            return set(came) - {source}
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(room[i][j] for i, j in path)
-        for i, j in path:
-            room[i][j] -= flow
-            room[j][i] += flow
+        if sink not in layer:
+            return set(layer) - {source}
+        onward = {i: [j for j in room[i] if layer.get(j, -1) == layer[i] + 1] for i in layer}
+        place, path = dict.fromkeys(layer, 0), [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                flow = min(room[a][b] for a, b in steps)
+                for a, b in steps:
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                del path[next(k for k, (a, b) in enumerate(steps) if room[a][b] <= 1e-9) + 1 :]
+                continue
+            own = onward[i]
+            while place[i] < len(own) and room[i][own[place[i]]] <= 1e-9:
+                place[i] += 1
+            if place[i] < len(own):
+                path.append(own[place[i]])
+            else:
+                path.pop()
+                if path:
+                    place[path[-1]] += 1
 
 
 def main_text(html: str) -> str:
