@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotemill.llm.common import text_or_empty
+from quotemill.llm.common import text_or_empty, written
 
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 MOST_TOXIC, MOST_UNLABELLED = 3000, 9000
-#: A feature is used if at least this many texts of P have it, so many times the share of U that has it, by so many standard errors.
-LEAST_TEXTS, LEAST_RATIO, LEAST_Z = 3, 3.0, 4.5
+#: A feature is used if at least this many texts of P have it, so many times the share of U that has it, by so many standard errors; these are the most features.
+LEAST_TEXTS, LEAST_RATIO, LEAST_Z, MOST_FEATURES = 3, 3.0, 4.5, 50_000
 STEPS, RATE, DECAY = 300, 0.1, 2e-4
 CACHED_WORDS = 400_000
 
@@ -42,7 +42,7 @@ def words_of(text: str) -> set[str]:
 
 
 def codes_of(rows: DataFrame) -> DataFrame:
-    """(positive, codes) of rows with positive and text: the codes of all distinct words, repeated as they come."""
+    """(positive, codes) of rows with positive and text: the distinct codes of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,6 +54,30 @@ def codes_of(rows: DataFrame) -> DataFrame:
     return rows.select("positive", "text").mapInArrow(run, "positive boolean, codes array<long>")
 
 
+def telling(coded: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """The sorted codes that are frequent among toxic texts and more so than among unlabelled ones, counted by Spark: at most MOST_FEATURES, of the largest z."""
+    counted = coded.select("positive", F.explode(F.array_distinct("codes")).alias("code")).groupBy("code").agg(F.count_if("positive").alias("in_p"), F.count_if(~F.col("positive")).alias("in_u"))
+    share_p, share_u, share = F.col("in_p") / n_p, F.col("in_u") / n_u, (F.col("in_p") + F.col("in_u")) / (n_p + n_u)
+    z = (share_p - share_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
+    found = counted.filter((F.col("in_p") >= LEAST_TEXTS) & (share_p >= LEAST_RATIO * share_u)).withColumn("z", z).filter(F.col("z") >= LEAST_Z)
+    return np.sort(np.array([r["code"] for r in found.orderBy(F.desc("z"), "code").limit(MOST_FEATURES).collect()], np.int64))
+
+
+def places_of(coded: DataFrame, codes: np.ndarray) -> DataFrame:
+    """(positive, places): where the rows' codes stand in the sorted codes, repeated as they come; others are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for row in batch["codes"]:
+                r = np.asarray(row.values, np.int64)
+                place = np.minimum(np.searchsorted(codes, r), len(codes) - 1)
+                own.append(place[codes[place] == r])
+            yield pa.record_batch({"positive": batch["positive"], "places": pa.array(own, pa.list_(pa.int64()))})
+
+    return coded.mapInArrow(run, "positive boolean, places array<long>")
+
+
 class Model:
     """Weights by feature code, and the bias."""
 
@@ -77,49 +101,43 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -500, 500))))
 
 
-def fitted(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """The linear model of least non-negative corrected risk (logistic loss), by full-batch Adam steps."""
-    if not positive or not unlabelled or not 0 < prior < 1:
-        return Model({}, -4.0)
-    codes, in_p = np.unique(np.concatenate([np.unique(p) for p in positive]), return_counts=True)
-    in_u = np.zeros(len(codes), np.int64)
-    for row in unlabelled:
-        own = np.unique(row)
-        place = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-        in_u[place[codes[place] == own]] += 1
-    n_p, n_u = len(positive), len(unlabelled)
-    share_p, share_u, share = in_p / n_p, in_u / n_u, (in_p + in_u) / (n_p + n_u)
-    z = (share_p - share_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
-    codes = codes[(in_p >= LEAST_TEXTS) & (share_p >= LEAST_RATIO * share_u) & (z >= LEAST_Z)]
-    if not len(codes):
-        return Model({}, -4.0)
+Sparse = tuple[np.ndarray, np.ndarray, int]
 
-    def sparse(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        at, column = [], []
-        for k, r in enumerate(rows):
-            place = np.minimum(np.searchsorted(codes, r), len(codes) - 1)
-            hit = place[codes[place] == r]
-            at.append(np.full(len(hit), k, np.int32))
-            column.append(hit.astype(np.int32))
-        return np.concatenate(at), np.concatenate(column), len(rows)
 
-    p, u = sparse(positive), sparse(unlabelled)
-    weights, bias = np.zeros(len(codes)), -2.0
-    first, second = np.zeros(len(codes) + 1), np.zeros(len(codes) + 1)
+def sparse(rows: list[np.ndarray]) -> Sparse:
+    """Rows of places as (row of each entry, place of each entry, number of rows)."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64), len(rows)
 
-    def logits(x: tuple) -> np.ndarray:
-        return np.bincount(x[0], weights[x[1]], x[2]) + bias
 
-    def slope(x: tuple, by: np.ndarray) -> np.ndarray:
+def risk(weights: np.ndarray, bias: float, p: Sparse, u: Sparse, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """(R(P as toxic), corrected R(U as clean), gradient of prior times the first, gradient of the second), the bias last, for the logistic loss."""
+
+    def logits(x: Sparse) -> np.ndarray:
+        return np.clip(np.bincount(x[0], weights[x[1]], x[2]) + bias, -50, 50)
+
+    def slope(x: Sparse, by: np.ndarray) -> np.ndarray:
         by = by / x[2]
-        return np.append(np.bincount(x[1], by[x[0]], len(codes)), by.sum())
+        return np.append(np.bincount(x[1], by[x[0]], len(weights)), by.sum())
+
+    zp, zu = logits(p), logits(u)
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    clean = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
+    return float(np.log1p(np.exp(-zp)).mean()), float(clean), prior * slope(p, sp - 1), slope(u, su) - prior * slope(p, sp)
+
+
+def step_along(toxic: np.ndarray, corrected: np.ndarray, clean: float) -> np.ndarray:
+    """The gradient of the non-negative risk where the corrected part is not below zero; else the way back up its slope."""
+    return toxic + corrected if clean >= 0 else -corrected
+
 
+def fitted(codes: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """The linear model of least non-negative corrected risk, by full-batch Adam steps; rows are places in codes."""
+    p, u = sparse(positive), sparse(unlabelled)
+    weights, bias = np.zeros(len(codes)), -2.0
+    first, second = np.zeros(len(codes) + 1), np.zeros(len(codes) + 1)
     for step in range(1, STEPS + 1):
-        zp, zu = np.clip(logits(p), -50, 50), np.clip(logits(u), -50, 50)
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        clean = np.log1p(np.exp(zu)).mean() - prior * np.log1p(np.exp(zp)).mean()
-        corrected = slope(u, su) - prior * slope(p, sp)
-        gradient = prior * slope(p, sp - 1) + corrected if clean >= 0 else -corrected
+        _, clean, toxic, corrected = risk(weights, bias, p, u, prior)
+        gradient = step_along(toxic, corrected, clean)
         gradient[:-1] += DECAY * weights
         first = 0.9 * first + 0.1 * gradient
         second = 0.99 * second + 0.01 * gradient**2
@@ -133,32 +151,45 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on rows that are not held out. The prior is the share of toxic rows among the labelled ones there."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
-    if not share:
-        return Model({}, -4.0)
+def trained(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model:
+    """Fits on rows that are not held out; the constant model if there are no toxic texts, no others, or no telling features.
+
+    The prior is the share of toxic texts in the whole corpus. Where none is given it is that among the labelled rows, which is right
+    if they are a random sample; labels collected otherwise need a prior from elsewhere. Unlabelled are the texts without a label, or,
+    where all have one, all texts, their labels unread. Rows that share an id count as one, of its least text.
+    """
+    constant = Model({}, -4.0)
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
+    share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] if prior is None else prior
+    if not share or share >= 1:
+        return constant
     order = F.xxhash64("doc_id")
     ids = known.filter("toxic = 1").select("doc_id").distinct().orderBy(order).limit(MOST_TOXIC).withColumn("positive", F.lit(True))
-    others = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti")
-    others = others.distinct().orderBy(order).limit(MOST_UNLABELLED).withColumn("positive", F.lit(False))
-    wanted = F.broadcast(ids.unionByName(others))  # at most MOST_TOXIC + MOST_UNLABELLED rows
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(wanted, "doc_id")
+    open_ids = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id").distinct()
+    least = lambda rows: rows.orderBy(order).limit(MOST_UNLABELLED).withColumn("positive", F.lit(False))
+    wanted = written(ids.unionByName(least(open_ids.join(known.select("doc_id"), "doc_id", "left_anti"))), "sample")
+    if not wanted.filter("not positive").limit(1).count():
+        wanted = written(ids.unionByName(least(open_ids)), "sample")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")  # at most MOST_TOXIC + MOST_UNLABELLED ids
+    coded = written(codes_of(rows.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))), "coded")
+    n_p, n_u = coded.agg(F.count_if("positive"), F.count_if(~F.col("positive"))).first()
+    codes = telling(coded, n_p, n_u) if n_p and n_u else ()
+    if not len(codes):
+        return constant
     positive, unlabelled = [], []
-    for row in codes_of(rows).toLocalIterator():
+    for row in places_of(coded, codes).toLocalIterator():
         (positive if row[0] else unlabelled).append(np.array(row[1], np.int64))
-    return fitted(positive, unlabelled, float(share))
+    return fitted(codes, positive, unlabelled, float(share))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted (1 from a score of 0.5).
 
     Needs doc_id and text, labels' doc_id and toxic (1, 0 or null); other columns are ignored. A null text is empty and gets
     the score of the bias alone, as does every text if there are no toxic or no unlabelled rows to learn from. Repeated rows
     get the same score each; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

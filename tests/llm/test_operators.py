@@ -246,6 +246,52 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in rows)
 
 
+def test_risk_and_gradient_against_plain_versions():
+    r = np.random.default_rng(4)
+    rows = lambda n: [np.array(r.integers(0, 5, r.integers(0, 6))) for _ in range(n)]
+    positive, unlabelled, weights, bias, prior = rows(7), rows(11), r.normal(size=5), -0.3, 0.2
+
+    def plain(w, b):
+        loss = lambda own, sign: np.mean([np.log1p(np.exp(-sign * (sum(w[k] for k in x) + b))) for x in own])
+        return loss(positive, 1), loss(unlabelled, -1) - prior * loss(positive, -1)
+
+    p, u = toxicity.sparse(positive), toxicity.sparse(unlabelled)
+    toxic, clean, by_toxic, by_clean = toxicity.risk(weights, bias, p, u, prior)
+    assert (toxic, clean) == pytest.approx(plain(weights, bias))
+    for k in range(6):
+        step = np.eye(6)[k] * 1e-6
+        up, down = plain(weights + step[:5], bias + step[5]), plain(weights - step[:5], bias - step[5])
+        assert by_toxic[k] == pytest.approx(prior * (up[0] - down[0]) / 2e-6, abs=1e-6)
+        assert by_clean[k] == pytest.approx((up[1] - down[1]) / 2e-6, abs=1e-6)
+    assert (toxicity.step_along(by_toxic, by_clean, 0.1) == by_toxic + by_clean).all()
+    assert (toxicity.step_along(by_toxic, by_clean, -0.1) == -by_clean).all()  # memorised: up the slope of the corrected part
+    _, memorised, *_ = toxicity.risk(np.array([9.0, 0, 0, 0, 0]), -20.0, toxicity.sparse([np.zeros(4, int)]), u, prior)
+    assert memorised < 0
+
+
+def test_telling_features_against_plain_counts(spark):
+    r = random.Random(8)
+    texts = [(k < 40, " ".join(r.choices(WORDS, k=6) + (["vile"] if k < 40 and k % 2 else []))) for k in range(200)]
+    coded = toxicity.codes_of(spark.createDataFrame(texts, "positive boolean, text string"))
+    sets = [(p, {c for w in toxicity.words_of(t) for c in toxicity.features(w)}) for p, t in texts]
+    expected = []
+    for c in set().union(*(x for _, x in sets)):
+        a, b = sum(c in x for p, x in sets if p) / 40, sum(c in x for p, x in sets if not p) / 160
+        both = (40 * a + 160 * b) / 200
+        if 40 * a >= 3 and a >= 3 * b and (a - b) / math.sqrt(both * (1 - both) * (1 / 40 + 1 / 160) + 1e-12) >= toxicity.LEAST_Z:
+            expected.append(c)
+    assert expected and toxicity.telling(coded, 40, 160).tolist() == sorted(expected)
+
+
+def test_toxicity_where_every_document_is_labelled_or_judged_by_none(spark):
+    docs = [(i, prose(40, i) + (" vileness" if i % 10 == 0 else "")) for i in range(1500)] + [(0, prose(40, 1))] * 3
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for toxic in (lambda i: int(i % 10 == 0), lambda i: int(i % 10 == 0) if i % 3 else None):
+        labels = spark.createDataFrame([(i, toxic(i)) for i in range(1500)], "doc_id long, toxic int")
+        rows = [x for x in toxicity.toxicity_scores(d, labels).collect() if x.doc_id]
+        assert np.mean([x.predicted == int(x.doc_id % 10 == 0) for x in rows]) > 0.97
+
+
 def test_toxicity_odd_rows(odd, labels):
     assert toxicity.toxicity_scores(odd, labels).count() == len(ODD)
     assert toxicity.toxicity_scores(odd, none_of(labels)).count() == len(ODD)
