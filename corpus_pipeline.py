@@ -17,33 +17,50 @@ from quotemill.session import ship
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Rejected documents go.
+
+    Null and empty texts have too few words and go. Rows that agree in id, text and language stay or go together, null ids too;
+    other columns of any name stay as they are. An empty table gives an empty table.
+    """
     ship(spark)
     return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays: that of the least id, null only if all are; of repeated rows one.
+
+    All null and empty texts are one class. Other columns of any name stay as they are. An empty table gives an empty table.
+    """
     ship(spark)
     return neardup.first_documents(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; an item of one word counts only where it is the whole document.
+
+    Null texts hold none and stay. Repeated rows stay or go together; other columns stay as they are. An empty table gives an empty table.
+    """
     ship(spark)
     return decontamination.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts give way to a mask; all documents stay, n_chars follows the text."""
+    """Secrets in texts give way to a mask; all documents stay, n_chars, where docs has it, follows the text.
+
+    Null texts stay null, with a null n_chars. Overlapping secrets get one mask; repeated rows are masked alike and stay. Other columns
+    of any name stay as they are. An empty table gives an empty table.
+    """
     ship(spark)
     found, _ = secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text"))
     clean = secrets.masked(docs, found)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their ids in sequences of 2048 tokens."""
+    """Pieces with their ids in sequences of 2048 tokens.
+
+    Null and empty texts are pieces of the end's id alone; null ids and repeated rows are documents of their own. An empty table gives no rows.
+    """
     ship(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
