@@ -27,6 +27,8 @@ MINUTE_INT = np.dtype([("date", "<u2"), ("minute", "<u2"), ("open", "<u4"), ("hi
 EX_DAY = np.dtype([("date", "<u4"), ("open", "<f4"), ("high", "<f4"), ("low", "<f4"), ("close", "<f4"), ("amount", "<u4"), ("volume", "<u4"), ("settlement", "<f4")])
 CAPITAL = np.dtype([("market", "u1"), ("code", "S7"), ("date", "<u4"), ("category", "u1"), ("a", "<f4"), ("b", "<f4"), ("c", "<f4"), ("d", "<f4")])
 METRIC = np.dtype([("metric_type", "u1"), ("date", "<u4"), ("value1", "<f4"), ("value2", "<f4")])
+#: Bytes and rows of archive members that a task holds before it hands them on.
+BATCH_BYTES, BATCH_ROWS = 32 << 20, 1000
 #: Prices in integer formats are hundredths.
 HUNDREDTHS = 100.0
 
@@ -56,10 +58,16 @@ def entries(archives: DataFrame, suffixes: tuple[str, ...] = (), most_bytes: int
                     yield prefix + info.filename, content
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
         for batch in batches:
             for path, content in zip(batch["source_path"], batch["content"], strict=True):
                 for name, data in members(content, ""):
-                    yield pd.DataFrame({"source_path": [path], "entry": [name], "content": [data]})
+                    found.append((path, name, data))
+                    held += len(data)
+                    if held >= BATCH_BYTES or len(found) >= BATCH_ROWS:
+                        yield pd.DataFrame(found, columns=["source_path", "entry", "content"])
+                        found, held = [], 0
+        yield pd.DataFrame(found, columns=["source_path", "entry", "content"])
 
     return archives.select("source_path", "content").mapInPandas(run, "source_path string, entry string, content binary")
 
@@ -74,10 +82,17 @@ def decoded(rows: DataFrame, decode: Callable[[bytes], Decoded], schema: str) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found, held = [], 0
             for path, content in zip(batch["source_path"], batch["content"], strict=True):
                 columns = pd.DataFrame(decode(content))
                 if len(columns):
-                    yield columns.assign(source_path=path, row_offset=range(len(columns)))[["source_path", "row_offset", *columns.columns]]
+                    found.append(columns.assign(source_path=path, row_offset=range(len(columns)))[["source_path", "row_offset", *columns.columns]])
+                    held += len(content)
+                if held >= BATCH_BYTES:
+                    yield pd.concat(found, ignore_index=True)
+                    found, held = [], 0
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     return rows.select("source_path", "content").mapInPandas(run, f"source_path string, row_offset long, {schema}")
 
@@ -295,13 +310,16 @@ def package_bars(members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found = []
             for row in batch.itertuples():
                 codes = [row.codes[k : k + 6].decode("ascii", "replace") for k in range(0, len(row.codes), PACK_CODE)]
                 bars = whole(row.bars, PACK_BAR)
                 if len(codes) != len(bars):
                     raise ValueError(f"{row.market}{row.day}: {len(codes)} codes and {len(bars)} bars")
                 volume = pd.array([v if v < 1 << 63 else None for v in bars["volume"].tolist()], "Int64")
-                yield pd.DataFrame({"market": row.market, "day": row.day, "symbol": codes} | {p: bars[p] for p in PRICES} | {"volume": volume, "amount": bars["amount"]})
+                found.append(pd.DataFrame({"market": row.market, "day": row.day, "symbol": codes} | {p: bars[p] for p in PRICES} | {"volume": volume, "amount": bars["amount"]}))
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     raw = pairs.mapInPandas(run, "market string, day string, symbol string, open double, high double, low double, close double, volume long, amount double")
     return raw.select("market", "symbol", F.try_to_date(F.concat(F.lit("20"), "day"), "yyyyMMdd").alias("trade_date"), *PRICES, "volume", "amount")

@@ -30,8 +30,13 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
 
     A file whose date is not its path's, that lacks a required part, or whose days or rates are impossible has a file_issue.
     """
-    rows = spark.read.schema(SNAPSHOT).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
-    rows = rows.withColumn("source_path", F.col("_metadata.file_path")).filter(~F.col("source_path").contains("/evidence/"))
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    return parsed_snapshots(files.select(F.col("_metadata.file_path").alias("source_path"), "value"))
+
+
+def parsed_snapshots(files: DataFrame) -> DataFrame:
+    """As snapshots, of files as rows (source_path, value). A text that is no JSON object lacks all required parts."""
+    rows = files.filter(~F.col("source_path").contains("/evidence/")).select("source_path", F.from_json("value", SNAPSHOT).alias("r")).select("source_path", "r.*")
     day, prev = F.try_to_date("trade_date", "yyyy-MM-dd"), F.try_to_date(F.nullif("prev_trade_date", F.lit("")), "yyyy-MM-dd")
     from_path = F.concat_ws("-", *[F.regexp_extract("source_path", r"([0-9]{4})/([0-9]{2})/([0-9]{2})\.json$", k) for k in (1, 2, 3)])
     required = [F.col(c).isNull() for c in ("summary", *POOLS.values())]
@@ -227,8 +232,14 @@ def corrections(lines: DataFrame, replace_facts: bool = False) -> DataFrame:
 
 
 def normalized_rows(files: DataFrame, field: str, row_schema: str) -> DataFrame:
-    """Rows of JSON texts (value) that are either an array of rows or an object holding that array under the field."""
+    """Rows of JSON texts (value) that are either an array of rows or an object holding that array under the field, with an issue.
+
+    A text that is no JSON, or holds no such array, gives one row of nulls with the issue invalid_file; rows have the issue null.
+    """
     array = f"array<{_typed(row_schema)}>"
-    plain = F.from_json("value", array)
-    wrapped = F.from_json(F.get_json_object("value", f"$.{field}"), array)
-    return files.select(F.explode(F.when(F.substring(F.trim("value"), 1, 1) == "[", plain).otherwise(wrapped)).alias("r")).select("r.*")
+    text = F.trim("value")
+    inner = F.when(F.substring(text, 1, 1) == "[", text).otherwise(F.get_json_object(text, f"$.{field}"))
+    rows = F.from_json(inner, array)
+    bad = rows.isNull() | (F.json_array_length(inner).isNull())
+    marked = files.select(F.when(bad, F.lit("invalid_file")).alias("issue"), F.explode_outer(F.when(~bad, rows)).alias("r"))
+    return marked.filter("r is not null or issue is not null").select("r.*", "issue")

@@ -23,7 +23,13 @@ class DictionaryError(ValueError):
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """filename, md5 (lower case), size of a comma-separated manifest."""
-    return spark.read.schema(MANIFEST).csv(path).withColumn("md5", F.lower(F.trim("md5"))).filter("filename is not null")
+    return manifest_lines(spark.read.text(path))
+
+
+def manifest_lines(lines: DataFrame) -> DataFrame:
+    """As manifest, of its lines (value)."""
+    rows = lines.filter(F.trim("value") != "").select(F.from_csv("value", MANIFEST).alias("r")).select("r.*")
+    return rows.withColumn("md5", F.lower(F.trim("md5"))).filter("filename is not null")
 
 
 def manifest_mismatches(files: DataFrame, listed: DataFrame) -> DataFrame:
