@@ -53,17 +53,20 @@ def unused(name: str, taken: Iterable[str]) -> str:
 HOT_ROWS, HOT_SHARE = 200, 1000
 
 
-def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int, hottest: int | None = None) -> DataFrame:
     """Inner join of big with small, which has one row for each key and in column count how many of big's total rows have it.
 
     Rows of a hot key stay where they are: at most HOT_SHARE keys can have more than total / HOT_SHARE rows each, so small's rows
     of these are a broadcast of bounded size. The other keys are joined by a shuffle, in which none has more rows than that.
-    small's columns must be of bounded width and both inputs cheap to read again; total may be more than big's rows, not less.
+    small's columns must be of bounded width and both inputs cheap to read again; total may be more than big's rows, not less. hottest,
+    if it is known, bounds the rows of any key.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = small.filter(F.col(count) > limit)
-    if not hot.limit(1).count():
+    if hottest is None:
+        hottest = small.agg(F.max(count)).first()[0] or 0
+    if hottest <= limit:
         return big.join(small, key)
+    hot = small.filter(F.col(count) > limit)
     rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.filter(F.col(count) <= limit), key)
     return big.join(F.broadcast(hot), key).unionByName(rest)
 

@@ -7,7 +7,7 @@ their weighted Jaccard similarity. Only about k ln k darts have to be looked at,
 
 Texts, not ids, are the nodes: equal texts are one node from the start, so copies cost nothing later. Texts that agree on all
 coordinates of a band share a bucket. In each bucket the best-connected text is compared with all others; the texts which that
-leaves in different classes are then compared with the next leaders, until no bucket holds two texts of different classes
+leaves in different classes are then compared with further leaders, drawn by a hash, until no bucket holds two texts of different classes
 that have neither been compared nor been shown too far apart by what they share with their leader. Thus no link that the bands
 find is lost, and a bucket of near copies costs one comparison each.
 """
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quotemill.llm import common
 from quotemill.llm.common import node_of, salt, spread_join, text_or_empty, unused, written
 from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles
 
@@ -29,6 +30,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 7
 #: Leaders of a bucket that are compared in the second round, how many times more in each later one, and the most in one.
 LEADERS, MORE_LEADERS, MOST_LEADERS = 16, 16, 1000
+#: Members of a bucket that meet its leaders in one task.
+MEMBERS = 1000
 
 _U = np.uint64
 
@@ -172,25 +175,29 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     is pre-aggregated, and a join in which hubs are joined apart, so a hub's neighbours are never gathered in one place.
     """
 
-    def stars(e: DataFrame, both: bool, edges: int) -> DataFrame:
+    def stars(e: DataFrame, both: bool, edges: int, degree: int) -> DataFrame:
         """Every edge (u, v) with u < v is replaced by one from the larger (large-star: from each larger neighbour) to the least neighbour."""
         near = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         if both:
             near = near.unionByName(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = written(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least")
-        joined = spread_join(near, least, "u", "n", 2 * edges)
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        joined = spread_join(near, least, "u", "n", 2 * edges, degree)
         moved = joined.filter(F.col("v") > F.col("u")) if both else joined.filter(F.col("v") > F.col("m")).unionByName(least.withColumn("v", F.col("u")))
-        return written(moved.filter(F.col("v") > F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), label)
+        return moved.filter(F.col("v") > F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
-    def settled(e: DataFrame) -> bool:
-        """Whether the edges are stars already: no node is the larger end of two, or of one and the smaller end of another."""
+    def state(e: DataFrame) -> tuple[bool, int]:
+        """Whether the edges are not stars yet (a node is the larger end of two, or of one and the smaller end of another), and the largest degree."""
         ends = e.select(F.col("a").alias("n"), F.lit(0).alias("larger")).unionByName(e.select(F.col("b").alias("n"), F.lit(1).alias("larger")))
-        return not ends.groupBy("n").agg(F.sum("larger").alias("up"), F.min("larger").alias("down")).filter("up > 1 or up = 1 and down = 0").limit(1).count()
+        of_node = ends.groupBy("n").agg(F.sum("larger").alias("up"), F.min("larger").alias("down"), F.count("*").alias("degree"))
+        found = of_node.agg(F.max(F.expr("up > 1 or up = 1 and down = 0")), F.max("degree")).first()
+        return bool(found[0]), found[1] or 0
 
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), label)
-    while not settled(now):
-        count = now.count()
-        now = stars(stars(now, True, count), False, count)
+    while (found := state(now))[0]:
+        count, degree = now.count(), found[1]
+        large = stars(now, True, count, degree)
+        large = written(large, "large") if degree > common.HOT_ROWS else large  # read four times where hubs are joined apart
+        now = written(stars(large, False, count, degree), label)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
@@ -200,23 +207,27 @@ def banded(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     density counts a text's partners over all its buckets; a bucket's leader is the text of most, the least node on ties. Sizes and
     leaders are aggregates, combined before they are shuffled; buckets of many texts are joined with theirs apart from the others.
     """
-    all_bands = signatures(texts, bands, rows, size).select("node", "weight", F.explode("buckets").alias("bucket"))
-    all_bands = written(all_bands.dropDuplicates(["bucket", "node"]), "bands")
-    sizes = written(all_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-    shared = written(spread_join(all_bands, sizes, "bucket", "n", all_bands.count()), "shared")
+    all_bands = written(signatures(texts, bands, rows, size).select("node", "weight", F.explode("buckets").alias("bucket")), "bands")
+    code = F.xxhash64("node")  # copies of a text may lie in several tasks: a bucket is shared if it holds two different nodes
+    sizes = all_bands.groupBy("bucket").agg(F.count("*").alias("rows"), F.min(code).alias("least"), F.max(code).alias("most"))
+    sizes = written(sizes.filter("least < most").select("bucket", "rows"), "sizes")
+    shared = spread_join(all_bands, sizes, "bucket", "rows", all_bands.count()).select("bucket", "node", "weight")
+    shared = written(shared.dropDuplicates(["bucket", "node"]), "shared")
+    sizes = written(shared.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
+    total, hottest = sizes.agg(F.sum("n"), F.max("n")).first()
+    shared = spread_join(shared, sizes, "bucket", "n", total or 0, hottest or 0)
     density = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("density"))
     shared = written(shared.join(density, "node"), "dense")
     best = shared.groupBy("bucket").agg(F.min(F.struct((-F.col("density")).alias("density"), "node")).alias("best"), F.count("*").alias("size"))
     best = written(best.select("bucket", F.col("best.node").alias("leader"), "size"), "leaders")
-    return written(spread_join(shared, best, "bucket", "size", shared.count()).select("bucket", "node", "weight", "leader", "density"), "buckets")
+    return written(spread_join(shared, best, "bucket", "size", total or 0, hottest or 0).select("bucket", "node", "weight", "leader", "density"), "buckets")
 
 
-def still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of buckets in which texts of different classes are left, with their classes' roots."""
-    rooted = written(members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size")).filter("least < most")
-    several = written(several.select("bucket", "size"), "several")
-    return written(spread_join(rooted, several, "bucket", "size", rooted.count()).drop("size"), "apart")
+def still_apart(members: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """The members of buckets in which texts of different classes are left, with their classes' roots and the buckets' sizes and least nodes. members has total rows or fewer."""
+    rooted = written(members.drop("root", "size", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), F.min("node").alias("first"))
+    return written(spread_join(rooted, several.filter("least < most").select("bucket", "size", "first"), "bucket", "size", total), "apart")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
@@ -234,25 +245,25 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     pairs = written(followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     led = written(compared(pairs, texts, similarity, size, extras=True), "led")
     roots = written(components(led.filter("similar").select("a", "b")), "roots")
-    apart, more, bounded = still_apart(followers, roots), LEADERS, False
+    apart, more, bounded = still_apart(followers, roots, buckets.count()), LEADERS, False
     while count := apart.count():
         if not bounded:
             open_led = led.join(apart.select(F.col("leader").alias("a")).distinct(), "a", "left_semi")
             bounds = open_led.select("a", "b", "shared").join(common_extras(open_led), ["a", "b"])
             bounds = bounds.select(F.col("a").alias("leader"), F.col("b").alias("node"), "shared", "extra")
             apart, bounded = written(apart.join(bounds, ["leader", "node"]), "bounded"), True
-        ordered = Window.partitionBy("bucket").orderBy(F.desc("density"), "node")
-        lead = written(apart.withColumn("rank", F.row_number().over(ordered)).filter(F.col("rank") <= more), "lead")
-        lead_a = lead.select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "rank", "root", "weight", "shared", "extra")])
-        member = apart.join(lead.select("bucket", "node", "rank"), ["bucket", "node"], "left").withColumn("salt", salt("node", count))
+        leads = (F.pmod(F.xxhash64("bucket", "node"), F.col("size")) < more) | (F.col("node") == F.col("first"))
+        member = apart.withColumn("leads", leads).withColumn("salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / MEMBERS)))
         member = written(member, "member")
-        there = member.select("bucket", "salt").distinct().join(lead_a, "bucket")
-        found = there.join(member, ["bucket", "salt"]).filter((F.col("rank").isNull() | (F.col("rank") > F.col("rank_a"))) & (F.col("root") != F.col("root_a")) & may_be_similar(similarity))
+        lead = member.filter("leads").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "weight", "shared", "extra")])
+        there = member.select("bucket", "salt").distinct().join(lead, "bucket")  # leaders are copied once for every MEMBERS members
+        later = ~F.col("leads") | (F.col("node") > F.col("node_a"))
+        found = there.join(member, ["bucket", "salt"]).filter(later & (F.col("root") != F.col("root_a")) & may_be_similar(similarity))
         pairs = written(found.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
         new = written(compared(pairs, texts, similarity, size).filter("similar").select("a", "b"), "edges")
         if new.limit(1).count():
             roots = written(components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)), "roots")
-        apart, more = still_apart(member.filter("rank is null").drop("rank", "salt"), roots), min(more * MORE_LEADERS, MOST_LEADERS)
+        apart, more = still_apart(member.filter("not leads").drop("leads", "salt"), roots, count), min(more * MORE_LEADERS, MOST_LEADERS)
 
     return firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
