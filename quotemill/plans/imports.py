@@ -14,6 +14,7 @@ from quotemill.plans.bars import between
 from quotemill.plans.ops import bounds, issue_id, severity
 
 COMMIT = "_commit_seq"
+ROWS_PER_FILE = 5_000_000
 RUNS = "run_id string, dataset string, started_at timestamp, status string, rows_written long, rows_skipped long, issue_count long, error string"
 
 
@@ -33,9 +34,13 @@ class Dataset:
 
 
 def write_facts(rows: DataFrame, dataset: Dataset, commit: int) -> None:
-    """Appends rows as one commit, a partition's rows together and sorted by key, so that files prune by date and by key."""
+    """Appends rows as one commit, in ranges of partition and key, so that files prune by date and by key.
+
+    A range ends where its share of the rows does: a large partition goes to many tasks and files, small ones share a task.
+    """
     placed = rows.withColumn(COMMIT, F.lit(commit).cast("long")).withColumn("_part", dataset.partition)
-    placed.repartition("_part").sortWithinPartitions("_part", *dataset.key).write.mode("append").partitionBy("_part").parquet(dataset.path)
+    ranged = placed.repartitionByRange("_part", *dataset.key).sortWithinPartitions("_part", *dataset.key)
+    ranged.write.mode("append").partitionBy("_part").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(dataset.path)
 
 
 def read_facts(spark: SparkSession, dataset: Dataset, since: str = "", until: str = "") -> DataFrame:
@@ -69,31 +74,49 @@ def run_import(rows: DataFrame, issues: DataFrame, dataset: Dataset, ops_path: s
     recorded as failed and raised. A dry run only counts.
     """
     spark = rows.sparkSession
-    counted = rows.agg(F.count("*").alias("n")).first()["n"]
-    found = issue_rows(issues, run_id, dataset.name, [c for c in issues.columns if c != "issue_type"])
-    if not counted:
-        found = found.unionByName(issue_rows(spark.range(1).select(F.lit(dataset.name).alias("k"), F.lit("zero_valid_rows").alias("issue_type")), run_id, dataset.name, ["k"]))
-    number, bad = found.agg(F.count("*"), F.count_if(F.col("severity") == "error")).first()
-    status = "failed" if bad and errors_fail else "degraded" if number else "success"
-    summary = {"run_id": run_id, "rows": counted, "issues": number, "status": status}
-    if dry_run:
-        return summary
-    error = None
+    found = issue_rows(issues, run_id, dataset.name, [c for c in issues.columns if c != "issue_type"]).withColumn("observed_at", F.lit(started))
+    number, bad, counted, error = 0, 0, 0, None
+    count_issues = [F.count("*"), F.count_if(F.col("severity") == "error")]
     try:
-        if counted:
+        if dry_run:
+            counted = rows.count()
+            number, bad = found.agg(*count_issues).first()
+        else:
+            before = _committed(rows, dataset, commit).count() if _exists(spark, dataset.path) else 0  # what a failed run of this commit left
             write_facts(rows, dataset, commit)
-        if number:
-            found.withColumn("observed_at", F.lit(started)).write.mode("append").parquet(f"{ops_path}/issues")
-        if counted:
-            marks = bounds(rows, dataset.date).withColumns({"dataset": F.lit(dataset.name), "status": F.lit(status), "run_id": F.lit(run_id), COMMIT: F.lit(commit).cast("long")})
+            facts = _committed(rows, dataset, commit)  # counted and bounded as written, not decoded again
+            counted = facts.count() - before
+            found.write.mode("append").parquet(f"{ops_path}/issues")
+            number, bad = spark.read.schema(found.schema).parquet(f"{ops_path}/issues").filter(F.col("run_id") == run_id).agg(*count_issues).first()
+        if not counted:
+            none = issue_rows(spark.range(1).select(F.lit(dataset.name).alias("k"), F.lit("zero_valid_rows").alias("issue_type")), run_id, dataset.name, ["k"])
+            if not dry_run:
+                none.withColumn("observed_at", F.lit(started)).write.mode("append").parquet(f"{ops_path}/issues")
+            number, bad = number + 1, bad + 1
+        status = "failed" if bad and errors_fail else "degraded" if number else "success"
+        if counted and not dry_run:
+            marks = bounds(facts, dataset.date).withColumns({"dataset": F.lit(dataset.name), "status": F.lit(status), "run_id": F.lit(run_id), COMMIT: F.lit(commit).cast("long")})
             marks.write.mode("append").parquet(f"{ops_path}/watermarks")
     except Exception as e:
-        summary["status"], error = "failed", str(e)[:500]
+        status, error = "failed", str(e)[:500]
         raise
     finally:
-        record = (run_id, dataset.name, started, summary["status"], counted, number, number, error)
-        spark.createDataFrame([record], RUNS).write.mode("append").parquet(f"{ops_path}/runs")
-    return summary
+        if not dry_run:
+            record = (run_id, dataset.name, started, status, counted, number, number, error)
+            spark.createDataFrame([record], RUNS).write.mode("append").parquet(f"{ops_path}/runs")
+    return {"run_id": run_id, "rows": counted, "issues": number, "status": status}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _committed(rows: DataFrame, dataset: Dataset, commit: int) -> DataFrame:
+    """The rows that the table holds of a commit, with the columns of rows."""
+    spark = rows.sparkSession
+    schema = rows.withColumn(COMMIT, F.lit(commit).cast("long")).withColumn("_part", F.lit("")).schema
+    return spark.read.schema(schema).parquet(dataset.path).filter(F.col(COMMIT) == commit).drop("_part")
 
 
 def watermarks(spark: SparkSession, ops_path: str) -> DataFrame:

@@ -158,3 +158,15 @@ def latest_members(snapshots: DataFrame, members: DataFrame) -> DataFrame:
 def fastest(probes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per group the server of least latency among those that answered."""
     return probes.filter("ok").groupBy(*by).agg(F.min(F.struct("latency_ms", "server")).alias("b")).select(*by, "b.server", "b.latency_ms")
+
+
+def named_codes(codes: DataFrame, quotes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The codes of a list with the names that quotes give them; codes without a quote, or with an empty name, go."""
+    return quotes.filter(F.trim("name") != "").join(codes.select(*key).distinct(), list(key), "left_semi")
+
+
+def board_members_quoted(members: DataFrame, quotes: DataFrame) -> DataFrame:
+    """name, members, quoted: the size of every board of a catalogue (name, market, symbol) and how many of its members have quotes."""
+    seen = quotes.select("market", "symbol").distinct().withColumn("_quoted", F.lit(1))
+    rows = members.distinct().join(seen, ["market", "symbol"], "left")
+    return rows.groupBy("name").agg(F.count("*").alias("members"), F.count("_quoted").alias("quoted"))

@@ -45,13 +45,17 @@ def src_day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.day_bars(_day_files(views.bars_1d(spark, sf_dir)))[0].select("market", "symbol", "trade_date", *PRICES, "amount", "volume")
 
 
+def day_files_with_faults(rows: DataFrame) -> DataFrame:
+    """Day files in which the first days of months stand twice, the second days twice with another close, the third days also without a valid date."""
+    day = F.dayofmonth("trade_date")
+    twice = rows.withColumn("copy", F.explode(F.when(day <= 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    twice = twice.withColumn("close", F.when((F.col("copy") == 1) & (day == 2), F.col("close") + 1).otherwise(F.col("close")))
+    return _day_files(twice, (F.dayofmonth(F.col("trade_date")) == 3) & (F.col("copy") == 1))
+
+
 @query("select market, symbol, case day(trade_date) when 1 then 'duplicate_logical_key' when 2 then 'conflicting_logical_key' else 'invalid_date' end as issue_type, case when day(trade_date) = 2 then 'error' else 'warning' end as severity, count(*) as issue_count from bars_1d where day(trade_date) <= 3 group by all")
 def src_day_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files in which the first days of months are repeated, repeated with another close, or no dates."""
-    rows, day = views.bars_1d(spark, sf_dir), F.dayofmonth("trade_date")
-    twice = rows.withColumn("copy", F.explode(F.when(day <= 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    twice = twice.withColumn("close", F.when((F.col("copy") == 1) & (day == 2), F.col("close") + 1).otherwise(F.col("close")))
-    issues = records.day_bars(_day_files(twice, F.dayofmonth(F.col("trade_date")) == 3))[1]
+    issues = records.day_bars(day_files_with_faults(views.bars_1d(spark, sf_dir)))[1]
     name = F.element_at(F.split("source_path", "/"), -1)
     keyed = issues.select(F.substring(name, 1, 2).alias("market"), F.substring(name, 3, 6).alias("symbol"), "issue_type", ops.severity(F.col("issue_type")).alias("severity"))
     return keyed.groupBy("market", "symbol", "issue_type", "severity").agg(F.count("*").alias("issue_count"))

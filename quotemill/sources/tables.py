@@ -106,10 +106,6 @@ def best_aliases(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("market", "symbol", "alias_type", "alias_norm").agg(best).select("market", "symbol", "alias_type", "alias_norm", "best.*")
 
 
-class PayloadError(ValueError):
-    """A provider's payload contradicts itself."""
-
-
 _KLINE = ("trade_date", "open", "close", "high", "low", "volume", "amount")
 
 
@@ -133,15 +129,15 @@ def jsonp_years(payloads: DataFrame) -> DataFrame:
 def checked_bars(bars: DataFrame, key: list[str], keep: Column) -> DataFrame:
     """Provider bars, equal ones once, in the range; all rows are validated before the range is taken.
 
-    A row with a null or impossible value, or two differing rows of a key, is an error of the whole payload.
+    A row with a null or impossible value, or two differing rows of a key, is an error of the plan: no bars come out.
     """
     from quotemill.operators.latest import without_conflicts
     from quotemill.sources.records import consistent
 
-    bad = bars.filter(F.col("trade_date").isNull() | ~F.coalesce(consistent(bars), F.lit(False))).limit(1).collect()
-    if bad:
-        raise PayloadError(f"invalid bar {bad[0].asDict()}")
-    return without_conflicts(bars, key).filter(keep)
+    good = F.col("trade_date").isNotNull() & F.coalesce(consistent(bars), F.lit(False))
+    named = F.to_json(F.struct(*bars.columns))
+    checked = bars.withColumn("close", F.when(good, F.col("close")).otherwise(F.raise_error(F.concat(F.lit("invalid bar "), named)).cast("double")))
+    return without_conflicts(checked, key).withColumn("_keep", keep).filter("_keep").drop("_keep")
 
 
 class _Links(HTMLParser):

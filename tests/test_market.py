@@ -203,8 +203,8 @@ def test_first_with_issues(spark):
     assert sorted((r.k, r.at) for r in first.collect()) == [("a", 1), ("b", 1)]
     assert sorted((r.at, r.issue_type) for r in issues.collect()) == [(2, "duplicate_logical_key"), (3, "conflicting_logical_key")]
     assert {r.issue_type for r in latest.first_with_issues(rows, ["k"], "at", compare=False)[1].collect()} == {"duplicate_logical_key"}
-    with pytest.raises(latest.ConflictError):
-        latest.without_conflicts(rows.drop("at"), ["k"])
+    with pytest.raises(Exception, match="conflicting rows for a"):
+        latest.without_conflicts(rows.drop("at"), ["k"]).collect()
     assert latest.without_conflicts(rows.filter("at < 3").drop("at"), ["k"]).count() == 2
 
 
@@ -306,3 +306,18 @@ def test_as_of_and_factors_form_no_pairs(spark):
 def test_recent_rows_need_no_full_sort(spark):
     plan = ordering.recent_ascending(spark.range(1000), "id", 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_null_keys_and_versions_lose_nothing(spark):
+    schema = "market string, symbol string, name string, locked boolean"
+    stored = spark.createDataFrame([(None, "1", "old", False), ("sz", "1", "kept", True)], schema)
+    incoming = spark.createDataFrame([(None, "1", "new", False), (None, "2", "new", False), ("sz", "1", "new", False)], schema)
+    rows = sorted(((r.market or "", r.symbol, r.name) for r in latest.merge_locked(stored, incoming, ["market", "symbol"], "locked").collect()))
+    assert rows == [("", "1", "new"), ("", "2", "new"), ("sz", "1", "kept")]
+    assert sorted((r.market or "", r.symbol, r.name) for r in latest.upsert(stored, incoming, ["market", "symbol"]).collect()) == [("", "1", "new"), ("", "2", "new"), ("sz", "1", "new")]
+    versions = spark.createDataFrame([("k", None, "x"), ("m", None, "y"), ("m", 1, "z"), (None, 2, "n")], "k string, v int, t string")
+    assert sorted((r.k or "", r.t) for r in latest.newest(versions, ["k"], "v").collect()) == [("", "n"), ("k", "x"), ("m", "z")]
+    twice = versions.unionByName(versions)
+    assert latest.without_conflicts(twice, ["k", "v"]).count() == 4
+    with pytest.raises(Exception, match="conflicting rows for m"):
+        latest.without_conflicts(twice, ["k"]).collect()
