@@ -368,3 +368,72 @@ def _master_file(spark: SparkSession, sf_dir: str) -> str:
     path = shared_path(spark, "master")
     rows.write.option("header", "true").csv(path)
     return path
+
+
+# ---- dictionaries, archives, days
+
+
+@query("select p_partkey::int as metric_type, p_name as name, p_brand as title, p_type as value1_meaning, 'u' as value2_meaning, case when p_partkey % 2 = 0 then 'verified' else 'candidate' end as status from part")
+def src_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary file with the exact header, unique keys and only allowed statuses."""
+    path = shared_path(spark, "dictionary")
+    n = F.col("p_partkey")
+    rows = views.table(spark, sf_dir, "part").select(n.alias("metric_type"), F.col("p_name").alias("name"), F.col("p_brand").alias("title"), F.col("p_type").alias("value1_meaning"), F.lit("u").alias("value2_meaning"), F.when(n % 2 == 0, "verified").otherwise("candidate").alias("status"), F.lit("s").alias("source_ref"))
+    rows.write.option("header", "true").csv(path)
+    return tables.dictionary(spark, path, tables.METRICS, "metric_type", {"status": ("verified", "candidate")}).drop("source_ref")
+
+
+@query("select symbol, event_date, cast(cast(open as float) as double) as value1 from (select symbol, trade_date as event_date, open from ebars_1d) where cast(symbol as int) % 5 <> 0")
+def src_metric_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric files out of an archive, of which those go that a manifest does not vouch for."""
+    from quotemill.plans.source_queries import _metric_files
+    from quotemill.sources import records
+
+    files = _metric_files(spark, sf_dir)
+    archive = packers.zipped(files.select(F.lit("gp.zip").alias("source_path"), F.col("source_path").alias("entry"), "content"))
+    entries = records.entries(archive, (".dat",))
+    symbol = F.regexp_extract("entry", "([0-9]{6})", 1).cast("int")
+    listed = entries.select(F.col("entry").alias("filename"), F.when(symbol % 5 == 0, F.md5(F.lit("x").cast("binary"))).otherwise(F.md5("content")).alias("md5"), F.octet_length("content").cast("long").alias("size"))
+    bad = tables.manifest_mismatches(entries.select(F.col("entry").alias("filename"), "content"), listed)
+    good = entries.join(bad.select(F.col("filename").alias("entry")), "entry", "left_anti")
+    return records.metric_values(records.as_files(good))[0].select("symbol", "event_date", "value1")
+
+
+@query("select distinct trade_date, event_type, market, symbol from limit_events where theme_primary = 'theme3' or board_count = 3 order by trade_date, event_type, market, symbol limit 501")
+def events_of_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the events whose first theme, or one of whose tags, is the one asked for."""
+    from quotemill.plans import review
+    from quotemill.plans.params import LimitQuery
+
+    tags = F.array(F.lit("x"), F.when(F.col("board_count") == 3, "theme3").otherwise("y"))
+    rows = views.limit_events(spark, sf_dir).withColumn("theme_tags", tags)
+    q = LimitQuery(since="2024-01-01", until="2024-12-31", theme="theme3", limit=500)
+    found = review.selected(rows, q, "events").select(*EVENT)
+    return ordering.page(found, EVENT, 500)
+
+
+@query("select trade_date, prev_trade_date from limit_summary_stored where prev_trade_date is not null")
+def previous_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The previous trading day of every day, checked to be before it and the same in all rows that state it."""
+    from quotemill.plans import review
+
+    return review.previous_days(views.limit_summary_stored(spark, sf_dir), views.limit_relay_stored(spark, sf_dir))
+
+
+@query("select market, symbol, trade_date, point_index, price from points")
+def points_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intraday points twice: equal ones collapse without an issue."""
+    rows = views.points(spark, sf_dir).select(*KEY, "trade_date", "point_index", "price").withColumn("at", F.lit(0))
+    first, issues = latest.first_with_issues(rows.unionByName(rows.withColumn("at", F.lit(1))), [*KEY, "trade_date", "point_index"], "at")
+    conflicting = issues.filter("issue_type = 'conflicting_logical_key'").select(*KEY).distinct()
+    return first.drop("at").join(conflicting, KEY, "left_anti")
+
+
+@query("select count(*) as row_count, min(open) as least from (select open, row_number() over (partition by market, symbol order by trade_date desc) as n from bars_1d) where n <= 800")
+def online_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most recent 800 bars of every instrument, as pages of an online read hold them."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("trade_date")))
+    rows = views.bars_1d(spark, sf_dir).withColumn("n", place).filter("n <= 800")
+    return rows.agg(F.count("*").alias("row_count"), F.min("open").alias("least"))
