@@ -77,17 +77,17 @@ def adjustment_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     the bar's day. Both are exponentials of running sums of logarithms in one window, so no bar meets an action in a join.
     """
     key = ["market", "symbol"]
-    ratios = action_ratios(bars, actions)
-    moves = ratios.filter("issue is null").groupBy(*key, "event_date").agg(F.sum(F.log("ratio")).alias("move"))
-    blocked = ratios.filter(F.col("issue").isin(*BLOCKING)).select(*key).distinct().withColumn("blocked", F.lit(True))
-    days = bars.select(*key, "trade_date", F.lit(None).cast("double").alias("move"), F.lit(True).alias("is_bar"))
-    events = moves.select(*key, F.col("event_date").alias("trade_date"), "move", F.lit(False).alias("is_bar"))
+    ratios, issue = action_ratios(bars, actions), F.col("issue")
+    moved = F.sum(F.when(issue.isNull(), F.log("ratio"))).alias("move")
+    moves = ratios.groupBy(*key, "event_date").agg(moved, F.max(F.coalesce(issue.isin(*BLOCKING), F.lit(False))).alias("blocks"))
+    days = bars.select(*key, "trade_date", F.lit(None).cast("double").alias("move"), F.lit(False).alias("blocks"), F.lit(True).alias("is_bar"))
+    events = moves.select(*key, F.col("event_date").alias("trade_date"), "move", "blocks", F.lit(False).alias("is_bar"))
     upto = Window.partitionBy(*key).orderBy("trade_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(*key)
-    summed = days.unionByName(events).withColumn("_past", F.coalesce(F.sum("move").over(upto), F.lit(0.0))).withColumn("_all", F.coalesce(F.sum("move").over(every), F.lit(0.0)))
-    rows = summed.filter("is_bar").join(blocked, key, "left")
-    free = F.col("blocked").isNull()
-    return rows.select(*key, "trade_date", F.when(free, F.exp(F.col("_all") - F.col("_past"))).alias("qfq_factor"), F.when(free, F.exp(-F.col("_past"))).alias("hfq_factor"))
+    summed = days.unionByName(events).withColumn("_past", F.coalesce(F.sum("move").over(upto), F.lit(0.0)))
+    summed = summed.withColumn("_all", F.coalesce(F.sum("move").over(every), F.lit(0.0))).withColumn("_free", ~F.max("blocks").over(every))
+    factor = lambda exponent: F.when(F.col("_free"), F.exp(exponent))
+    return summed.filter("is_bar").select(*key, "trade_date", factor(F.col("_all") - F.col("_past")).alias("qfq_factor"), factor(-F.col("_past")).alias("hfq_factor"))
 
 
 def streaks(present: DataFrame, calendar: DataFrame, by: Sequence[str], date: str) -> DataFrame:
