@@ -73,7 +73,10 @@ def sweep_totals(batches: DataFrame) -> DataFrame:
 
 
 def content_address(members: DataFrame, by: Sequence[str], line: Column) -> DataFrame:
-    """SHA-256 of each group's sorted lines' digests, one to a line: the same for any order of its rows."""
+    """SHA-256 of each group's sorted lines' digests, one to a line: the same for any order of its rows.
+
+    The definition asks for all of a group's digests in one value: 65 bytes a member, so groups of up to some millions of members.
+    """
     return members.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.sha2(line.cast("binary"), 256))), "\n").cast("binary"), 256).alias("content_id"))
 
 

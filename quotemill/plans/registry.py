@@ -84,12 +84,11 @@ def bars_1m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
-@query("select * from points where market = 'sz' and symbol = '000001' and trade_date = (select min(trade_date) from points where market = 'sz' and symbol = '000001' and trade_date >= date '2024-01-05')")
-def points_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("select * from points where market = 'sz' and symbol = '000001' and trade_date between date '2024-01-05' and date '2024-01-09'")
+def points_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.points(spark, sf_dir)
-    days = rows.filter((F.col("market") == ONE["market"]) & (F.col("symbol") == ONE["symbol"]) & (F.col("trade_date") >= F.lit("2024-01-05").cast("date")))
-    day = days.agg(F.min("trade_date")).first()[0]
-    return bars.intraday_points(rows, PointQuery(**ONE, date=str(day or "2024-01-05"), limit=10_000))
+    timed = rows.withColumn("point_time", F.col("trade_date").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("minute_of_day")))
+    return bars.intraday_points(timed, PointQuery(**ONE, since="2024-01-05", until="2024-01-09", limit=10_000)).drop("point_time")
 
 
 _FACTORS = (
