@@ -3,42 +3,28 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quotemill.session import shared_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only on a local master, where all is one machine, a new folder does where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("quotemill.shared.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='quotemill-')}"
-        spark.conf.set("quotemill.shared.dir", found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage so that a lost executor costs a reread, not a recomputation.
 
     Results are read lazily, so the table stays as long as the application; its end deletes it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quotemill/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unused(name: str, taken: Iterable[str]) -> str:
