@@ -34,13 +34,14 @@ class Dataset:
 
 
 def write_facts(rows: DataFrame, dataset: Dataset, commit: int) -> None:
-    """Appends rows as one commit, in ranges of partition and key, so that files prune by date and by key.
+    """Appends rows as one commit, sorted by partition and key within each file, so that files prune by date and by key.
 
-    A range ends where its share of the rows does: a large partition goes to many tasks and files, small ones share a task.
+    One shuffle brings a partition's rows together; adaptive execution splits large partitions among tasks and files and lets small
+    ones share a task. The rows are computed once.
     """
     placed = rows.withColumn(COMMIT, F.lit(commit).cast("long")).withColumn("_part", dataset.partition)
-    ranged = placed.repartitionByRange("_part", *dataset.key).sortWithinPartitions("_part", *dataset.key)
-    ranged.write.mode("append").partitionBy("_part").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(dataset.path)
+    placed = placed.hint("rebalance", "_part").sortWithinPartitions("_part", *dataset.key)
+    placed.write.mode("append").partitionBy("_part").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(dataset.path)
 
 
 def read_facts(spark: SparkSession, dataset: Dataset, since: str = "", until: str = "") -> DataFrame:
