@@ -60,6 +60,46 @@ def wire_fund_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(_symbol(), "trade_date", *PRICES, "amount", F.col("volume").cast("long").alias("volume"))
 
 
+def _day_frame() -> Column:
+    return (F.col("symbol").cast("long") * 100_000_000 + packers.date_number(F.col("trade_date"))).alias("frame_id")
+
+
+def _of_day(found: DataFrame) -> list[Column]:
+    return [F.lpad(F.floor(F.col("frame_id") / 100_000_000).cast("string"), 6, "0").alias("symbol"), F.to_date((F.col("frame_id") % 100_000_000).cast("string"), "yyyyMMdd").alias("trade_date")]
+
+
+@query("select symbol, trade_date, minute_of_day, cast(cast(close as float) as double) as price, cast(cast(open as float) as double) as average, volume, volume + 7 as open_interest from ebars_1m")
+def wire_ex_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.ebars_1m(spark, sf_dir).select(_day_frame(), F.col("minute_of_day").alias("minute"), F.col("close").alias("price"), F.col("open").alias("average"), "volume", (F.col("volume") + 7).alias("open_interest"))
+    found = frames.ex_points(_fixed(rows, frames.EX_POINT, frames.EX_OLD_POINT_HEAD, ["minute"]), True)
+    return found.select(*_of_day(found), F.col("minute_of_day").cast("int").alias("minute_of_day"), "price", "average", "volume", "open_interest")
+
+
+@query("select symbol, trade_date, minute_of_day, minute_of_day % 60 as second, cast(round(close * 100) as bigint) as price, volume, change, case when change > 0 then case when volume > change then '多开' when volume = change then '双开' else '换手' end when change = 0 then '多换' when volume = -change then '双平' else '空平' end as name, 1 as direction from (select *, minute_of_day % 5 - 2 as change from ebars_1m)")
+def wire_ex_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minute = F.col("minute_of_day")
+    rows = views.ebars_1m(spark, sf_dir).select(_day_frame(), minute.alias("minute"), packers.hundredths(F.col("close")).alias("price"), "volume", (minute % 5 - 2).alias("change"), (minute % 60).alias("nature"))
+    found = frames.ex_trades(_fixed(rows, frames.EX_TRADE, frames.EX_TRADE_HEAD, ["minute"]), 29)
+    return found.select(*_of_day(found), F.col("minute_of_day").cast("int").alias("minute_of_day"), F.col("second").cast("int").alias("second"), "price", "volume", F.col("change").cast("int").alias("change"), "name", "direction")
+
+
+_TICKS = "select symbol, trade_date, row_number() over w - 1 as point_index, close as price, 2 * close as average, volume from ebars_1m window w as (partition by symbol, trade_date order by minute_of_day)"
+
+
+@query(f"select symbol, trade_date, point_index, case when point_index < 121 then 570 + point_index else 659 + point_index end as minute_of_day, price, round(average, 2) as average, volume from ({_TICKS})")
+def wire_tick_chart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points whose prices are relative to the day's first."""
+    from pyspark.sql import Window
+
+    cents = packers.hundredths(F.col("close"))
+    first = F.first(cents).over(Window.partitionBy("symbol", "trade_date").orderBy("minute_of_day"))
+    place = F.row_number().over(Window.partitionBy("symbol", "trade_date").orderBy("minute_of_day"))
+    rows = views.ebars_1m(spark, sf_dir).select(_day_frame(), "minute_of_day", F.when(place == 1, cents).otherwise(cents - first).alias("price"), "volume")
+    record = lambda r: packers.varint(int(r["price"])) + packers.varint(200 * int(r["price"])) + packers.varint(int(r["volume"]))
+    found = frames.tick_chart(wire.unpacked(packers.framed(rows, ["minute_of_day"], record, lambda n: struct.pack("<HH", n, 0))))
+    return found.select(*_of_day(found), "point_index", F.col("minute_of_day").cast("long").alias("minute_of_day"), "price", F.round("average", 2).alias("average"), "volume")
+
+
 @query("select cast(symbol as bigint) % 3 as category, 29 as market, 'C' || symbol as code, current_name[1:8] as name, board[1:4] as description from securities")
 def wire_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("symbol").cast("long")

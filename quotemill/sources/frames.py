@@ -11,21 +11,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quotemill.functions.dates import date_of_number, packed_minute, vendor_time
+from quotemill.functions.dates import date_of_number, minute_label, packed_minute, vendor_time
 from quotemill.sources.records import PRICES, vendor_text
-from quotemill.sources.wire import MINUTE_CATEGORIES, FrameError, _numbers, _take, frame_records, vendor_float
+from quotemill.sources.wire import MINUTE_CATEGORIES, FrameError, _numbers, _take, frame_records, trade_nature, vendor_float
 
 _OHLC = [(p, "<f4") for p in PRICES]
 #: Fixed record layouts, little-endian. The time is a packed date and minute, or a date number in the same four bytes.
 EX_BAR = np.dtype([("day", "<u2"), ("minute", "<u2"), *_OHLC, ("position", "<u4"), ("trade", "<u4"), ("price", "<f4")])
 EX_RANGE_BAR = np.dtype([("day", "<u2"), ("minute", "<u2"), *_OHLC, ("position", "<u4"), ("trade", "<u4"), ("settlement", "<f4")])
 FUND_BAR = np.dtype([("day", "<u2"), ("minute", "<u2"), *_OHLC, ("amount", "<f4"), ("volume", "<u4"), ("rest", "<u4")])
+EX_POINT = np.dtype([("minute", "<u2"), ("price", "<f4"), ("average", "<f4"), ("volume", "<u4"), ("open_interest", "<u4")])
+EX_TRADE = np.dtype([("minute", "<u2"), ("price", "<u4"), ("volume", "<u4"), ("change", "<i4"), ("nature", "<u2")])
 INSTRUMENT = np.dtype([("category", "u1"), ("market", "u1"), ("rest", "S3"), ("code", "S9"), ("name", "S17"), ("description", "S9"), ("tail", "S24")])
 FUND_ITEM = np.dtype([("item_id", "<u4"), ("values", "<u2", (6,))])
 #: Where the number of records stands, and where they begin.
+EX_POINT_HEAD, EX_OLD_POINT_HEAD, EX_TRADE_HEAD = (10, 12), (18, 20), (14, 16)
 EX_BAR_HEAD, EX_RANGE_HEAD, FUND_BAR_HEAD, INSTRUMENT_HEAD, FUND_ITEM_HEAD = (18, 20), (12, 14), (40, 42), (4, 6), (36, 38)
 
 #: A finance frame: market and symbol at 2, then from 9 these numbers. All floats but the last two and the holders count in ten thousands.
@@ -88,6 +91,38 @@ def ex_range_bars(frames: DataFrame) -> DataFrame:
     return _placed(fixed_records(frames, EX_RANGE_BAR, EX_RANGE_HEAD, f"{_BAR}, position long, trade long, settlement double"), True, "position", "trade", "settlement")
 
 
+def ex_points(frames: DataFrame, history: bool = False) -> DataFrame:
+    """Extension-market minute points: minute_of_day, price, average, volume, open_interest; frames of past days have a longer head."""
+    raw = fixed_records(frames, EX_POINT, EX_OLD_POINT_HEAD if history else EX_POINT_HEAD, "minute long, price double, average double, volume long, open_interest long")
+    return raw.withColumnRenamed("minute", "minute_of_day")
+
+
+def ex_trades(frames: DataFrame, market: int) -> DataFrame:
+    """Extension-market trades of a market: minute_of_day, second, price, volume, change of open interest, the trade's name and direction."""
+    raw = fixed_records(frames, EX_TRADE, EX_TRADE_HEAD, "minute long, price long, volume long, change long, nature long")
+    named = raw.withColumn("n", trade_nature(F.lit(market), F.col("volume"), F.col("change"), F.col("nature")))
+    return named.select("frame_id", "record_no", F.col("minute").alias("minute_of_day"), "n.second", "price", "volume", "change", "n.name", "n.direction")
+
+
+def tick_chart(frames: DataFrame, start: int = 0) -> DataFrame:
+    """Tick chart points: point_index, minute_of_day, price, average, volume.
+
+    A price is relative to the first one before it that is not zero, an average likewise, in hundredths and ten thousandths.
+    """
+
+    def decode(body: bytes) -> Iterator[tuple]:
+        (n,), at = _take("<H2x", body, 0)
+        for _ in range(n):
+            values, at = _numbers(body, at, 3)
+            yield tuple(values)
+
+    raw = frame_records(frames, decode, "price long, average long, volume long")
+    before = Window.partitionBy("frame_id").orderBy("record_no").rowsBetween(Window.unboundedPreceding, -1)
+    value = lambda c: F.col(c) + F.coalesce(F.first(F.nullif(F.col(c), F.lit(0)), True).over(before), F.lit(0))
+    index = F.col("record_no") + start
+    return raw.select("frame_id", index.alias("point_index"), minute_label(index, 121).alias("minute_of_day"), (value("price") / 100.0).alias("price"), (value("average") / 10_000.0).alias("average"), "volume")
+
+
 def fund_bars(frames: DataFrame, minutes: bool) -> DataFrame:
     """Fund bars: time, prices, amount, volume."""
     return _placed(fixed_records(frames, FUND_BAR, FUND_BAR_HEAD, f"{_BAR}, amount double, volume long"), minutes, "amount", "volume")
@@ -180,8 +215,6 @@ def seat_records(texts: DataFrame) -> DataFrame:
     Lines are rows: a heading opens a record, a caption a side; a seat whose amounts stand on the next line, without a name, gets
     them from there. What a line belongs to is the last heading or caption above it, by windows over the text's lines.
     """
-    from pyspark.sql import Window
-
     lines = texts.select("text_id", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
     line = F.col("line")
     cell = r"│(.+)│\s*([-0-9.]+)│\s*([-0-9.]+)│"
