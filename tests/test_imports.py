@@ -90,3 +90,27 @@ def test_archived_minutes_and_servers(spark):
     assert [(r.market, r.symbol, r.minute_of_day) for r in records.minute_bars(files)[0].collect()] == [("sh", "600000", 571)]
     probes = spark.createDataFrame([("g", "a", 9, True), ("g", "b", 1, False), ("g", "c", 9, True)], "g string, server string, latency_ms int, ok boolean")
     assert [(r.server, r.latency_ms) for r in ops.fastest(probes, ["g"]).collect()] == [("a", 9)]
+
+
+def test_shared_folder_must_be_named_off_one_machine():
+    from types import SimpleNamespace
+
+    from quotemill.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: other), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(cluster)
+    named = SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: "hdfs://x/y/" if key == "spark.checkpoint.dir" else other))
+    assert shared_dir(named) == "hdfs://x/y"
+
+
+def test_large_partitions_are_written_by_many_tasks(spark, tmp_path):
+    data = imports.Dataset("x", str(tmp_path / "x"), ("k",), "d")
+    rows = spark.range(400_000).select(F.col("id").alias("k"), F.when(F.col("id") % 10 == 0, F.lit("2023-01-01").cast("date")).otherwise(F.lit("2024-01-01").cast("date")).alias("d"), F.rand(1).alias("v"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500k")
+    try:
+        imports.write_facts(rows, data, 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "x" / "_part=2024").glob("*.parquet"))) > 2
+    assert imports.read_facts(spark, data).count() == 400_000
