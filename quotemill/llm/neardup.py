@@ -147,7 +147,7 @@ def compared(pairs: DataFrame, texts: DataFrame, similarity: float, size: int, e
 
 
 def common_extras(led: DataFrame) -> DataFrame:
-    """(a, b, extra): of the weight that b has beyond its leader a, how much lies on shingles on which another of a's followers has more too.
+    """(a, b, extra): of the weight that b has beyond its leader a, how much lies on shingles on which another of a's followers in led has more too.
 
     Counted as what is left without the shingles that one follower alone has, so that all is summed before it is shuffled.
     """
@@ -248,7 +248,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     apart, more, bounded = still_apart(followers, roots, buckets.count()), LEADERS, False
     while count := apart.count():
         if not bounded:
-            open_led = led.join(apart.select(F.col("leader").alias("a")).distinct(), "a", "left_semi")
+            open_led = written(led.join(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), ["a", "b"], "left_semi"), "open")
             bounds = open_led.select("a", "b", "shared").join(common_extras(open_led), ["a", "b"])
             bounds = bounds.select(F.col("a").alias("leader"), F.col("b").alias("node"), "shared", "extra")
             apart, bounded = written(apart.join(bounds, ["leader", "node"]), "bounded"), True
