@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quotemill.llm import chat, decontamination, htmltext, neardup, packing, quality, secrets, sharding, tokencount, toxicity
+from quotemill.llm import alignment, chat, decontamination, htmltext, languages, neardup, packing, quality, secrets, sharding, tokencount, toxicity, whitening
 from quotemill.llm.common import table, text_or_empty
 
 
@@ -126,6 +126,21 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), digest, secrets.joined_spans(F.col("findings")).alias("spans"))
 
 
+def op11_hyperdimensional_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return languages.predicted(table(spark, sf_dir, "documents"))
+
+
+def op12_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return alignment.token_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_triangle_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -140,6 +155,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tournament_packing,
         op9_bm25_wand,
         op10_blob_ledger,
+        op11_hyperdimensional_profiles,
+        op12_elementary_intervals,
+        op13_triangle_aggregates,
     )
 }
 
