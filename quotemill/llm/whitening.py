@@ -48,17 +48,17 @@ class Moments:
         return [(2 * s + self.n) // (2 * self.n) for s in self.sums]
 
 
-def _one(df: DataFrame, columns: list[Column]) -> list:
+def _one(df: DataFrame, expressions: list[str]) -> list:
     """The values of one row of aggregates, taken some thousand at a time."""
     found: list = []
-    for k in range(0, len(columns), PAIRS_PER_AGGREGATE):
-        found += df.agg(F.array(*columns[k : k + PAIRS_PER_AGGREGATE]).alias("a")).first().a
+    for k in range(0, len(expressions), PAIRS_PER_AGGREGATE):
+        found += df.selectExpr(f"array({', '.join(expressions[k : k + PAIRS_PER_AGGREGATE])}) as a").first().a
     return found
 
 
-def upper_triangle(columns: list[Column]) -> list[Column]:
-    """Sums of the products of every pair of columns, row by row of the upper triangle."""
-    return [F.sum(a * b) for i, a in enumerate(columns) for b in columns[i:]]
+def upper_triangle(width: int) -> list[str]:
+    """Sums of the products of every pair of the columns x0, x1 and on, row by row of the upper triangle."""
+    return [f"sum(x{i} * x{j})" for i in range(width) for j in range(i, width)]
 
 
 def symmetric(upper: list, width: int) -> np.ndarray:
@@ -70,15 +70,16 @@ def symmetric(upper: list, width: int) -> np.ndarray:
 
 def moments(vectors: DataFrame, width: int) -> Moments | None:
     """Sums and covariance of column x, vectors of so many whole numbers; None of an empty table."""
-    entry = [F.get("x", F.lit(i)) for i in range(width)]
-    n, *bounds = _one(vectors, [F.count(F.lit(1)).cast("decimal(38,0)"), *(f(e.cast("decimal(38,0)")) for f in (F.sum, F.min, F.max) for e in entry)])
+    entries = [f"cast(x[{i}] as decimal(38, 0))" for i in range(width)]
+    n, *bounds = _one(vectors, ["cast(count(1) as decimal(38, 0))", *(f"{f}({e})" for f in ("sum", "min", "max") for e in entries)])
     n, (sums, least, most) = int(n), ([int(b or 0) for b in bounds[k : k + width]] for k in (0, width, 2 * width))
     if not n:
         return None
     centre = [(2 * s + n) // (2 * n) for s in sums]
     reach = max(max(m - c, c - l) for l, m, c in zip(least, most, centre, strict=True))
     kind = "long" if n * reach * reach < 1 << 62 else "double"
-    products = _one(vectors, upper_triangle([(e - F.lit(c)).cast(kind) for e, c in zip(entry, centre, strict=True)]))
+    centred = vectors.selectExpr(*(f"coalesce(cast(x[{i}] - {c} as {kind}), cast(0 as {kind})) as x{i}" for i, c in enumerate(centre)))  # never null, which makes the sums cheaper
+    products = _one(centred, upper_triangle(width))
     rest = [s - n * c for s, c in zip(sums, centre, strict=True)]
     pairs = ((i, j) for i in range(width) for j in range(i, width))
     if kind == "long":  # quotients of whole numbers are rounded once
@@ -180,10 +181,9 @@ def identity_error(fit: DataFrame, onto: Projection, width: int, kept: int) -> f
         for batch in batches:
             if batch.num_rows:
                 w = onto.whitened(_rows(batch["x"], width))
-                yield pa.record_batch({f"w{k}": pa.array(np.ascontiguousarray(w[:, k])) for k in range(kept)})
+                yield pa.record_batch({f"x{k}": pa.array(np.ascontiguousarray(w[:, k])) for k in range(kept)})
 
-    columns = [F.col(f"w{k}") for k in range(kept)]
-    space = fit.mapInArrow(run, ", ".join(f"w{k} double" for k in range(kept)))
-    means = [s / onto.n for s in _one(space, [F.sum(c) for c in columns])]
-    products = _one(space, upper_triangle([c - F.lit(m) for c, m in zip(columns, means, strict=True)]))
+    space = fit.mapInArrow(run, ", ".join(f"x{k} double" for k in range(kept)))
+    means = [s / onto.n for s in _one(space, [f"sum(x{k})" for k in range(kept)])]
+    products = _one(space.selectExpr(*(f"x{k} - {m!r}D as x{k}" for k, m in enumerate(means))), upper_triangle(kept))
     return float(np.abs(symmetric([p / onto.n for p in products], kept) - np.eye(kept)).max())
