@@ -7,14 +7,15 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quotemill.functions.text import slug
 from quotemill.plans import adapters as views
 from quotemill.plans import ops
 from quotemill.plans.registry import query
-from quotemill.sources import packers, records, review_json, tables, wire
+from quotemill.session import shared_path
+from quotemill.sources import archives, packers, ranges, records, review_json, store, tables, wire
 
 PRICES = records.PRICES
 
@@ -446,3 +447,94 @@ def wire_board_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("market_code").cast("int").alias("market_code"), "symbol", "name", *[F.col("fields")[k].alias(k) for k in ("pre_close", "volume", "consecutive_up")])
 
 
+
+
+# ---- record files by ranges, archives by members
+
+
+def landed(files: DataFrame, label: str) -> str:
+    """Files (source_path, content) written by tasks into a new folder of the shared one; its place. A repeated task writes the same files again."""
+    spark = files.sparkSession
+    root = shared_path(spark, label)
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch["source_path"], batch["content"], strict=True):
+                store.put(f"{root}/{path.lstrip('/')}", content)
+            yield batch[["source_path"]]
+
+    files.mapInPandas(run, "source_path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+def _cut_day_files(spark: SparkSession, sf_dir: str) -> str:
+    """Day files on disk, those of Shenzhen with five bytes of one more record behind them."""
+    files = _day_files(views.bars_1d(spark, sf_dir))
+    return landed(files.withColumn("content", F.when(F.col("source_path").contains("/sz"), F.concat("content", F.lit(b"12345"))).otherwise(F.col("content"))), "day-files")
+
+
+@query(f"select market, symbol, trade_date, open, high, low, close, {_f('amount')}, volume from bars_1d where market in ('sh', 'sz') and trade_date >= date '1995-01-01' and trade_date < date '1997-01-01'")
+def src_day_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two markets and two years of day files, some of them cut, read by ranges of 300 records: markets prune files, days are searched for."""
+    rows, _ = ranges.checked_rows(spark, _cut_day_files(spark, sf_dir), "day", glob="*.day", records_per_task=300, ordered=True)
+    day = F.col("trade_date")
+    return rows.filter(F.col("market").isin("sh", "sz") & (day >= F.lit("1995-01-01").cast("date")) & (day < F.lit("1997-01-01").cast("date"))).select("market", "symbol", "trade_date", *PRICES, "amount", "volume")
+
+
+@query("select market, symbol, 'incomplete_trailing_bytes' as issue_type, count(*) as row_offset from bars_1d where market = 'sz' group by all")
+def src_day_range_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One issue of each cut file, at the place after its whole records."""
+    _, issues = ranges.checked_rows(spark, _cut_day_files(spark, sf_dir), "day", glob="*.day")
+    name = F.element_at(F.split("source_path", "/"), -1)
+    return issues.select(F.substring(name, 1, 2).alias("market"), F.substring(name, 3, 6).alias("symbol"), "issue_type", "row_offset")
+
+
+@query(f"select market, symbol, trade_date, minute_of_day, {_FLOATS}, {_f('amount')}, volume from ebars_1m")
+def src_archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute files in an archive for each instrument's last digit, on disk: the archives' directories are read, then each member by a task."""
+    files = _minute_files(views.ebars_1m(spark, sf_dir), F.lit(".lc5"), False)
+    digit = F.regexp_extract("source_path", r"([0-9])\.lc5$", 1)
+    root = landed(packers.zipped(files.select(F.concat(digit, F.lit("/lc5.zip")).alias("source_path"), F.col("source_path").alias("entry"), "content")), "minute-archives")
+    bars, _ = archives.checked_rows(archives.directory(spark, root), "minute", (".lc5",))
+    return bars.select("market", "symbol", "trade_date", F.col("minute_of_day").cast("long").alias("minute_of_day"), *PRICES, "amount", "volume")
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> str:
+    """A package of each day: a share of every market and an index for each bar of the day, by its place. Of the days of a month the second's package lacks a
+    market's bars, the third's has an entry of another day, the fourth's fewer codes than bars, the fifth's a symbol twice, the sixth's an idle share."""
+    day = F.dayofmonth("trade_date")
+    rows = views.bars_1d(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("trade_date").orderBy("market", "symbol")))
+    markets = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(p).alias("p")) for m, p in (("sh", "60"), ("sz", "00"), ("bj", "92"), ("sz", "39"))]))
+    named = rows.select("trade_date", day.alias("d"), "n", markets.alias("k"), *PRICES, "volume", "amount").select("*", F.col("k.m").alias("m"), F.concat("k.p", F.lpad(F.when((F.col("d") == 5) & (F.col("n") == 2), 1).otherwise(F.col("n")).cast("string"), 4, "0")).alias("symbol"))
+    idle = (F.col("d") == 6) & (F.col("n") == 1)
+    placed = named.select(
+        F.concat(F.date_format("trade_date", "yyyy-MM-dd"), F.lit("/"), "m", F.date_format(F.when((F.col("d") == 3) & (F.col("m") == "bj"), F.date_add("trade_date", 1)).otherwise(F.col("trade_date")), "yyMMdd")).alias("source_path"),
+        *[F.when(idle & F.lit(c != "close"), 0).otherwise(F.col(c)).alias(c) for c in (*PRICES, "volume", "amount")], "symbol", "n", "d", "m",
+    )
+    codes = packers.packed(placed.filter("not (d = 4 and m = 'sz' and n = 1)"), records.np.dtype([("symbol", f"S{records.PACK_CODE}")]), ["symbol", "n"]).withColumn("kind", F.lit(".cod"))
+    bars = packers.packed(placed.filter("not (d = 2 and m = 'bj')"), records.PACK_BAR, ["symbol", "n"]).withColumn("kind", F.lit(".md1"))
+    parts = F.split("source_path", "/")
+    return landed(packers.zipped(codes.unionByName(bars).select(F.concat(parts[0], F.lit(".zip")).alias("source_path"), F.concat(parts[1], "kind").alias("entry"), "content")), "packages")
+
+
+_PROBLEM = "case when day(trade_date) = 2 then 'missing_pair' when day(trade_date) = 3 then 'mixed_dates' when day(trade_date) = 4 then 'record_count_mismatch' when day(trade_date) = 5 and count(*) > 1 then 'duplicate_symbol' end"
+
+
+@query(f"select cast(trade_date as varchar) as package, {_PROBLEM} as problem from bars_1d group by trade_date")
+def src_package_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each package: all but repeated symbols from the archives' directories alone."""
+    _, checks, _ = archives.packages(archives.directory(spark, _packages(spark, sf_dir)))
+    return checks.select(F.regexp_extract("source_path", r"([0-9-]{10})\.zip$", 1).alias("package"), "problem")
+
+
+@query(f"""
+select cast(trade_date as varchar) as package, market, class, sum(n) as records
+from (
+  select trade_date, day(trade_date) as d, count(*) as c from bars_1d group by trade_date having {_PROBLEM} is null),
+  lateral (select market, class, n from (values ('sh', 'share', case when d = 6 then c - 1 else c end), ('sz', 'share', case when d = 6 then c - 1 else c end), ('bj', 'share', case when d = 6 then c - 1 else c end), ('sz', 'other', c),
+    ('sh', 'idle', case when d = 6 then 1 else 0 end), ('sz', 'idle', case when d = 6 then 1 else 0 end), ('bj', 'idle', case when d = 6 then 1 else 0 end)) v(market, class, n))
+where n > 0 group by all""")
+def src_package_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the packages taken, by market and class."""
+    _, _, counts = archives.packages(archives.directory(spark, _packages(spark, sf_dir)))
+    return counts.select(F.regexp_extract("source_path", r"([0-9-]{10})\.zip$", 1).alias("package"), "market", "class", "records")

@@ -8,6 +8,7 @@ first-wins rule for repeated keys are DataFrame operations over all files at onc
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,7 @@ CAPITAL = np.dtype([("market", "u1"), ("code", "S7"), ("date", "<u4"), ("categor
 METRIC = np.dtype([("metric_type", "u1"), ("date", "<u4"), ("value1", "<f4"), ("value2", "<f4")])
 #: Bytes and rows of archive members that a task holds before it hands them on.
 BATCH_BYTES, BATCH_ROWS = 32 << 20, 1000
+SIX_DIGITS = re.compile("[0-9]{6}")
 #: Prices in integer formats are hundredths.
 HUNDREDTHS = 100.0
 
@@ -98,9 +100,21 @@ def decoded(rows: DataFrame, decode: Callable[[bytes], Decoded], schema: str) ->
 
 
 def whole(content: bytes, layout: np.dtype) -> np.ndarray:
-    if len(content) % layout.itemsize:
-        raise ValueError(f"{len(content)} bytes are not whole records of {layout.itemsize}")
-    return np.frombuffer(content, layout)
+    """The whole records of a file; bytes left over are an issue of the file."""
+    return np.frombuffer(content, layout, len(content) // layout.itemsize)
+
+
+def sizes(rows: DataFrame, width: int) -> DataFrame:
+    """source_path, records and trailing_bytes of files (source_path, content) of records so many bytes wide."""
+    n = F.octet_length("content").cast("long")
+    return rows.select("source_path", F.floor(n / width).alias("records"), (n % width).alias("trailing_bytes"))
+
+
+def file_issues(files: DataFrame, valid: DataFrame) -> DataFrame:
+    """What is wrong with whole files (source_path, records, trailing_bytes): bytes after the last whole record, at whose place the issue is, and files without a valid row."""
+    cut = files.filter("trailing_bytes > 0").select("source_path", F.col("records").alias("row_offset"), F.lit("incomplete_trailing_bytes").alias("issue_type"))
+    empty = files.select("source_path").join(valid.select("source_path").distinct(), "source_path", "left_anti")
+    return cut.unionByName(empty.select("source_path", F.lit(None).cast("long").alias("row_offset"), F.lit("zero_valid_rows").alias("issue_type")))
 
 
 PRICES = ("open", "high", "low", "close")
@@ -122,10 +136,10 @@ def decode_minute(content: bytes, integer_prices: bool) -> Decoded:
 
 
 def day_bars(rows: DataFrame, market: str = "", symbol: str = "") -> tuple[DataFrame, DataFrame]:
-    """(bars, issues) of .day files: invalid dates and repeated keys become issues, of repeated keys the first row stays."""
+    """(bars, issues) of .day files: invalid dates, a high below the low, repeated keys, cut files and files without a bar become issues; of repeated keys the first row stays."""
     raw = decoded(rows, decode_day, f"date long, {_BAR}")
     keyed = raw.withColumn("_key", market_and_symbol(F.col("source_path"), market, symbol)).select("source_path", "row_offset", "_key.*", date_of_number(F.col("date")).alias("trade_date"), *PRICES, "amount", "volume")
-    return _checked(keyed, ["market", "symbol", "trade_date"])
+    return _whole_files(rows, DAY, *checked(keyed, ["market", "symbol", "trade_date"], "day"))
 
 
 def minute_bars(rows: DataFrame, market: str = "", symbol: str = "") -> tuple[DataFrame, DataFrame]:
@@ -138,13 +152,27 @@ def minute_bars(rows: DataFrame, market: str = "", symbol: str = "") -> tuple[Da
     at = packed_minute(F.col("date"), F.col("minute"))
     keyed = raw.withColumn("_key", market_and_symbol(F.col("source_path"), market, symbol)).withColumn("_at", at)
     keyed = keyed.select("source_path", "row_offset", "_key.*", F.when(F.col("_at.minute_of_day").isNotNull(), F.col("_at.trade_date")).alias("trade_date"), "_at.minute_of_day", *PRICES, "amount", "volume")
-    return _checked(keyed, ["market", "symbol", "trade_date", "minute_of_day"])
+    named = rows.filter(F.lower("source_path").rlike(r"\.(lc)?[15]$"))
+    return _whole_files(named, MINUTE_INT, *checked(keyed, ["market", "symbol", "trade_date", "minute_of_day"], "minute"))
 
 
-def _checked(rows: DataFrame, key: list[str], compare: bool = True) -> tuple[DataFrame, DataFrame]:
-    bad = F.col("trade_date").isNull()
-    invalid = rows.filter(bad).select("source_path", "row_offset", F.lit("invalid_date").alias("issue_type"))
-    values = rows.filter(~bad)
+def _whole_files(rows: DataFrame, layout: np.dtype, valid: DataFrame, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return valid, issues.unionByName(file_issues(sizes(rows, layout.itemsize), valid))
+
+
+def checked(rows: DataFrame, key: list[str], kind: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, issues) of records with source_path, row_offset and trade_date: those without a date, bars whose high is below the low, and repeats of a key go.
+
+    Metrics are not compared: each repeat of a key is a duplicate, whatever its values.
+    """
+    wrong = F.when(F.col("trade_date").isNull(), "invalid_time" if kind == "minute" else "invalid_date")
+    if kind == "capital":
+        wrong = F.when(F.col("market").isNull(), "unsupported_market").when(~F.coalesce(F.col("symbol").rlike("^[0-9]{6}$"), F.lit(False)), "unsupported_symbol").when(F.col("trade_date").isNull(), "invalid_date")
+    if kind in ("day", "minute", "ex_day"):
+        wrong = wrong.when(~F.isnan("low") & (F.col("high") < F.col("low")), "high_less_than_low")
+    marked = rows.withColumn("_wrong", wrong)
+    invalid = marked.filter("_wrong is not null").select("source_path", "row_offset", F.col("_wrong").alias("issue_type"))
+    values, compare = marked.filter("_wrong is null").drop("_wrong"), kind != "metric"
     order = values.withColumn("_order", F.struct("source_path", "row_offset")).drop("source_path", "row_offset")
     first, repeated = first_with_issues(order, key, "_order", compare)
     repeated = repeated.select("_order.source_path", "_order.row_offset", "issue_type")
@@ -165,18 +193,16 @@ def ex_day_bars(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     raw = decoded(rows, decode, "date long, open double, high double, low double, close double, amount long, price double, position long, trade long, settlement double")
     name = F.element_at(F.split("source_path", "/"), -1)
     keyed = raw.select("source_path", "row_offset", F.regexp_extract(name, r"^([0-9]+)#", 1).cast("int").alias("ex_market"), F.upper(F.regexp_extract(name, r"#([^.]+)\.", 1)).alias("code"), date_of_number(F.col("date")).alias("trade_date"), *PRICES, "amount", "price", "position", "trade", "settlement")
-    return _checked(keyed, ["ex_market", "code", "trade_date"])
+    return _whole_files(rows, EX_DAY, *checked(keyed, ["ex_market", "code", "trade_date"], "ex_day"))
 
 
 def capital_changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, issues) of capital-change files: a count, then records. Category 1 holds cash, price, bonus, allotment; others share counts."""
 
     def decode(content: bytes) -> Decoded:
-        n = int.from_bytes(content[:4], "little") if len(content) >= 4 else 0
-        if len(content) != 4 + n * CAPITAL.itemsize:
-            raise ValueError(f"{len(content)} bytes do not hold {n} records")
-        r = np.frombuffer(content, CAPITAL, n, 4)
-        text = [c.decode("ascii", "replace").strip("\0 ") for c in r["code"].tolist()]
+        n = min(int.from_bytes(content[:4], "little"), max(0, len(content) - 4) // CAPITAL.itemsize)
+        r = np.frombuffer(content[4:], CAPITAL, n)
+        text = [c.decode("ascii", "replace").rstrip("\0 ")[-6:] for c in r["code"].tolist()]
         return {"market_no": r["market"].astype(np.int64), "symbol": text, "date": r["date"].astype(np.int64), "category": r["category"].astype(np.int64)} | {k: r[k].astype(float) for k in "abcd"}
 
     raw = decoded(rows, decode, "market_no long, symbol string, date long, category long, a double, b double, c double, d double")
@@ -193,8 +219,16 @@ def capital_changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[value(c, True).alias(n) for c, n in zip("abcd", ("fenhong", "peigujia", "songzhuangu", "peigu"), strict=True)],
         *[value(c, False).alias(n) for c, n in zip("abcd", ("panqianliutong", "qianzongguben", "panhouliutong", "houzongguben"), strict=True)],
     )
-    events, issues = _checked(named, ["market", "symbol", "trade_date", "category"])
-    return events.withColumnRenamed("trade_date", "event_date"), issues
+    events, issues = checked(named, ["market", "symbol", "trade_date", "category"], "capital")
+    count = F.conv(F.hex(F.reverse(F.substring("content", 1, 4))), 16, 10).cast("long")
+    size = F.octet_length("content").cast("long")
+    there = F.floor((size - 4) / CAPITAL.itemsize)
+    file = rows.select("source_path", size.alias("size"), F.least(count, there).alias("records"), (count > there).alias("short"))
+    sized = file.filter("size >= 4").select("source_path", "records", "short", (F.col("size") - 4 - F.col("records") * CAPITAL.itemsize).alias("trailing_bytes"))
+    short = file.filter("size < 4").select("source_path", F.lit(0).cast("long").alias("row_offset"), F.lit("file_too_short").alias("issue_type"))
+    cut = sized.filter("short").select("source_path", F.col("records").alias("row_offset"), F.lit("incomplete_trailing_bytes").alias("issue_type"))
+    empty = file_issues(sized, events)
+    return events.withColumnRenamed("trade_date", "event_date"), issues.unionByName(short).unionByName(cut).unionByName(empty)
 
 
 def metric_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,7 +240,7 @@ def metric_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     raw = decoded(rows, decode, "metric_type long, date long, value1 double, value2 double")
     keyed = raw.withColumn("_key", market_and_symbol(F.col("source_path"))).select("source_path", "row_offset", "_key.*", "metric_type", date_of_number(F.col("date")).alias("trade_date"), "value1", "value2")
-    values, issues = _checked(keyed, ["market", "symbol", "metric_type", "trade_date"], compare=False)
+    values, issues = _whole_files(rows, METRIC, *checked(keyed, ["market", "symbol", "metric_type", "trade_date"], "metric"))
     return values.withColumnRenamed("trade_date", "event_date"), issues
 
 
@@ -214,22 +248,54 @@ def metric_values(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 REPORT_HEADER, REPORT_INDEX = 20, np.dtype([("code", "S6"), ("flag", "S1"), ("offset", "<u4")])
 
 
-def report_items(rows: DataFrame) -> DataFrame:
-    """Long rows (report_date, market, symbol, item_id from 1, value) of report files of offset-addressed vectors."""
+def report_values(rows: DataFrame, known_items: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(items, issues) of report files of offset-addressed vectors: long rows (source_path, report_date, market, symbol, item_id from 1, value).
+
+    A file without a whole header or index, without records or with vectors of no whole number of floats gives an issue of the file and no rows; a vector
+    outside the file, a symbol that is not six digits, a repeated symbol and, where item ids are given, an item that is not among them give one each.
+    A file without a valid date keeps its rows, with an issue. Items not known stay too.
+    """
 
     def decode(content: bytes) -> Decoded:
+        def only(issue: str, date: int = -1) -> Decoded:
+            return {"date": [date], "symbol": [""], "issue": [issue], "items": [[]]}
+
+        if len(content) < REPORT_HEADER:
+            return only("file_too_short")
         date, n, size = int.from_bytes(content[2:6], "little"), int.from_bytes(content[6:8], "little"), int.from_bytes(content[12:16], "little")
+        end = REPORT_HEADER + n * REPORT_INDEX.itemsize
+        wrong = "zero_valid_rows" if not n else "unsupported_record_size" if not size or size % 4 else "incomplete_trailing_bytes" if len(content) < end else ""
+        if wrong:
+            return only(wrong, date)
         index = np.frombuffer(content, REPORT_INDEX, n, REPORT_HEADER)
-        if any(o + size > len(content) for o in index["offset"].tolist()):
-            raise ValueError("a record lies beyond the end of the file")
-        vectors = [np.frombuffer(content, "<f4", size // 4, o).astype(float).tolist() for o in index["offset"].tolist()]
-        return {"date": np.full(n, date, np.int64), "symbol": [c.decode("ascii", "replace").strip("\0 ") for c in index["code"].tolist()], "items": vectors}
+        symbols = [c.decode("ascii", "replace").rstrip("\0 ") for c in index["code"].tolist()]
+        places = index["offset"].tolist()
+        issues = ["unsupported_symbol" if not SIX_DIGITS.fullmatch(s) else "incomplete_trailing_bytes" if o < end or o + size > len(content) else "" for s, o in zip(symbols, places, strict=True)]
+        vectors = [[] if i else np.frombuffer(content, "<f4", size // 4, o).astype(float).tolist() for i, o in zip(issues, places, strict=True)]
+        return {"date": np.full(n, date, np.int64), "symbol": symbols, "issue": issues, "items": vectors}
 
     from quotemill.functions.text import infer_market
 
-    raw = decoded(rows, decode, "date long, symbol string, items array<double>")
-    long = raw.select("source_path", "symbol", date_of_number(F.col("date")).alias("report_date"), F.posexplode("items").alias("_at", "value"))
-    return long.select("source_path", "report_date", infer_market(F.col("symbol")).alias("market"), "symbol", (F.col("_at") + 1).alias("item_id"), "value")
+    raw = decoded(rows, decode, "date long, symbol string, issue string, items array<double>").withColumn("report_date", date_of_number(F.col("date")))
+    wrong = raw.filter("issue <> ''").select("source_path", F.when(F.col("symbol") != "", F.col("row_offset")).alias("row_offset"), F.col("issue").alias("issue_type"))
+    sound = raw.filter("issue = ''").select("source_path", "row_offset", "symbol", "report_date", "items")
+    first, repeated = first_with_issues(sound, ["source_path", "symbol"], "row_offset", compare=False)
+    undated = raw.filter("date >= 0 and report_date is null").select("source_path", F.lit(None).cast("long").alias("row_offset"), F.lit("invalid_date").alias("issue_type")).distinct()
+    without = raw.groupBy("source_path").agg(F.max(F.size("items")).alias("most"), F.bool_or(F.col("issue") == "zero_valid_rows").alias("told"), F.bool_or(F.col("symbol") != "").alias("records"))
+    nothing = without.filter("most = 0 and not told and records").select("source_path", F.lit(None).cast("long").alias("row_offset"), F.lit("zero_valid_rows").alias("issue_type"))
+    issues = wrong.unionByName(repeated.select("source_path", "row_offset", "issue_type")).unionByName(undated).unionByName(nothing)
+    if known_items is not None:
+        ids = without.filter("most > 0").select("source_path", F.explode(F.sequence(F.lit(1), "most")).alias("item_id"))
+        unknown = ids.join(known_items.select(F.col("item_id").cast("int").alias("item_id")).distinct(), "item_id", "left_anti")
+        issues = issues.unionByName(unknown.select("source_path", F.col("item_id").cast("long").alias("row_offset"), F.lit("unknown_dictionary_id").alias("issue_type")))
+    long = first.select("source_path", "symbol", "report_date", F.posexplode("items").alias("_at", "value"))
+    items = long.select("source_path", "report_date", infer_market(F.col("symbol")).alias("market"), "symbol", (F.col("_at") + 1).alias("item_id"), "value")
+    return items, issues
+
+
+def report_items(rows: DataFrame) -> DataFrame:
+    """The items of report files alone."""
+    return report_values(rows)[0]
 
 
 #: A block file: header, number of blocks, then per block name, members, type and a fixed area of member codes.

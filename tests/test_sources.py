@@ -34,8 +34,10 @@ def test_day_files(spark, tmp_path):
     rows = bars.orderBy("trade_date").collect()
     assert [(r.market, r.symbol, r.trade_date, r.open, r.close, r.volume) for r in rows] == [("sh", "600000", D(2024, 1, 5), 1.0, 2.0, 7), ("sh", "600000", D(2024, 1, 8), 1.0, 2.1, 4_000_000_000)]
     assert sorted((r.row_offset, r.issue_type) for r in issues.collect()) == [(1, "duplicate_logical_key"), (2, "conflicting_logical_key"), (3, "invalid_date")]
-    with pytest.raises(Exception, match="whole records"):
-        records.day_bars(contents(spark, sz000001__day=b"123"))[0].collect()
+    bars, issues = records.day_bars(contents(spark, sz000001__day=b"123", sz000002__day=day_record(20240105, 200) + b"12", sz000003__day=struct.pack("<IIIIIfII", 20240105, 1, 1, 2, 1, 0, 0, 0)))
+    assert [(r.symbol, r.row_offset) for r in bars.collect()] == [("000002", 0)]
+    found = sorted((r.source_path[-10:-4], r.issue_type, r.row_offset) for r in issues.collect())
+    assert found == [("000001", "incomplete_trailing_bytes", 0), ("000001", "zero_valid_rows", None), ("000002", "incomplete_trailing_bytes", 1), ("000003", "high_less_than_low", 0), ("000003", "zero_valid_rows", None)]
 
 
 def test_minute_files(spark):
@@ -44,7 +46,7 @@ def test_minute_files(spark):
     ints = struct.pack("<HHIIIIfII", date, 900, 150, 200, 100, 125, 9.0, 3, 0) + struct.pack("<HHIIIIfII", date, 1500, 1, 1, 1, 1, 0, 0, 0)
     bars, issues = records.minute_bars(contents(spark, sz000001__lc1=floats, bj920001__5=ints))
     assert sorted((r.market, r.minute_of_day, r.open, r.close) for r in bars.collect()) == [("bj", 900, 1.5, 1.25), ("sz", 571, 1.5, 1.25)]
-    assert [r.issue_type for r in issues.collect()] == ["invalid_date"]
+    assert [r.issue_type for r in issues.collect()] == ["invalid_time"]
 
 
 def archive(**files):
