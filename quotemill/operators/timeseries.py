@@ -1,4 +1,4 @@
-"""Operators along time: previous valid values, strict as-of joins, adjustment factors, streaks."""
+"""Operators along time: strict as-of joins, adjustment factors, streaks."""
 
 from __future__ import annotations
 
@@ -8,11 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def previous_valid(value: Column, valid: Column, by: Sequence[str], order: str) -> Column:
-    """The last valid value strictly before the row."""
-    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.last(F.when(valid, value), ignorenulls=True).over(before)
+from quotemill.operators.segments import previous, running_sum
 
 
 def percent_change(now: Column, before: Column) -> Column:
@@ -24,13 +20,12 @@ def asof_before(left: DataFrame, right: DataFrame, by: Sequence[str], left_time:
     """left with the value of right's last row strictly before its time, null if there is none.
 
     One sort-merge over the union of both sides by (by, time): rows of right of the same time come after those of left, so
-    they do not count. No pair of rows is ever formed, so a key with many rows on both sides costs their sum.
+    they do not count. No pair of rows is ever formed, so a key with many rows on both sides costs their sum, and it is spread by years.
     """
     own = left.select(*by, F.col(left_time).alias("_time"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))
     other = right.select(*by, F.col(right_time).alias("_time"), F.lit(1).alias("_side"), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
-    window = Window.partitionBy(*by).orderBy("_time", "_side").rowsBetween(Window.unboundedPreceding, -1)
-    joined = own.unionByName(other).withColumn("_found", F.last("_value", ignorenulls=True).over(window)).filter("_side = 0")
-    return joined.select(*[F.col(f"_row.{c}").alias(c) for c in left.columns], F.col("_found").alias(name))
+    joined = previous(own.unionByName(other), F.col("_value"), F.col("_value").isNotNull(), by, ["_time", "_side"], F.year("_time"), "_found").filter("_side = 0")
+    return joined.select(*[F.col(c) if c in by else F.col(f"_row.{c}").alias(c) for c in left.columns], F.col("_found").alias(name))
 
 
 def theoretical_ratio(close: Column, cash: Column, price: Column, bonus: Column, allotment: Column) -> Column:
@@ -74,20 +69,21 @@ def adjustment_factors(bars: DataFrame, actions: DataFrame) -> DataFrame:
     """market, symbol, trade_date, qfq_factor, hfq_factor of every bar, both null for a symbol with a blocking issue.
 
     The forward factor is the product of the ratios of all later actions, the backward one of the reciprocals of those up to
-    the bar's day. Both are exponentials of running sums of logarithms in one window, so no bar meets an action in a join.
+    the bar's day. Both are exponentials of sums of logarithms: a symbol's total, a row for each symbol with actions, and a running sum by years, so
+    no bar meets an action in a join and no symbol is one task.
     """
     key = ["market", "symbol"]
     ratios, issue = action_ratios(bars, actions), F.col("issue")
     moved = F.sum(F.when(issue.isNull(), F.log("ratio"))).alias("move")
     moves = ratios.groupBy(*key, "event_date").agg(moved, F.max(F.coalesce(issue.isin(*BLOCKING), F.lit(False))).alias("blocks"))
-    days = bars.select(*key, "trade_date", F.lit(None).cast("double").alias("move"), F.lit(False).alias("blocks"), F.lit(True).alias("is_bar"))
-    events = moves.select(*key, F.col("event_date").alias("trade_date"), "move", "blocks", F.lit(False).alias("is_bar"))
-    upto = Window.partitionBy(*key).orderBy("trade_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(*key)
-    summed = days.unionByName(events).withColumn("_past", F.coalesce(F.sum("move").over(upto), F.lit(0.0)))
-    summed = summed.withColumn("_all", F.coalesce(F.sum("move").over(every), F.lit(0.0))).withColumn("_free", ~F.max("blocks").over(every))
-    factor = lambda exponent: F.when(F.col("_free"), F.exp(exponent))
-    return summed.filter("is_bar").select(*key, "trade_date", factor(F.col("_all") - F.col("_past")).alias("qfq_factor"), factor(-F.col("_past")).alias("hfq_factor"))
+    days = bars.select(*key, "trade_date", F.lit(None).cast("double").alias("move"), F.lit(True).alias("is_bar"))
+    events = moves.select(*key, F.col("event_date").alias("trade_date"), "move", F.lit(False).alias("is_bar"))
+    past = running_sum(days.unionByName(events), F.col("move"), key, ["trade_date"], F.year("trade_date"), "_past").filter("is_bar")
+    totals = moves.groupBy(*key).agg(F.sum("move").alias("_all"), F.max("blocks").alias("_blocks"))
+    summed = past.join(totals, key, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    factor = lambda exponent: F.when(~F.coalesce("_blocks", F.lit(False)), F.exp(exponent))
+    return summed.select(*key, "trade_date", factor(zero("_all") - zero("_past")).alias("qfq_factor"), factor(-zero("_past")).alias("hfq_factor"))
 
 
 def streaks(present: DataFrame, calendar: DataFrame, by: Sequence[str], date: str) -> DataFrame:
