@@ -40,7 +40,7 @@ def directory(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFra
                 try:
                     with store.opened(path) as file, zipfile.ZipFile(file) as archive:
                         found = [(path, size, k, i.filename, i.file_size, i.compress_size, None) for k, i in enumerate(archive.infolist()) if not i.is_dir()]
-                except zipfile.BadZipFile as error:
+                except (zipfile.BadZipFile, pa.ArrowInvalid) as error:  # the latter for a place before the file
                     found = [(path, size, -1, None, 0, 0, str(error))]
                 yield pd.DataFrame(found, columns=["source_path", "archive_bytes", "place", "entry", "size", "packed_size", "problem"])
 
