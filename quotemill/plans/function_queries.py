@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from quotemill.functions import dates, text
 from quotemill.operators import latest, ordering
 from quotemill.plans import adapters as views
-from quotemill.plans import imports, ops
+from quotemill.plans import guards, imports, ops
 from quotemill.plans.params import ProviderQuery
-from quotemill.plans.registry import query
+from quotemill.plans.registry import _COUNTS, query
 from quotemill.session import shared_path
 from quotemill.sources import packers, tables, wire
 
@@ -340,6 +340,95 @@ def import_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.watermarks(spark, opsdir).join(runs, "dataset").select("dataset", "min_time", "max_time", "row_count", "status", "issue_count")
 
 
+def repeated_points(minutes: DataFrame) -> DataFrame:
+    """Minutes as points, of which some come again: equal, of another price, or with a negative volume."""
+    rest = F.col("minute_of_day") % 10
+    copies = minutes.withColumn("copy", F.explode(F.when(rest < 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    again = F.col("copy") == 1
+    return copies.select(
+        *KEY, "trade_date", F.format_string("%02d:%02d", F.floor(F.col("minute_of_day") / 60), F.col("minute_of_day") % 60).alias("point_time"), F.col("minute_of_day").alias("point_index"),
+        F.when(again & (rest == 1), F.col("close") + 1).otherwise(F.col("close")).alias("price"), F.when(again & (rest == 2), F.lit(-1)).otherwise(F.col("volume")).alias("point_volume"),
+        F.concat(*KEY).alias("source_path"), (F.col("minute_of_day") * 2 + F.col("copy")).cast("long").alias("row_offset"),
+    )
+
+
+_TRADED = "(select m.k as market, b.* exclude (market) from bars_1d b, (values ('sh'), ('sz'), ('bj')) m(k) where day(trade_date) not in (2, 3, 4) and (day(trade_date) <> 5 or trade_date not in (select trade_date from bars_1d group by trade_date having count(*) > 1)) qualify day(trade_date) <> 6 or row_number() over (partition by trade_date, m.k order by b.market, b.symbol) > 1)"
+_BAD_DAYS = "(select count(*) from (select trade_date, count(*) as n from bars_1d group by trade_date) where day(trade_date) in (2, 3, 4) or (day(trade_date) = 5 and n > 1))"
+
+
+@query(f"""
+select 'day_packages' as dataset, min(make_date(2000 + year(trade_date) % 100, month(trade_date), day(trade_date))) as min_time, max(make_date(2000 + year(trade_date) % 100, month(trade_date), day(trade_date))) as max_time, count(*) as rows_written, {_BAD_DAYS} as issue_count, {_BAD_DAYS} as rows_skipped from {_TRADED}
+union all select 'reports', min(trade_date), max(trade_date), 4 * count(*), (select count(distinct trade_date) from ebars_1d), 0 from ebars_1d
+union all select 'metrics', min(trade_date), max(trade_date), count(*), count(*) filter (day(trade_date) = 5), count(*) filter (day(trade_date) = 5) from ebars_1d
+union all select 'capital_changes', min(event_date), max(event_date), count(*), 0, 0 from xdxr_events
+union all select 'ex_day', min(trade_date), max(trade_date), count(*), 0, 0 from ebars_1d
+union all select 'minutes', min(trade_date), max(trade_date), count(*), 0, 0 from ebars_1m
+union all select 'points', min(trade_date), max(trade_date), count(*), count(*) filter (minute_of_day % 10 in (1, 2)), count(*) filter (minute_of_day % 10 in (1, 2)) from ebars_1m""")
+def import_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other import commands, each through its reader and the life cycle: day packages, report files with an item their dictionary lacks, metrics, capital
+    changes, extension days, minute files, intraday points."""
+    from quotemill.plans import source_queries as packed
+    from quotemill.sources import archives, records
+
+    opsdir, started = shared_path(spark, "ops"), dt.datetime(2024, 1, 1)
+
+    def run(name: str, rows: DataFrame, issues: DataFrame, key: tuple[str, ...], date: str, **how: object) -> None:
+        data = _dataset(spark, name, key, date, name in ("minutes", "points"))
+        imports.run_import(rows.drop("source_path", "row_offset"), issues.select("source_path", "row_offset", "issue_type"), data, opsdir, name, 1, started, **how)
+
+    days = ("market", "symbol", "trade_date")
+    bars, checks, _ = archives.packages(archives.directory(spark, packed._packages(spark, sf_dir)))
+    refused = checks.filter("problem is not null").select("source_path", F.lit(0).alias("row_offset"), F.col("problem").alias("issue_type"))
+    run("day_packages", bars, refused, days, "trade_date")
+    items = spark.range(1, 4).select(F.col("id").cast("int").alias("item_id"))
+    run("reports", *records.report_values(packed._report_files(spark, sf_dir), items), ("market", "symbol", "report_date", "item_id"), "report_date", skipping=("duplicate_logical_key",))
+    run("metrics", *records.metric_values(packed._metric_files(spark, sf_dir)), ("market", "symbol", "metric_type", "event_date"), "event_date", skipping=guards.SKIPPING)
+    run("capital_changes", *records.capital_changes(packed.capital_files(spark, sf_dir)), ("market", "symbol", "event_date", "category"), "event_date")
+    run("ex_day", *records.ex_day_bars(packed.ex_day_files(spark, sf_dir)), ("ex_market", "code", "trade_date"), "trade_date")
+    minutes = views.ebars_1m(spark, sf_dir)
+    run("minutes", *records.minute_bars(packed._minute_files(minutes, F.lit(".lc1"), False)), (*days, "minute_of_day"), "trade_date")
+    run("points", *imports.checked_points(repeated_points(minutes)), (*days, "point_time"), "trade_date")
+    marks = imports.watermarks(spark, opsdir).select("dataset", "min_time", "max_time")
+    return marks.join(spark.read.parquet(f"{opsdir}/runs").select("dataset", "rows_written", "issue_count", "rows_skipped"), "dataset")
+
+
+# ---- refreshes
+
+
+_AMENDED = "case when year(trade_date) = 1996 and month(trade_date) = 3 and cast(symbol as int) % 2 = 0 then case when day(trade_date) % 2 = 0 then 0 else close + 1 end else close end"
+
+
+@query(f"select market, symbol, trade_date, p as prev_close, case when p > 0 then (close - p) / p * 100 end as pct_chg from (select *, last_value(case when close > 0 then close end ignore nulls) over (partition by market, symbol order by trade_date rows between unbounded preceding and 1 preceding) as p from (select market, symbol, trade_date, {_AMENDED} as close from bars_1d))")
+def refresh_daily_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily returns refreshed after all bars, then after a second commit that amends a month of some instruments: only what that reaches is computed and written."""
+    from quotemill.plans import refresh
+
+    day = ("market", "symbol", "trade_date")
+    facts, target, state = _dataset(spark, "bars_1d", day, "trade_date", False), _dataset(spark, "daily_derived", day, "trade_date", False), shared_path(spark, "refreshes")
+    rows = views.bars_1d(spark, sf_dir).select(*day, F.col("close").cast("double").alias("close"))
+    imports.write_facts(rows, facts, 1)
+    refresh.refresh_daily(spark, facts, target, state)
+    when = (F.date_format("trade_date", "yyyyMM") == "199603") & (F.col("symbol").cast("int") % 2 == 0)
+    imports.write_facts(rows.filter(when).withColumn("close", F.when(F.dayofmonth("trade_date") % 2 == 0, 0.0).otherwise(F.col("close") + 1)), facts, 2)
+    refresh.refresh_daily(spark, facts, target, state)
+    return spark.read.parquet(target.path).select(*day, "prev_close", "pct_chg")
+
+
+@query(f"select * from (with changed as (select * exclude (board_count), board_count + case when day(trade_date) <= 3 then 1 else 0 end as board_count from limit_events) select trade_date, {_COUNTS} from changed group by trade_date)")
+def refresh_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily summaries refreshed after all events, then after a second commit of some days."""
+    from quotemill.plans import refresh, review
+
+    facts = _dataset(spark, "limit_events", tuple(views.EVENT_KEY), "trade_date", True)
+    target, state = _dataset(spark, "limit_summary", ("trade_date",), "trade_date", True), shared_path(spark, "refreshes")
+    rows = views.limit_events(spark, sf_dir)
+    imports.write_facts(rows, facts, 1)
+    refresh.refresh_days(spark, facts, target, state, review.summary_counts)
+    imports.write_facts(rows.filter(F.dayofmonth("trade_date") <= 3).withColumn("board_count", F.col("board_count") + 1), facts, 2)
+    refresh.refresh_days(spark, facts, target, state, review.summary_counts)
+    return spark.read.parquet(target.path).drop("_part")
+
+
 
 @query("select market, symbol, current_name, lower(replace(current_name, ' ', '')) as current_name_norm, case cast(symbol as int) % 3 when 0 then 'active' when 1 then 'suspended' else 'delisted' end as status, 100 as lot_size, 2 as price_precision, date '2001-02-03' as listing_date from securities where cast(symbol as int) % 10 <> 0")
 def src_security_master(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,13 +474,14 @@ def src_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select symbol, event_date, cast(cast(open as float) as double) as value1 from (select symbol, trade_date as event_date, open from ebars_1d) where cast(symbol as int) % 5 <> 0")
 def src_metric_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric files out of an archive, of which those go that a manifest does not vouch for."""
-    from quotemill.plans.source_queries import _metric_files
-    from quotemill.sources import records
+    """Metric files out of archives by the symbol's last digit, on disk, of which those go that a manifest does not vouch for."""
+    from quotemill.plans.source_queries import _metric_files, landed
+    from quotemill.sources import archives, records
 
     files = _metric_files(spark, sf_dir)
-    archive = packers.zipped(files.select(F.lit("gp.zip").alias("source_path"), F.col("source_path").alias("entry"), "content"))
-    entries = records.entries(archive, (".dat",))
+    digit = F.concat(F.regexp_extract("source_path", r"([0-9])\.dat$", 1), F.lit("/gp.zip")).alias("source_path")
+    root = landed(packers.zipped(files.select(digit, F.col("source_path").alias("entry"), "content")), "metric-archives")
+    entries = archives.contents(archives.directory(spark, root), (".dat",))
     symbol = F.regexp_extract("entry", "([0-9]{6})", 1).cast("int")
     listed = entries.select(F.col("entry").alias("filename"), F.when(symbol % 5 == 0, F.md5(F.lit("x").cast("binary"))).otherwise(F.md5("content")).alias("md5"), F.octet_length("content").cast("long").alias("size"))
     bad = tables.manifest_mismatches(entries.select(F.col("entry").alias("filename"), "content"), listed)

@@ -110,19 +110,23 @@ _SHARES = ("panqianliutong", "qianzongguben", "panhouliutong", "houzongguben")
 _ROUTED = ", ".join([*(f"case when day(event_date) % 2 = 0 then cast(cast({c} as float) as double) end as {c}" for c in _RIGHTS), *(f"case when day(event_date) % 2 = 1 then cast(cast({c} as float) as double) end as {n}" for c, n in zip(_RIGHTS, _SHARES, strict=True))])
 
 
-@query(f"select market, symbol, event_date, case when day(event_date) % 2 = 0 then 1 else 5 end as category, {_ROUTED} from xdxr_events")
-def src_capital_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file of ex-rights and of share changes for each market."""
+def capital_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of ex-rights and of share changes for each market and year."""
     market = F.col("market")
     placed = views.xdxr_events(spark, sf_dir).select(
-        F.concat(F.lit("/gbbq/"), market).alias("source_path"),
+        F.concat(F.lit("/gbbq/"), market, F.year("event_date").cast("string")).alias("source_path"),
         F.when(market == "sz", 0).when(market == "sh", 1).otherwise(2).alias("market"),
         F.col("symbol").alias("code"),
         packers.date_number(F.col("event_date")).alias("date"),
         F.when(F.dayofmonth("event_date") % 2 == 0, 1).otherwise(5).alias("category"),
         *[F.col(c).alias(n) for c, n in zip(_RIGHTS, "abcd", strict=True)],
     )
-    events = records.capital_changes(packers.packed(placed, records.CAPITAL, ["code", "date"], lambda n: struct.pack("<I", n)))[0]
+    return packers.packed(placed, records.CAPITAL, ["code", "date"], lambda n: struct.pack("<I", n))
+
+
+@query(f"select market, symbol, event_date, case when day(event_date) % 2 = 0 then 1 else 5 end as category, {_ROUTED} from xdxr_events")
+def src_capital_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = records.capital_changes(capital_files(spark, sf_dir))[0]
     return events.select("market", "symbol", "event_date", F.col("category").cast("int").alias("category"), *_RIGHTS, *_SHARES)
 
 
@@ -135,9 +139,11 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select cast(symbol as bigint) // 200 as block_no, 'b-' || (cast(symbol as bigint) // 200) as block_id, 'B ' || (cast(symbol as bigint) // 200) as block_name, 2 as block_type, cast(symbol as bigint) % 200 as member_order, symbol from securities")
 def src_block_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _blocks(spark, sf_dir).select(F.lit("/T0002/hq_cache/block.dat").alias("source_path"), F.col("block").alias("block_no"), "block_name", F.lit(2).alias("block_type"), "member_order", "symbol")
+    """Block files of twenty blocks each, whose numbers go on from file to file."""
+    file = F.floor(F.col("block") / 20)
+    rows = _blocks(spark, sf_dir).select(F.concat(F.lit("/T0002/hq_cache/block_"), file.cast("string"), F.lit(".dat")).alias("source_path"), F.col("block").alias("block_no"), "block_name", F.lit(2).alias("block_type"), "member_order", "symbol")
     found = records.block_members(packers.block_file(rows, records.BLOCK_HEADER, records.BLOCK_NAME, records.BLOCK_AREA, records.BLOCK_CODE))
-    return found.select("block_no", "block_id", "block_name", F.col("block_type").cast("int").alias("block_type"), "member_order", "symbol")
+    return found.select((F.col("block_no") + 20 * F.regexp_extract("source_path", "block_([0-9]+)", 1).cast("long")).alias("block_no"), "block_id", "block_name", F.col("block_type").cast("int").alias("block_type"), "member_order", "symbol")
 
 
 @query("select 'b-' || (cast(symbol as bigint) // 200) as block_id, 'B ' || (cast(symbol as bigint) // 200) as block_name, market, symbol, cast(symbol as bigint) % 200 as member_order from securities")
@@ -148,12 +154,16 @@ def snk_custom_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("block_id", "block_name", "market", "symbol", F.col("member_order").cast("long").alias("member_order"))
 
 
-@query(f"select 29 as ex_market, 'C' || symbol as code, trade_date, {_FLOATS}, 1065353216::bigint as amount, 1.0::double as price, volume as position, volume as trade, cast(cast(close as float) as double) as settlement from ebars_1d")
-def src_ex_day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ex_day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extension-market files, whose amount is the number that reads 1.0 as a float."""
     rows = views.ebars_1d(spark, sf_dir).withColumn("market_code", F.lit("29#C"))
     placed = rows.select(F.concat(F.lit("/ds/"), "market_code", "symbol", F.lit(".day")).alias("source_path"), packers.date_number(F.col("trade_date")).alias("date"), *PRICES, F.lit(0x3F800000).alias("amount"), "volume", F.col("close").alias("settlement"))
-    return records.ex_day_bars(packers.packed(placed, records.EX_DAY, ["date"]))[0].select("ex_market", "code", "trade_date", *PRICES, "amount", "price", "position", "trade", "settlement")
+    return packers.packed(placed, records.EX_DAY, ["date"])
+
+
+@query(f"select 29 as ex_market, 'C' || symbol as code, trade_date, {_FLOATS}, 1065353216::bigint as amount, 1.0::double as price, volume as position, volume as trade, cast(cast(close as float) as double) as settlement from ebars_1d")
+def src_ex_day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.ex_day_bars(ex_day_files(spark, sf_dir))[0].select("ex_market", "code", "trade_date", *PRICES, "amount", "price", "position", "trade", "settlement")
 
 
 def _report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +182,14 @@ def src_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ITEMS + " where day(trade_date) % 2 = 0 or day(trade_date) % 3 = 0")
 def src_report_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive with plain report files of even days and inner archives of every third, which plain files of their name hide."""
+    """Archives by month with plain report files of even days and inner archives of every third, which plain files of their name hide; on disk, read by members."""
     files = _report_files(spark, sf_dir)
     day = F.regexp_extract("source_path", r"([0-9]{2})\.dat$", 1).cast("int")
-    plain = files.filter(day % 2 == 0).select(F.lit("all.zip").alias("source_path"), F.col("source_path").alias("entry"), "content")
+    month = F.concat(F.regexp_extract("source_path", r"([0-9]{6})[0-9]{2}\.[a-z]+$", 1), F.lit("/reports.zip")).alias("source_path")
+    plain = files.filter(day % 2 == 0).select(month, F.col("source_path").alias("entry"), "content")
     inner = packers.zipped(files.filter(day % 3 == 0).select(F.replace(F.col("source_path"), F.lit(".dat"), F.lit(".zip")).alias("source_path"), F.col("source_path").alias("entry"), "content"))
-    archive = packers.zipped(plain.unionByName(inner.select(F.lit("all.zip").alias("source_path"), F.col("source_path").alias("entry"), "content")))
-    found = tables.unshadowed(records.entries(archive, (".dat",)))
+    root = landed(packers.zipped(plain.unionByName(inner.select(month, F.col("source_path").alias("entry"), "content"))), "report-archives")
+    found = tables.unshadowed(archives.contents(archives.directory(spark, root), (".dat",)))
     return records.report_items(records.as_files(found)).drop("source_path")
 
 
