@@ -3,7 +3,8 @@
 An Aho-Corasick automaton of the vocabulary gives all pieces that end at each place of a word; dynamic programming keeps for
 each place the best score and the number of pieces of that best segmentation. Ties go as in the tokenizer: paths are extended
 from left to right, and a later start replaces an earlier one only if it scores strictly more. A character that no piece
-covers alone is an unknown of the least score minus 10, and neighbouring unknowns count as one token.
+covers alone is an unknown of the least score minus 10. Where the vocabulary has a piece for every byte, an unknown counts as the bytes of its UTF-8 form;
+else neighbouring unknowns count as one token.
 
 As in the usual set-up of such vocabularies, a space becomes the mark U+2581, one is put before the text, and words are cut
 before each mark; pieces never cross a cut, so words are counted once and kept in a bounded cache.
@@ -27,21 +28,23 @@ CACHED_WORDS = 500_000
 LONG_WORD = 64
 
 
-def vocabulary(path: str) -> list[tuple[str, float]]:
-    """Pieces and scores of a sentencepiece file, without control and byte pieces; the first entry is the unknown."""
+def vocabulary(path: str) -> tuple[list[tuple[str, float]], bool]:
+    """Pieces and scores of a sentencepiece file, without control and byte pieces, the first entry being the unknown; and whether it has a piece for every byte."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
+    falls_back = sum(map(model.is_byte, range(model.get_piece_size()))) == 256
     normal = [i for i in range(model.get_piece_size()) if not (model.is_unknown(i) or model.is_control(i) or model.is_byte(i) or model.is_unused(i))]
-    return [("<unk>", 0.0), *((model.id_to_piece(i), model.get_score(i)) for i in normal)]
+    return [("<unk>", 0.0), *((model.id_to_piece(i), model.get_score(i)) for i in normal)], falls_back
 
 
 class Counter:
-    """Counts tokens of texts for a list of (piece, score) whose first entry is the unknown."""
+    """Counts tokens of texts for a list of (piece, score) whose first entry is the unknown; unknowns count as their bytes if they fall back to them."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], falls_back: bool = False):
         import ahocorasick
 
+        self.falls_back = falls_back
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces[1:]:
             if piece:
@@ -80,7 +83,8 @@ class Counter:
             if not alone:
                 total = best[end - 1] + self.unknown
                 if top is None or total > top:
-                    top, number, unknown = total, count[end - 1] + (not ends_unknown[end - 1]), True
+                    more = len(word[end - 1].encode()) if self.falls_back else not ends_unknown[end - 1]
+                    top, number, unknown = total, count[end - 1] + more, True
             best[end], count[end], ends_unknown[end] = top, number, unknown
         return count[n]
 
@@ -113,7 +117,7 @@ def pieces_at_marks(word: str) -> list[str]:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
-    return Counter(vocabulary(path))
+    return Counter(*vocabulary(path))
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
