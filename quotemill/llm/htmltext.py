@@ -27,8 +27,11 @@ NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 QUOTE_OR_END = re.compile(r"""=\s*["']|>""")
 NAMED = re.compile(r"""\b(class|id|role|style|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
-#: Fixed sets of element names: content is not text; blocks; elements without content; elements that end open ones of a kind.
-RAW = frozenset("script style noscript template textarea title iframe svg object select datalist canvas audio video annotation annotation-xml".split())
+#: Fixed sets of element names: read to their end tag or the page's end; content is not shown, if they are closed; of these, blocks inside end them; blocks;
+#: elements without content; elements that end open ones of a kind.
+RAW = frozenset("script style noscript textarea title iframe".split())
+UNSHOWN = frozenset("template svg object select datalist canvas audio video annotation annotation-xml".split())
+NARROW = frozenset("svg select datalist annotation".split())
 RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 INLINE |= frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd".split())
@@ -140,6 +143,32 @@ def tokens(html: str) -> Iterator[tuple[bool, str, str, str]]:
             yield closing, tag, attributes, ""
 
 
+def shown(found: list[tuple[bool, str, str, str]]) -> Iterator[tuple[bool, str, str, str]]:
+    """The tokens without those of elements that are not shown, nested ones included. One that is never closed hides nothing: only its tag goes.
+
+    A drawing or a list of choices cannot hold blocks, so one that is open before a block is never closed.
+    """
+    opened: dict[str, list[int]] = {tag: [] for tag in UNSHOWN}
+    foreign, hidden = 0, [0] * (len(found) + 1)  # where hidden ranges begin and end
+    for k, (closing, tag, attributes, _) in enumerate(found):
+        if tag in UNSHOWN:
+            if closing and opened[tag]:
+                hidden[opened[tag].pop()] += 1
+                hidden[k + 1] -= 1
+            elif not closing and not attributes.endswith("/"):
+                opened[tag].append(k)
+        elif tag == "foreignobject":
+            foreign += -1 if closing else 1
+        elif not closing and foreign <= 0 and "p" in ENDS.get(tag, ()):
+            for t in NARROW:
+                opened[t].clear()
+    depth = 0
+    for token, change in zip(found, hidden, strict=False):
+        depth += change
+        if not depth and token[1] not in UNSHOWN:
+            yield token
+
+
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks with text, in order."""
     root = Element("", 0, None, 0, 0.0, False, ())
@@ -151,7 +180,7 @@ def blocks_of(html: str) -> list[Block]:
         opened.subtract(e.tag for e in stack[k:])
         del stack[k:]
 
-    for closing, tag, attributes, text in tokens(html):
+    for closing, tag, attributes, text in shown(list(tokens(html))):
         if not tag:
             if text.isspace() and current is None:
                 continue

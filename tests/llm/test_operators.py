@@ -123,6 +123,22 @@ def test_html_page():
 BODY = "".join(f"<p>{prose(20, 930 + k).capitalize()}. And more of it.</p>" for k in range(4))
 TEXT = " ".join(f"{prose(20, 930 + k).capitalize()}. And more of it." for k in range(4))
 REST = """<header><a href="/">Home of it all. Go there.</a></header><nav><a href="/a">a b</a></nav>"""
+UNSHOWN = "svg select object video audio canvas datalist template".split()
+
+
+@pytest.mark.parametrize("tag", UNSHOWN)
+def test_unclosed_elements_keep_the_rest(tag):
+    html = f"<main><article><p>First of all. This is it.</p><{tag} id=x>{BODY}</article></main><{tag}><b>Gone. Not here. Never.</b></{tag}>"
+    assert htmltext.main_text(html) == f"First of all. This is it. {TEXT}"
+
+
+@pytest.mark.parametrize("tag", UNSHOWN)
+def test_nested_unshown_elements_hide_all(tag):
+    html = f"<main><article>{BODY}<{tag}><{tag}></{tag}><text>LEAK label</text></{tag}></article></main>"
+    assert htmltext.main_text(html) == TEXT
+    assert htmltext.main_text(f"<main><article><p>One of <{tag}><i>no</i></{tag}> all. And two.</p></article></main>") == "One of all. And two."
+
+
 TALK = '<section id="comments">' + "<article><p>I like it. Really good. Thanks a lot.</p></article>" * 5 + "</section>"
 FOOT = "<footer>All rights are ours. Do not copy. Ever.</footer>"
 
@@ -202,9 +218,11 @@ def test_html_odd_pages(spark):
 def test_token_counts_match_the_library(spark, odd):
     from tokenizers import Tokenizer, models, pre_tokenizers
 
-    library = Tokenizer(models.Unigram(tokencount.vocabulary(PIECES), unk_id=0, byte_fallback=False))
+    pieces, falls_back = tokencount.vocabulary(PIECES)
+    assert falls_back
+    library = Tokenizer(models.Unigram(pieces + [(f"<0x{b:02X}>", 0.0) for b in range(256)], unk_id=0, byte_fallback=True))
     library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    texts = ["", " ", " a", "a ", "▁▁a▁", "日本語zz🙂", "\n\n", "a\tb", " xy", "⁂⁂⁂", prose(300, 2), "The quick, brown fox... jumped!" * 3]
+    texts = ["", " ", " a", "a ", "▁▁a▁", "日本語zz🙂", "\n\n", "a\tb", " xy", "⁂⁂⁂", "naïve 龘龘龘龘", "𠮷野家 x𠮷", prose(300, 2), "The quick, brown fox... jumped!" * 3]
     count = tokencount.counter(PIECES).of_text
     assert [count(t) for t in texts] == [len(library.encode(t).ids) for t in texts]
     got = [(r.doc_id, r.n_tokens) for r in tokencount.token_counts(odd, PIECES).collect()]
@@ -212,6 +230,11 @@ def test_token_counts_match_the_library(spark, odd):
     assert tokencount.token_counts(none_of(odd), PIECES).count() == 0
 
 
+def test_unknowns_without_bytes_are_one_token():
+    assert tokencount.Counter([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0)]).of_text("a龘龘a") == 4
+    assert tokencount.Counter([("<unk>", 0.0), ("▁", -1.0), ("a", -1.0)], True).of_text("a龘龘a") == 9
+
+
 def test_viterbi_against_all_segmentations():
     pieces = [("<unk>", 0.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("ba", -3.0), ("aba", -5.0)]
     counter = tokencount.Counter(pieces)
