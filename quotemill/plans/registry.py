@@ -29,6 +29,16 @@ def query(sql: str) -> Callable[[Query], Query]:
     return register
 
 
+def same_as(name: str) -> Callable[[Query], Query]:
+    """Registers a query that must give what another gives, under its twin."""
+
+    def register(function: Query) -> Query:
+        QUERIES[function.__name__], ORACLE_SQL[function.__name__] = function, ORACLE_SQL[name]
+        return function
+
+    return register
+
+
 JANUARY = LimitQuery(since="2024-01-01", until="2024-01-31")
 ONE = {"market": "sz", "symbol": "000001"}
 _RETURNS = """derived as (select market, symbol, trade_date, close, last_value(case when close > 0 then close end ignore nulls) over (partition by market, symbol order by trade_date rows between unbounded preceding and 1 preceding) as prev_close from {bars})"""

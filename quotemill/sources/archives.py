@@ -22,6 +22,8 @@ from quotemill.sources import ranges, records, store
 #: Bytes of members, when inflated, that a task is to read.
 BYTES_PER_TASK = 64 << 20
 MOST_BYTES = 64 << 20
+#: Rows that a task gathers before it hands them on.
+ROWS_HELD = 100_000
 DIRECTORY = "source_path string, archive_bytes long, place int, entry string, size long, packed_size long, problem string"
 #: Fixed limits of a day package: bytes of the archive, of an entry and of all entries, and records of a market.
 PACKAGE_BYTES, ENTRY_BYTES, EXPANDED_BYTES, MARKET_RECORDS = 16 << 20, 64 << 20, 128 << 20, 100_000
@@ -35,14 +37,19 @@ def directory(spark: SparkSession, path: str, pattern: str = "*.zip") -> DataFra
     rows = spark.createDataFrame(names, "source_path string, archive_bytes long").repartition(tasks, "source_path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["source_path", "archive_bytes", "place", "entry", "size", "packed_size", "problem"]
         for batch in batches:
+            found = []
             for path, size in batch.itertuples(index=False):
                 try:
                     with store.opened(path) as file, zipfile.ZipFile(file) as archive:
-                        found = [(path, size, k, i.filename, i.file_size, i.compress_size, None) for k, i in enumerate(archive.infolist()) if not i.is_dir()]
+                        found += [(path, size, k, i.filename, i.file_size, i.compress_size, None) for k, i in enumerate(archive.infolist()) if not i.is_dir()]
                 except (zipfile.BadZipFile, pa.ArrowInvalid) as error:  # the latter for a place before the file
-                    found = [(path, size, -1, None, 0, 0, str(error))]
-                yield pd.DataFrame(found, columns=["source_path", "archive_bytes", "place", "entry", "size", "packed_size", "problem"])
+                    found.append((path, size, -1, None, 0, 0, str(error)))
+                if len(found) >= ROWS_HELD:
+                    yield pd.DataFrame(found, columns=columns)
+                    found = []
+            yield pd.DataFrame(found, columns=columns)
 
     return rows.mapInPandas(run, DIRECTORY)
 
@@ -200,13 +207,20 @@ def package_records(members: DataFrame, checks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found, held = [], 0
             for own, archive in _opened(batch):
                 infos = archive.infolist()
                 for row in own.itertuples():
                     codes, bars = archive.read(infos[row.cod]), np.frombuffer(archive.read(infos[row.md1]), records.PACK_BAR)
                     symbols = [codes[k : k + 6].decode("ascii", "replace") for k in range(0, len(codes), records.PACK_CODE)]
                     volume = pd.array([v if v < 1 << 63 else None for v in bars["volume"].tolist()], "Int64")
-                    yield pd.DataFrame({"source_path": row.source_path, "market": row.market, "day": row.day, "record": range(len(symbols)), "symbol": symbols} | {p: bars[p] for p in records.PRICES} | {"volume": volume, "amount": bars["amount"]})
+                    found.append(pd.DataFrame({"source_path": row.source_path, "market": row.market, "day": row.day, "record": range(len(symbols)), "symbol": symbols} | {p: bars[p] for p in records.PRICES} | {"volume": volume, "amount": bars["amount"]}))
+                    held += len(symbols)
+                if held >= ROWS_HELD:
+                    yield pd.concat(found, ignore_index=True)
+                    found, held = [], 0
+            if found:
+                yield pd.concat(found, ignore_index=True)
 
     return _dealt(pairs, F.col("size"), "source_path", "market").mapInPandas(run, PACKAGE_BARS)
 
