@@ -225,7 +225,7 @@ def check_whitening(got, ids, vectors, most, tolerance=1e-9):
         column = centred @ axes[:, c] / math.sqrt(values[c])
         mine = np.array([by[i, c + 1].whitened for i in ids])
         assert mine == pytest.approx(column, abs=tolerance) or mine == pytest.approx(-column, abs=tolerance)
-        assert {by[i, c + 1].explained for i in ids} == {pytest.approx(values[c] / np.trace(cov), rel=1e-9)}
+        assert [by[i, c + 1].explained for i in ids] == pytest.approx([values[c] / np.trace(cov)] * len(ids), rel=1e-9)
     assert [by[i, 1].deviation for i in ids] == [v if v < 1 << 63 else None for v in deviations]
     assert {r.n for r in got} == {n} and {r.identity_error < 1e-6 for r in got} == {True}
 
