@@ -68,16 +68,14 @@ def formatted(events: DataFrame, learned: str = "assistant") -> DataFrame:
     turns = messages(events)
     head = F.concat(F.lit(HEAD), escaped(F.col("role"), ROLE_ESCAPES), F.lit(MIDDLE))
     body = escaped(F.col("text"))
-    turn = F.struct("position", head.alias("head"), body.alias("body"), (F.col("role") == learned).alias("learned"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = turns.select("conv_id", "position", head.alias("head"), body.alias("body"), (F.col("role") == learned).alias("learned"))
+    size = (F.length("head") + F.length("body") + len(TAIL)).cast("long")
+    before = Window.partitionBy("conv_id").orderBy("position", "head", "body", "learned").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+    grouped = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("position", "head", "body", "learned", "start"))).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(TAIL))), "")
-    none = F.array().cast("array<struct<start:long,length:long>>")
-    state = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    step = lambda s, t: F.struct(
-        (s["at"] + F.length(t["head"]) + F.length(t["body"]) + len(TAIL)).cast("long").alias("at"),
-        F.when(t["learned"], F.array_append(s["spans"], F.struct((s["at"] + F.length(t["head"])).cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length")))).otherwise(s["spans"]).alias("spans"),
-    )
-    return grouped.select("conv_id", text.alias("formatted"), F.aggregate("turns", state, step)["spans"].alias("loss"))
+    span = lambda t: F.struct((t["start"] + F.length(t["head"])).cast("long").alias("start"), F.length(t["body"]).cast("long").alias("length"))
+    return grouped.select("conv_id", text.alias("formatted"), F.transform(F.filter("turns", lambda t: t["learned"]), span).alias("loss"))
 
 
 def read_back(column: Column) -> Column:
@@ -93,5 +91,22 @@ def read_back(column: Column) -> Column:
 
 
 def loss_text(text: Column, loss: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
+    """All text under the loss mask, unescaped, in order. It looks each span up from the text's beginning; for very long conversations see read_rows."""
     return F.array_join(F.transform(loss, lambda s: unescaped(F.substr(text, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+
+
+def read_rows(done: DataFrame) -> DataFrame:
+    """What formatted conversations (conv_id, formatted, loss) hold, in rows: for each turn its place in the text `at`, n_chars, role and text; for each span of the
+    loss mask `at` and learned, the unescaped text under it. The work is linear in a conversation, which is cut into turns once; a span lies within one turn.
+    """
+    place = Window.partitionBy("conv_id").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    cut = done.select("conv_id", F.posexplode(F.split("formatted", f"(?<={TAIL})")).alias("_n", "_turn")).filter("_turn <> ''").withColumn("n_chars", F.length("_turn").cast("long"))
+    turns = cut.select("conv_id", F.coalesce(F.sum("n_chars").over(place), F.lit(0).cast("long")).alias("at"), "n_chars", "_turn", F.lit(None).cast("long").alias("_length"))
+    spans = done.select("conv_id", F.explode("loss").alias("_s")).select("conv_id", F.col("_s.start").alias("at"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("string").alias("_turn"), F.col("_s.length").alias("_length"))
+    upto = Window.partitionBy("conv_id").orderBy("at", F.col("_length").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = F.last(F.when(F.col("_turn").isNotNull(), F.struct("at", F.col("_turn").alias("turn"))), ignorenulls=True).over(upto)
+    rows = turns.unionByName(spans).withColumn("_in", held)
+    learned = F.when(F.col("_length").isNotNull(), unescaped(F.substr("_in.turn", (F.col("at") - F.col("_in.at") + 1).cast("int"), F.col("_length").cast("int"))))
+    role = F.substring_index(F.substr("_turn", F.lit(len(HEAD) + 1)), MIDDLE, 1)
+    body = F.substr("_turn", F.lit(len(HEAD) + len(MIDDLE) + 1) + F.length(role), F.length("_turn") - len(HEAD) - len(MIDDLE) - len(TAIL) - F.length(role))
+    return rows.select("conv_id", "at", "n_chars", unescaped(role, ROLE_ESCAPES).alias("role"), unescaped(body).alias("text"), learned.alias("learned"))

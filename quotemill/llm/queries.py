@@ -78,18 +78,18 @@ def chat_event_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every formatted conversation, read back from the formatted text."""
-    done = chat.formatted(_chat_events(table(spark, sf_dir, "conversations")))
-    turns = chat.read_back(F.col("formatted"))
-    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    read = done.select("conv_id", "formatted", turns.alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
-    return read.select(
-        "conv_id",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
-        F.length("learned").cast("long").alias("loss_chars"),
-        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+    rows = chat.read_rows(chat.formatted(_chat_events(table(spark, sf_dir, "conversations"))))
+    said = F.struct("at", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("x"))
+    joined = lambda kept, row: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, row))), lambda r: r["x"]), "")
+    learned = F.col("learned").isNotNull()
+    read = rows.groupBy("conv_id").agg(
+        F.count_if(~learned).alias("n_turns"),
+        joined(~learned, said).alias("turns"),
+        joined(learned, F.struct("at", F.col("learned").alias("x"))).alias("loss"),
+        F.sum("n_chars").alias("formatted_chars"),
     )
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return read.select("conv_id", "n_turns", digest("turns").alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), "formatted_chars")
 
 
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -417,6 +417,14 @@ def test_ledger_and_class_twins_on_odd_documents(spark, tmp_path):
     twin_agrees(spark, "op6_dart_minhash", tmp_path, {"documents": docs.filter("doc_id > 1")})
 
 
+def test_chat_of_very_many_turns(spark):
+    turns = spark.range(40_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.lit("message").alias("kind"), F.col("id").alias("message_id"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("###"), F.col("id").cast("string")).alias("text"))
+    rows = chat.read_rows(chat.formatted(turns)).orderBy("at").collect()
+    said = [(r.role, r.text) for r in rows if r.learned is None]
+    assert said == [("user" if k % 2 == 0 else "assistant", f"###{k}") for k in range(40_000)]
+    assert "".join(r.learned for r in rows if r.learned is not None) == "".join(f"###{k}" for k in range(1, 40_000, 2))
+
+
 # ---- 6: near-duplicates
 
 
