@@ -34,24 +34,29 @@ def snapshot(rows: DataFrame, key: Sequence[str], path: str, depth: int = DEPTH)
     spark = rows.sparkSession
     own = spark.read.schema(placed.schema).parquet(f"{path}/rows")
     nodes = own.groupBy(F.col("_leaf").alias("node")).agg(_joined(F.sort_array(F.collect_list(_digest(*[F.col(c) for c in columns])))).alias("digest"), F.count(F.lit(1)).alias("n"))
-    every = nodes.select(F.lit(depth).alias("level"), "node", "digest", "n")
-    level = every
+    nodes.select(F.lit(depth).alias("level"), "node", "digest", "n").repartitionByRange("node").sortWithinPartitions("node").write.parquet(f"{path}/nodes/leaves")
+    leaves = spark.read.schema(NODES).parquet(f"{path}/nodes/leaves")  # the rows are hashed once; what lies above is read from here
+    every, level = leaves.limit(0), leaves
     for k in range(depth - 1, -1, -1):  # a sixteenth of the nodes each time
         children = F.sort_array(F.collect_list(F.struct("node", "digest")))
         level = level.groupBy(F.substring("node", 1, k).alias("node")).agg(_joined(F.transform(children, lambda c: F.concat(c["node"], F.lit(":"), c["digest"]))).alias("digest"), F.sum("n").alias("n")).select(F.lit(k).alias("level"), "node", "digest", "n")
         every = every.unionByName(level)
-    every.sort("level", "node").write.parquet(f"{path}/nodes")
+    every.coalesce(1).sortWithinPartitions("level", "node").write.parquet(f"{path}/nodes/above")  # a fifteenth of the leaves
+
+
+def _nodes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(NODES).parquet(f"{path}/nodes/leaves", f"{path}/nodes/above")
 
 
 def root(spark: SparkSession, path: str) -> str | None:
     """The digest of a whole snapshot; None if it has no rows."""
-    found = spark.read.schema(NODES).parquet(f"{path}/nodes").filter("level = 0").first()
+    found = _nodes(spark, path).filter("level = 0").first()
     return found.digest if found else None
 
 
 def differing_leaves(spark: SparkSession, old: str, new: str) -> list[str]:
     """The leaves in which two snapshots differ, found from the roots down: of each level only the children of nodes that differ are read. At most 16 ** depth names."""
-    both = [spark.read.schema(NODES).parquet(f"{p}/nodes") for p in (old, new)]
+    both = [_nodes(spark, p) for p in (old, new)]
     depth = both[0].unionByName(both[1]).agg(F.max("level")).first()[0]
     if depth is None:
         return []
