@@ -24,8 +24,8 @@ class TooManyRowsError(ValueError):
 
 
 def complete(df: DataFrame, bound: int) -> DataFrame:
-    """df, or an error if it has more rows than the bound; counts no further than that."""
-    if df.limit(bound + 1).count() > bound:
+    """df, or an error if it has more rows than the bound; each task counts its own."""
+    if df.count() > bound:
         raise TooManyRowsError(f"more than {bound} rows")
     return df
 
@@ -45,3 +45,20 @@ def incomplete_catalogues(pages: DataFrame, by: Sequence[str], rows: str, total:
     """Catalogues whose pages disagree on the total, or do not add up to it."""
     found = pages.groupBy(*by).agg(F.sum(rows).alias("found"), F.min(total).alias("least"), F.max(total).alias("most"))
     return found.filter("least <> most or found <> most").select(*by, "found", F.col("most").alias("declared"))
+
+
+def daily_history(pages: DataFrame, requested: DataFrame, by: Sequence[str], most_pages: int) -> tuple[DataFrame, DataFrame]:
+    """(bars, issues) of daily pages (by, page from 0, trade_date, ...) read backward until they reach the day asked for (by, since).
+
+    Pages after the first that reaches the day, and beyond most_pages, are not looked at; of bars of one day that of the earliest page stays. A key without a bar
+    (missing_history), or whose earliest bar is after the day (insufficient_history), is an issue and has no bars: a factor from part of a history would be wrong.
+    """
+    keys = list(by)
+    ends = pages.filter(F.col("page") < most_pages).groupBy(*keys, "page").agg(F.min("trade_date").alias("_first"))
+    reached = requested.join(ends, keys, "left").groupBy(*keys, "since").agg(F.min(F.when(F.col("_first") <= F.col("since"), F.col("page"))).alias("_stop"), F.min("_first").alias("_earliest"))
+    issue = F.when(F.col("_earliest").isNull(), "missing_history").when(F.col("_stop").isNull(), "insufficient_history")
+    judged = reached.select(*keys, "since", "_stop", issue.alias("issue_type"))
+    kept = pages.join(judged.filter("issue_type is null").select(*keys, "_stop"), keys).filter("page <= _stop").drop("_stop")
+    others = [c for c in pages.columns if c not in (*keys, "trade_date")]
+    first = kept.groupBy(*keys, "trade_date").agg(F.min_by(F.struct(*others), "page").alias("_row"))
+    return first.select(*keys, "trade_date", *[F.col(f"_row.{c}").alias(c) for c in others if c != "page"]), judged.filter("issue_type is not null").select(*keys, "issue_type")

@@ -527,3 +527,45 @@ def online_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("trade_date")))
     rows = views.bars_1d(spark, sf_dir).withColumn("n", place).filter("n <= 800")
     return rows.agg(F.count("*").alias("row_count"), F.min("open").alias("least"))
+
+
+@query("select trade_date, case when day(trade_date) % 2 = 0 then trade_date - 1 else prev_trade_date end as prev_trade_date from limit_summary_stored where day(trade_date) % 2 = 0 or prev_trade_date is not null")
+def previous_trading_days_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a request states the previous day of every other day, which wins."""
+    from quotemill.plans import review
+
+    stored = views.limit_summary_stored(spark, sf_dir)
+    given = stored.filter(F.dayofmonth("trade_date") % 2 == 0).select("trade_date", F.date_sub("trade_date", 1).alias("prev_trade_date"))
+    return review.previous_days(stored, views.limit_relay_stored(spark, sf_dir), given)
+
+
+_ASKED = "select trade_date, event_type, symbol, market from limit_events where cast(symbol as int) % 4 = 1"
+
+
+@query(f"select trade_date, event_type, market, symbol, case when cast(symbol as int) % 4 = 1 and trade_date not in (select trade_date from ({_ASKED}) where day(trade_date) % 3 = 0 and event_type = 'limit_up') then 'corrected' else theme_primary end as theme_primary from limit_events")
+def correction_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections in batches by day: on every third day those of limit-ups try to change a fact, which refuses the day's whole batch."""
+    key = list(views.EVENT_KEY)
+    stored = views.limit_events(spark, sf_dir).select(*key, "board_count", "theme_primary")
+    wrong = (F.dayofmonth("trade_date") % 3 == 0) & (F.col("event_type") == "limit_up")
+    asked = stored.filter(F.col("symbol").cast("int") % 4 == 1).withColumns({"theme_primary": F.lit("corrected"), "board_count": F.when(wrong, F.col("board_count") + 1).otherwise(F.col("board_count"))})
+    refused = ops.changed_facts(stored, asked, key, ["theme_primary"])
+    merged = latest.upsert(stored, ops.whole_batches(asked, refused, ["trade_date"]), key)
+    return merged.select("trade_date", "event_type", "market", "symbol", "theme_primary")
+
+
+_PAGED = "paged as (select market, symbol, trade_date, close, (row_number() over (partition by market, symbol order by trade_date desc) - 1) // 100 as page from bars_1d), ends as (select market, symbol, page, min(trade_date) as first from paged where page < 4 group by all), stops as (select market, symbol, min(page) filter (first <= date '2000-01-01') as stop from ends group by all)"
+
+
+@query(f"select * from (with {_PAGED} select market, symbol, count(*) as bars, min(trade_date) as first, cast(null as varchar) as issue_type from paged join stops using (market, symbol) where page <= stop group by all union all select market, symbol, 0, null, 'insufficient_history' from stops where stop is null)")
+def online_daily_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily pages of 100 bars, read backward until they reach a day, four at most; instruments that fall short have an issue and no bars."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("trade_date"))) - 1
+    pages = views.bars_1d(spark, sf_dir).select(*KEY, "trade_date", "close", F.floor(place / 100).alias("page"))
+    pages = pages.unionByName(pages.filter("page > 0 and close > 0").groupBy(*KEY, "page").agg(F.max("trade_date").alias("trade_date"), F.max("close").alias("close")).select(*pages.columns))  # a bar of the page comes twice
+    asked = pages.select(*KEY).distinct().withColumn("since", F.lit("2000-01-01").cast("date"))
+    found, issues = ordering.daily_history(pages, asked, KEY, 4)
+    counted = found.groupBy(*KEY).agg(F.count("*").alias("bars"), F.min("trade_date").alias("first"), F.lit(None).cast("string").alias("issue_type"))
+    return counted.unionByName(issues.select(*KEY, F.lit(0).cast("long").alias("bars"), F.lit(None).cast("date").alias("first"), "issue_type"))

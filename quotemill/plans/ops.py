@@ -110,6 +110,11 @@ def changed_facts(current: DataFrame, incoming: DataFrame, key: Sequence[str], e
     return joined.filter(absent | changed).select(*[F.col(f"new.{k}").alias(k) for k in key], F.when(absent, "missing").otherwise("changed").alias("reason"))
 
 
+def whole_batches(rows: DataFrame, refused: DataFrame, batch: Sequence[str]) -> DataFrame:
+    """The rows of batches of which nothing is refused: one bad row refuses its whole batch."""
+    return rows.join(refused.select(*batch).distinct(), list(batch), "left_anti")
+
+
 def keep_enrichment(current: DataFrame, incoming: DataFrame, key: Sequence[str], enriched: Sequence[str]) -> DataFrame:
     """Incoming rows with the enriched columns of current ones where they come without."""
     old = current.select(*key, *[F.col(c).alias(f"_old_{c}") for c in enriched])

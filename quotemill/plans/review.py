@@ -97,18 +97,19 @@ def best_events(events: DataFrame) -> DataFrame:
     return best.select("trade_date", "market", "symbol", "e.*")
 
 
-def previous_days(summary: DataFrame, stored: DataFrame) -> DataFrame:
-    """trade_date, prev_trade_date: a summary's, else the stored relay rows'. More than one of a kind for a day is an error."""
+def previous_days(summary: DataFrame, stored: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """trade_date, prev_trade_date: one that is given, else a summary's, else the stored relay rows'. More than one of a kind for a day is an error, as is one not before it."""
     of = lambda df, name: df.filter("prev_trade_date is not null").groupBy("trade_date").agg(F.min("prev_trade_date").alias(name), F.max("prev_trade_date").alias(f"{name}_most"))
     both = of(summary, "a").join(of(stored, "b"), "trade_date", "full_outer")
+    both = both.withColumn("g", F.lit(None).cast("date")) if given is None else both.join(given.select("trade_date", F.col("prev_trade_date").alias("g")), "trade_date", "full_outer")
     clash = F.col("b").isNotNull() & (F.col("b") != F.col("b_most"))
-    prev = F.coalesce("a", "b")
+    prev = F.coalesce("g", "a", "b")
     late = prev >= F.col("trade_date")
-    checked = F.when(clash, F.raise_error(F.concat(F.lit("conflicting previous days of "), F.col("trade_date").cast("string")))).when(late, F.raise_error(F.concat(F.lit("previous day not before "), F.col("trade_date").cast("string")))).otherwise(prev)
+    checked = F.when(F.col("g").isNull() & clash, F.raise_error(F.concat(F.lit("conflicting previous days of "), F.col("trade_date").cast("string")))).when(late, F.raise_error(F.concat(F.lit("previous day not before "), F.col("trade_date").cast("string")))).otherwise(prev)
     return both.select("trade_date", checked.alias("prev_trade_date"))
 
 
-def relay(events: DataFrame, summary: DataFrame, stored: DataFrame, returns: DataFrame) -> DataFrame:
+def relay(events: DataFrame, summary: DataFrame, stored: DataFrame, returns: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """What the previous day's limit events came to on each day.
 
     Samples are the previous day's events by group. A sample's status is that of the stock's strongest event of the day
@@ -116,7 +117,7 @@ def relay(events: DataFrame, summary: DataFrame, stored: DataFrame, returns: Dat
     unknown; the day's return never changes the status, but replaces a stored one. Days whose previous day has no events keep
     their stored rows.
     """
-    days = previous_days(summary, stored)
+    days = previous_days(summary, stored, given)
     kind = F.col("event_type")
     groups = F.array_compact(
         F.array(

@@ -417,15 +417,15 @@ def wire_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _action_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A frame of every market's corporate actions; those of the third day of a month have no valid date."""
+    """A frame of every instrument's corporate actions of a year; those of the third day of a month have no valid date."""
     market = F.col("market")
     day = F.when(F.dayofmonth("event_date") == 3, 20_241_399).otherwise(packers.date_number(F.col("event_date")))
-    placed = views.xdxr_events(spark, sf_dir).select(F.when(market == "sz", 0).when(market == "sh", 1).otherwise(2).alias("frame_id"), "symbol", day.alias("day"), (F.dayofmonth("event_date") % 14 + 1).alias("category"), "event_date", *_RIGHTS)
+    placed = views.xdxr_events(spark, sf_dir).select(F.when(market == "sz", 0).when(market == "sh", 1).otherwise(2).alias("market_no"), (F.col("symbol").cast("long") * 30_000 + F.year("event_date") * 3 + F.when(market == "sz", 0).when(market == "sh", 1).otherwise(2)).alias("frame_id"), "symbol", day.alias("day"), (F.dayofmonth("event_date") % 14 + 1).alias("category"), "event_date", *_RIGHTS)
 
     def record(r: dict) -> bytes:
-        return struct.pack("<B6sBIB4f", r["frame_id"], r["symbol"].encode(), 0, r["day"], r["category"], *(r[c] for c in _RIGHTS))
+        return struct.pack("<B6sBIB4f", r["market_no"], r["symbol"].encode(), 0, r["day"], r["category"], *(r[c] for c in _RIGHTS))
 
-    return wire.unpacked(packers.framed(placed.withColumn("frame_id", F.col("frame_id").cast("long")), ["symbol", "event_date"], record, lambda n: b"\0" * 9 + struct.pack("<H", n)))
+    return wire.unpacked(packers.framed(placed, ["symbol", "event_date"], record, lambda n: b"\0" * 9 + struct.pack("<H", n)))
 
 
 _NAMES = "case category " + " ".join(f"when {k} then '{v}'" for k, v in wire.CATEGORY_NAMES.items()) + " end"
