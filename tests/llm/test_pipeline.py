@@ -84,7 +84,7 @@ def test_entry_lists_all_queries():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n[: n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {n[: n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names
 
 
