@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 from quotemill.session import ship
 from quotemill.sources import records, store
 
-RECORDS_PER_TASK = 4_000_000
+RECORDS_PER_TASK, FILES_PER_TASK = 4_000_000, 50_000
 #: Records decoded at once.
 BATCH_RECORDS = 1 << 18
 EPOCH = datetime.date(1970, 1, 1)
@@ -177,7 +177,8 @@ class FileReader(_Reader):
     """A row for each file, from the listing."""
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [Ranges([*self.sizes()])]
+        found = [*self.sizes()]
+        return [Ranges(found[k : k + FILES_PER_TASK]) for k in range(0, max(1, len(found)), FILES_PER_TASK)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         columns = [list(c) for c in zip(*partition.parts, strict=True)] or [[], [], []]
