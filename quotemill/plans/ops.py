@@ -87,8 +87,9 @@ def block_diff(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def edited(members: Column, remove: Column, add: Column, replace: Column | None = None) -> Column:
-    """A block's symbols after an edit: replaced, or without those removed and with those added, in order, each once."""
-    return F.array_distinct(replace) if replace is not None else F.array_distinct(F.concat(F.array_except(members, remove), add))
+    """A block's symbols after an edit: replaced, or without those removed and with those added, in order, each once. An edit that leaves none is an error."""
+    found = F.array_distinct(replace) if replace is not None else F.array_distinct(F.concat(F.array_except(members, remove), add))
+    return F.when(F.size(found) == 0, F.raise_error(F.lit("an edit must leave a block some members"))).otherwise(found)
 
 
 def count_mismatches(events: DataFrame, declared: DataFrame) -> DataFrame:

@@ -114,3 +114,12 @@ def test_large_partitions_are_written_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     assert len(list((tmp_path / "x" / "_part=2024").glob("*.parquet"))) > 2
     assert imports.read_facts(spark, data).count() == 400_000
+
+
+def test_edits_of_blocks(spark):
+    row = spark.createDataFrame([(["1", "2", "3"],)], "m array<string>")
+    of = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
+    assert row.select(ops.edited(F.col("m"), of("2"), of("4", "1")).alias("x")).first().x == ["1", "3", "4"]
+    assert row.select(ops.edited(F.col("m"), of(), of(), of("9", "9")).alias("x")).first().x == ["9"]
+    with pytest.raises(Exception, match="some members"):
+        row.select(ops.edited(F.col("m"), of("1", "2", "3"), of()).alias("x")).collect()
