@@ -74,11 +74,16 @@ def failure_kind(error: Column) -> Column:
     return kind.otherwise("transport")
 
 
-def sweep_states(outcomes: DataFrame, run_id: str, attempt: int) -> DataFrame:
-    """State rows of a run's batches from their outcomes (market, batch_no, error, row_count): to be appended, the newest attempt counts."""
+def sweep_status(outcomes: DataFrame) -> DataFrame:
+    """outcomes with status, failure and recoverable by their error, and the rows of a batch that succeeded."""
     kind = failure_kind(F.col("error"))
     status = F.when(kind == "", "succeeded").when(kind == "cancelled", "skipped").otherwise("failed")
-    return outcomes.select(F.lit(run_id).alias("run_id"), "market", "batch_no", F.lit(attempt).alias("attempt"), status.alias("status"), kind.alias("failure"), kind.isin(*RECOVERABLE).alias("recoverable"), F.when(status == "succeeded", F.col("row_count")).otherwise(0).alias("row_count"))
+    return outcomes.withColumns({"status": status, "failure": kind, "recoverable": kind.isin(*RECOVERABLE), "row_count": F.when(status == "succeeded", F.col("row_count")).otherwise(0)})
+
+
+def sweep_states(outcomes: DataFrame, run_id: str, attempt: int) -> DataFrame:
+    """State rows of a run's batches from their outcomes (market, batch_no, error, row_count): to be appended, the newest attempt counts."""
+    return sweep_status(outcomes).select(F.lit(run_id).alias("run_id"), "market", "batch_no", F.lit(attempt).alias("attempt"), "status", "failure", "recoverable", "row_count")
 
 
 def sweep_run(states: DataFrame, planned: DataFrame) -> DataFrame:
