@@ -260,6 +260,40 @@ def sweep_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.sweep_run(spark.read.parquet(path), planned)
 
 
+def _streamed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of a sweep over three runs of a stream: first attempts; a late repeat of odd batches that reach no state; second attempts of what fell due."""
+    from quotemill.session import shared_path
+    from quotemill.streaming import sweeps
+
+    source, target, checkpoint = (shared_path(spark, f"sweep-{part}") for part in ("outcomes", "changes", "state"))
+    rows = _outcomes(spark, sf_dir).withColumn("run_id", F.lit("run-1"))
+    fields = [F.col(f.split()[0]).cast(f.split()[1]) for f in sweeps.OUTCOMES.split(", ")]
+
+    def go_on(outcomes: DataFrame, attempt: int) -> DataFrame:
+        outcomes.withColumn("attempt", F.lit(attempt)).select(*fields).write.mode("append").parquet(source)
+        sweeps.sweep_stream(spark, source, target, checkpoint, sweeps.Retries(base_ms=1)).awaitTermination()
+        return spark.read.schema(sweeps.CHANGES).parquet(target)
+
+    go_on(rows, 1)
+    changes = go_on(rows.filter("batch_no % 2 = 1"), 1)
+    return go_on(rows.join(sweeps.due_retries(changes).drop("attempt"), sweeps.KEY, "left_semi").withColumn("error", F.lit("")), 2)
+
+
+@query(f"select 'run-1' as run_id, count(*) as planned, count(*) filter (failure not in ('decode', 'cancelled')) as succeeded, count(*) filter (failure = 'decode') as failed, count(*) filter (failure = 'cancelled') as skipped, 80 * count(*) filter (failure not in ('decode', 'cancelled')) as row_count, case when count(*) filter (failure = 'cancelled') > 0 then 'interrupted' when count(*) filter (failure = 'decode') > 0 then 'completed_with_failures' else 'completed' end as status from (select {_ERRORS} as failure from events)")
+def sweep_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run from the changes of a stream that was started three times: what may be retried is mended by its second attempt."""
+    from quotemill.streaming import sweeps
+
+    planned = _outcomes(spark, sf_dir).agg(F.count("*").alias("planned")).select(F.lit("run-1").alias("run_id"), "planned")
+    return guards.sweep_run(sweeps.batch_states(_streamed_sweep(spark, sf_dir)), planned)
+
+
+@query(f"select kind, attempt, status, failure, count(*) as n from (select unnest(case when failure in ('timeout', 'server_select', 'transport') then [struct_pack(kind := 'outcome', attempt := 1, status := 'failed', failure := failure), struct_pack(kind := 'retry', attempt := 2, status := 'failed', failure := failure), struct_pack(kind := 'outcome', attempt := 2, status := 'succeeded', failure := '')] else [struct_pack(kind := 'outcome', attempt := 1, status := case failure when '' then 'succeeded' when 'cancelled' then 'skipped' else 'failed' end, failure := failure)] end || case when batch_no % 2 = 1 then [struct_pack(kind := 'late', attempt := 1, status := case failure when '' then 'succeeded' when 'cancelled' then 'skipped' else 'failed' end, failure := failure)] else [] end, recursive := true) from (select event_id as batch_no, {_ERRORS} as failure from events)) group by all")
+def sweep_stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many states, late outcomes and retries a streamed sweep told."""
+    return _streamed_sweep(spark, sf_dir).groupBy("kind", "attempt", "status", "failure").agg(F.count("*").alias("n"))
+
+
 @query("select user_id as run_id, ['batch_size'] as fields from (select distinct user_id from events) where user_id % 4 = 1 union all select user_id, ['planned', 'markets'] from (select distinct user_id from events) where user_id % 4 = 2")
 def sweep_resume_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, n = views.table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id")).distinct(), F.col("run_id")
