@@ -19,6 +19,12 @@ def page(df: DataFrame, order: Sequence[str | Column], limit: int, offset: int =
     return (ordered.offset(offset) if offset else ordered).limit(limit + 1)
 
 
+def part(df: DataFrame, order: Sequence[str | Column], offset: int = 0, limit: int = 0) -> DataFrame:
+    """Rows of the order from offset on, at most limit of them; all of them without a limit, none if there are not so many."""
+    rest = df.orderBy(*order).offset(max(offset, 0))
+    return rest.limit(limit) if limit > 0 else rest
+
+
 class TooManyRowsError(ValueError):
     """A result that must be complete exceeds its bound."""
 

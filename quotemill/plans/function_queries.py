@@ -510,13 +510,27 @@ def previous_trading_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.previous_days(views.limit_summary_stored(spark, sf_dir), views.limit_relay_stored(spark, sf_dir))
 
 
+def _points_twice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every point and a later repeat of it, which has another price at every seventh minute."""
+    from quotemill.plans.imports import checked_points
+
+    minute = F.col("minute_of_day")
+    time = F.format_string("%02d:%02d", (minute / 60).cast("int"), (minute % 60).cast("int"))
+    rows = views.points(spark, sf_dir).select(*KEY, "trade_date", time.alias("point_time"), "point_index", "price", F.col("volume").alias("point_volume"), F.lit("first").alias("source_path"), minute.cast("long").alias("row_offset"))
+    later = rows.withColumns({"source_path": F.lit("later"), "price": F.when(F.col("row_offset") % 7 == 0, F.col("price") + 1).otherwise(F.col("price"))})
+    return checked_points(rows.unionByName(later))
+
+
 @query("select market, symbol, trade_date, point_index, price from points")
 def points_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intraday points twice: equal ones collapse without an issue."""
-    rows = views.points(spark, sf_dir).select(*KEY, "trade_date", "point_index", "price").withColumn("at", F.lit(0))
-    first, issues = latest.first_with_issues(rows.unionByName(rows.withColumn("at", F.lit(1))), [*KEY, "trade_date", "point_index"], "at")
-    conflicting = issues.filter("issue_type = 'conflicting_logical_key'").select(*KEY).distinct()
-    return first.drop("at").join(conflicting, KEY, "left_anti")
+    """Intraday points twice: the first of a time stays, whether the later one equals it or not."""
+    return _points_twice(spark, sf_dir)[0].select(*KEY, "trade_date", "point_index", "price")
+
+
+@query("select 'later' as source_path, minute_of_day as row_offset, 'conflicting_logical_key' as issue_type, count(*) as n from points where minute_of_day % 7 = 0 group by minute_of_day")
+def points_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later points that differ are issues; equal ones go silently."""
+    return _points_twice(spark, sf_dir)[1].groupBy("source_path", "row_offset", "issue_type").agg(F.count("*").alias("n"))
 
 
 @query("select count(*) as row_count, min(open) as least from (select open, row_number() over (partition by market, symbol order by trade_date desc) as n from bars_1d) where n <= 800")

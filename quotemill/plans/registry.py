@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quotemill.functions import dates, text
-from quotemill.operators import latest, timeseries
+from quotemill.operators import latest, ordering, timeseries
 from quotemill.plans import adapters as views
 from quotemill.plans import bars, derive, imports, ops, review, securities
 from quotemill.plans.params import BarQuery, LimitQuery, PointQuery
@@ -183,6 +183,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.bars_1d(spark, sf_dir).select("market", "symbol").distinct().orderBy("market", "symbol")
 
 
+@query("select market, symbol from (select distinct market, symbol from bars_1d) order by market, symbol limit 20 offset 7")
+def symbols_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.part(symbols(spark, sf_dir), ["market", "symbol"], 7, 20)
+
+
 @query("select * from limit_events where trade_date between date '2024-01-01' and date '2024-01-31' and market = 'sz' and event_type = 'limit_up' and theme_primary = 'theme3' order by trade_date, event_type, market, symbol limit 201 offset 10")
 def limit_events_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = LimitQuery(since="2024-01-01", until="2024-01-31", market="sz", event_type="limit_up", theme="theme3", limit=200, offset=10)
@@ -299,6 +304,11 @@ def review_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("market", "symbol", "trade_date", _cell_texts("events", ["event_type", "board_count", "close_status"]).alias("events"), _cell_texts("relay", ["sample_group", "today_status"]).alias("relay"))
 
 
+@query(_chain(*_MATRIX[:-2], select="select count(*) as total_rows from (select market, symbol from ev where theme_primary = 'theme3' union select market, symbol from re where prev_theme_primary = 'theme3')"))
+def review_matrix_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.matrix_total(views.limit_events(spark, sf_dir), _relayed(spark, sf_dir), MATRIX)
+
+
 @query(_chain(*_MATRIX, select="select market, symbol, count(*) as cell_count, min(trade_date) as first_date, max(trade_date) as last_date from cells group by market, symbol"))
 def review_matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = review.matrix_rows(views.limit_events(spark, sf_dir), _relayed(spark, sf_dir), MATRIX)

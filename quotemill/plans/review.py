@@ -201,14 +201,24 @@ def matrix_stocks(events: DataFrame, relayed: DataFrame, query: LimitQuery) -> D
     return stocks.distinct()
 
 
+def _matrix_range(events: DataFrame, relayed: DataFrame, q: LimitQuery) -> tuple[DataFrame, DataFrame]:
+    own = LimitQuery(trade_date=q.trade_date, since=q.since, until=q.until, market=q.market, symbol=q.symbol)
+    return selected(events, own, "events"), selected(relayed, own, "relay")
+
+
+def matrix_total(events: DataFrame, relayed: DataFrame, query: LimitQuery) -> DataFrame:
+    """total_rows: how many stocks the filters choose on all pages; 0 without any."""
+    q = query.checked("matrix")
+    return matrix_stocks(*_matrix_range(events, relayed, q), q).agg(F.count("*").alias("total_rows"))
+
+
 def matrix_cells(events: DataFrame, relayed: DataFrame, query: LimitQuery) -> DataFrame:
     """One row per chosen stock of the page and date it has anything on: its events and relay samples, sorted.
 
     The filters choose stocks, not cells: a chosen stock shows all it has in the range.
     """
     q = query.checked("matrix")
-    own = LimitQuery(trade_date=q.trade_date, since=q.since, until=q.until, market=q.market, symbol=q.symbol)
-    events, relayed = selected(events, own, "events"), selected(relayed, own, "relay")
+    events, relayed = _matrix_range(events, relayed, q)
     chosen = matrix_stocks(events, relayed, q).orderBy("market", "symbol").offset(q.offset).limit(q.limit)
     key = ["market", "symbol", "trade_date"]
     e = events.join(chosen, ["market", "symbol"]).select(*key, F.struct("event_type", "board_count", "close_status").alias("event"), F.lit(None).cast("struct<sample_group:string,today_status:string>").alias("sample"))

@@ -342,6 +342,12 @@ def src_jsonp_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.jsonp_years(years.select(F.concat(F.lit("quotes_"), F.col("year").cast("string"), F.lit("("), F.to_json(F.struct("data")), F.lit(");")).alias("value")))
 
 
+@query("select 'ths' as provider, trade_date, close, volume::double as volume, 'provider_native' as volume_unit, amount, 'CNY' as amount_unit, 'Asia/Shanghai' as timezone from bars_1d")
+def src_labelled_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of yearly payloads with their provider's units."""
+    return tables.labelled_bars(src_jsonp_years(spark, sf_dir), "ths").select("provider", "trade_date", "close", "volume", "volume_unit", "amount", "amount_unit", "timezone")
+
+
 @query("select page_id, k - 1 as position, regexp_extract(link, '^<a href=\"([^\"]*)\"', 1) as href, regexp_extract(link, '>([^<]*)<', 1) as name from (select page_id, unnest(links) as link, unnest(range(1, len(links) + 1)) as k from (select page_id, regexp_extract_all(regexp_extract(html, '<ul>.*?</ul>', 0, 's'), '<a href=\"[^\"]*\">[^<]*</a>') as links from pages))")
 def src_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the menu of every page, its list put into a div of a class."""

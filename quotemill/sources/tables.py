@@ -126,6 +126,18 @@ def jsonp_years(payloads: DataFrame) -> DataFrame:
     return rows.select(F.try_to_date(F.try_element_at("p", F.lit(1)), "yyyyMMdd").alias("trade_date"), *[number(k).alias(n) for k, n in enumerate(("open", "high", "low", "close", "volume", "amount"), 2)])
 
 
+#: Fixed values that must match: the unit of a provider's volumes; amounts are in one currency, days those of one time zone.
+VOLUME_UNITS = {"tdx": "hand", "eastmoney": "provider_native", "ths": "provider_native"}
+AMOUNT_UNIT, TIMEZONE = "CNY", "Asia/Shanghai"
+
+
+def labelled_bars(bars: DataFrame, provider: str) -> DataFrame:
+    """Bars with the provider, its volume_unit, the amount_unit and the timezone; a provider whose unit is not known is an error."""
+    if provider not in VOLUME_UNITS:
+        raise ValueError(f"no volume unit for provider {provider}")
+    return bars.withColumns({"provider": F.lit(provider), "volume_unit": F.lit(VOLUME_UNITS[provider]), "amount_unit": F.lit(AMOUNT_UNIT), "timezone": F.lit(TIMEZONE)})
+
+
 def checked_bars(bars: DataFrame, key: list[str], keep: Column) -> DataFrame:
     """Provider bars, equal ones once, in the range; all rows are validated before the range is taken.
 

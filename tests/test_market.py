@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotemill.functions import dates, text
 from quotemill.operators import latest, ordering, timeseries
 from quotemill.plans import bars, derive, ops, params, review, securities
+from quotemill.sources import tables
 
 D = dt.date
 KEY = ("sz", "000001")
@@ -321,3 +322,29 @@ def test_null_keys_and_versions_lose_nothing(spark):
     assert latest.without_conflicts(twice, ["k", "v"]).count() == 4
     with pytest.raises(Exception, match="conflicting rows for m"):
         latest.without_conflicts(twice, ["k"]).collect()
+
+
+def test_parts_of_an_order(spark):
+    rows = spark.range(5).withColumnRenamed("id", "n")
+    ids = lambda *a: [r.n for r in ordering.part(rows, ["n"], *a).collect()]
+    assert ids() == ids(0, 0) == ids(-1, 9) == [0, 1, 2, 3, 4]
+    assert ids(3) == ids(3, -1) == [3, 4] and ids(1, 2) == [1, 2] and ids(5) == ids(9, 2) == []
+    assert ordering.part(rows.limit(0), ["n"], 0, 3).count() == 0
+
+
+def test_matrix_total_counts_stocks_of_all_pages(spark):
+    schema = "trade_date date, market string, symbol string, event_type string, board_count int, close_status string, theme_primary string"
+    events = spark.createDataFrame([(D(2024, 1, 10), "sz", str(n % 7), "limit_up", n, "sealed", "t") for n in range(20)], schema)
+    relayed = spark.createDataFrame([(D(2024, 1, 10), "sz", s, "t", "g", "x") for s in ("6", "8")], "trade_date date, market string, symbol string, prev_theme_primary string, sample_group string, today_status string")
+    query = params.LimitQuery(trade_date="2024-01-10", limit=3, offset=2)
+    assert review.matrix_total(events, relayed, query).first().total_rows == 8
+    assert review.matrix_rows(events, relayed, query).count() == 3
+    assert review.matrix_total(events.limit(0), relayed.limit(0), query).first().total_rows == 0
+
+
+def test_bars_carry_their_providers_units(spark):
+    bars = spark.createDataFrame([(D(2024, 1, 5), 7.0)], "trade_date date, volume double")
+    row = tables.labelled_bars(bars, "tdx").first()
+    assert (row.provider, row.volume_unit, row.amount_unit, row.volume) == ("tdx", "hand", "CNY", 7.0)
+    with pytest.raises(ValueError):
+        tables.labelled_bars(bars, "unknown")
