@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quotemill.llm import alignment, chat, decontamination, htmltext, languages, neardup, packing, quality, secrets, sharding, tokencount, toxicity, whitening
 from quotemill.llm.common import table, text_or_empty
+from quotemill.session import shared_path
 
 
 def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +128,19 @@ def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), count("assign"), count("access"), count("hex"), digest, secrets.joined_spans(F.col("findings")).alias("spans"))
 
 
+def blob_ledger_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs and blobs per rule version in a ledger after two runs over all documents, the first under an older version of one rule.
+
+    The second run scans the pairs of that rule alone: a pair scanned twice would be there twice.
+    """
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), "text")
+    ledger = shared_path(spark, "ledger")
+    secrets.scan_into(spark, versions, ledger, [replace(r, version=0) if r.kind == "jwt" else r for r in secrets.RULES])
+    secrets.scan_into(spark, versions, ledger)
+    pairs = spark.read.schema(secrets.LEDGER).parquet(ledger).groupBy("blob", "rule").agg(F.count("*").alias("n"))
+    return pairs.groupBy("rule").agg(F.sum("n").alias("n_pairs"), F.count("*").alias("n_blobs"))
+
+
 def op11_hyperdimensional_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return languages.predicted(table(spark, sf_dir, "documents"))
@@ -155,6 +170,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tournament_packing,
         op9_bm25_wand,
         op10_blob_ledger,
+        blob_ledger_runs,
         op11_hyperdimensional_profiles,
         op12_elementary_intervals,
         op13_triangle_aggregates,
@@ -269,4 +285,6 @@ select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter
   sha256(coalesce(string_agg(span, ',' order by place, o) filter (o < 3), '')) as base_sha256, coalesce(string_agg(span, ',' order by place, o), '') as spans
 from docs d left join found f on f.doc_id = d.doc_id group by d.doc_id
 """
-ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "chat_event_replay": _REPLAY, "op7_permutation_table": _OP7, "op10_blob_ledger": _OP10}
+#: The versions that were scanned: those of today, and the older one.
+_LEDGER_RUNS = f"select rule, n as n_pairs, n as n_blobs from (select unnest([{', '.join(repr(r.name) for r in secrets.RULES)}, 'jwt@0']) as rule), (select count(distinct coalesce(text, '')) as n from documents)"
+ORACLE_SQL: dict[str, str] = {"op1_risk_controlled_rules": _OP1, "op6_dart_minhash": _OP6, "op5_event_sourced_chat": _OP5, "chat_event_replay": _REPLAY, "op7_permutation_table": _OP7, "op10_blob_ledger": _OP10, "blob_ledger_runs": _LEDGER_RUNS}

@@ -149,6 +149,7 @@ def scan_into(spark: SparkSession, versions: DataFrame, path: str, rules: Sequen
     """Findings of every version, as scan_versions gives them, with the ledger kept as a Parquet table at path.
 
     The first run starts the ledger; each later one scans only pairs of blob and rule version that it lacks, and appends them.
+    An empty table gives no rows and appends none. An append that fails leaves the ledger as it was; its pairs are scanned again.
     """
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     begun = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
