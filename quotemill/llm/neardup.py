@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotemill.llm import common
-from quotemill.llm.common import node_of, salt, spread_join, text_or_empty, unused, written
+from quotemill.llm.common import node_of, spread_join, text_or_empty, unused, written
 from quotemill.llm.shingles import WORDS_PER_SHINGLE, mixed, shingles
 
 SIMILARITY = 0.8
@@ -32,6 +32,8 @@ BANDS, ROWS = 24, 7
 LEADERS, MORE_LEADERS, MOST_LEADERS = 16, 16, 1000
 #: Members of a bucket that meet its leaders in one task.
 MEMBERS = 1000
+#: Texts whose shingles a task keeps while it compares pairs.
+KNOWN = 16
 
 _U = np.uint64
 
@@ -86,54 +88,52 @@ def band_codes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """(node, weight, buckets) of every text with a word; a task gives each node once, whatever its copies. weight is the number of shingles."""
+    """(node, doc_id, weight, buckets) of every row; weight (the number of shingles) and buckets only once for each node in a task, and null without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                nodes, codes, weights = [], [], []
-                for node, text in zip(part["node"].to_pylist(), part["text"].to_pylist(), strict=True):
+                weights, codes = [None] * part.num_rows, [None] * part.num_rows
+                for k, (node, text) in enumerate(zip(part["node"].to_pylist(), part["text"].to_pylist(), strict=True)):
                     if node in seen:
                         continue
                     seen.add(node)
                     element, count = shingles(text, size)
                     if len(element):
-                        nodes.append(node)
-                        weights.append(int(count.sum()))
-                        codes.append(band_codes(dart_minhash(element, count.astype(np.float64), bands * rows), bands, rows))
-                if nodes:
-                    yield pa.record_batch({"node": pa.array(nodes, pa.binary()), "weight": pa.array(weights, pa.int64()), "buckets": pa.array(codes, pa.list_(pa.int64()))})
+                        weights[k] = int(count.sum())
+                        codes[k] = band_codes(dart_minhash(element, count.astype(np.float64), bands * rows), bands, rows)
+                yield pa.record_batch({"node": part["node"], "doc_id": part["doc_id"], "weight": pa.array(weights, pa.int64()), "buckets": pa.array(codes, pa.list_(pa.int64()))})
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, weight long, buckets array<long>")
+    return texts.select("node", "doc_id", "text").mapInArrow(run, "node binary, doc_id long, weight long, buckets array<long>")
 
 
 COMPARED = "a binary, b binary, shared long, similar boolean, codes array<long>, extra array<long>"
 
 
 def compared(pairs: DataFrame, texts: DataFrame, similarity: float, size: int, extras: bool = False) -> DataFrame:
-    """Pairs (a, b) of nodes with the weight that their whole texts share and whether they are similar enough. pairs is a written table.
+    """Distinct pairs (a, b) of nodes with the weight that their whole texts share and whether they are similar enough.
 
-    With extras, also the shingles of which b has more than a, and how many more. Many pairs may have one a: they are dealt by a
-    salt of b, and the text of a goes to each salt that occurs with it.
+    With extras, also the shingles of which b has more than a, and how many more. Many pairs may have one a, few one b: the
+    join by a is a plain one of two shuffles, whose large partitions adaptive execution splits, and the texts are compared where they are dealt by b.
     """
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    dealt = pairs.select("a", "b", salt("b", pairs.count()).alias("salt"))
-    lead = dealt.select("a", "salt").distinct().join(a, "a")
-    both = dealt.join(b, "b").join(lead, ["a", "salt"]).select("a", "b", "text_a", "text_b")
+    both = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}  # the shingles of texts met last
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = []
                 for x, y, s, t in zip(*(part[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                    if x != last:
-                        last, own = x, shingles(s, size)
-                    other = shingles(t, size)
+                    for key, text in ((x, s), (y, t)):
+                        known[key] = known.pop(key) if key in known else shingles(text, size)
+                    own, other = known[x], known[y]
+                    while len(known) > KNOWN:
+                        del known[next(iter(known))]
                     _, i, j = np.intersect1d(own[0], other[0], assume_unique=True, return_indices=True)
                     more = other[1].copy()
                     more[j] -= np.minimum(own[1][i], other[1][j])
@@ -171,81 +171,85 @@ def may_be_similar(similarity: float) -> F.Column:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root): root is the least node of each connected component of the edges (a, b). Nodes without an edge are absent.
 
-    Alternates large-star and small-star steps until only stars are left; each step takes a minimum per node, which
-    is pre-aggregated, and a join in which hubs are joined apart, so a hub's neighbours are never gathered in one place.
+    Alternates large-star and small-star steps until only stars are left. Only nodes that are no star's centre or leaf yet change
+    an edge: these are written with their least neighbour, and each edge looks up its ends there, so a hub's neighbours are never gathered in one place.
     """
-
-    def stars(e: DataFrame, both: bool, edges: int, degree: int) -> DataFrame:
-        """Every edge (u, v) with u < v is replaced by one from the larger (large-star: from each larger neighbour) to the least neighbour."""
-        near = e.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        if both:
-            near = near.unionByName(e.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        joined = spread_join(near, least, "u", "n", 2 * edges, degree)
-        moved = joined.filter(F.col("v") > F.col("u")) if both else joined.filter(F.col("v") > F.col("m")).unionByName(least.withColumn("v", F.col("u")))
-        return moved.filter(F.col("v") > F.col("m")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-
-    def state(e: DataFrame) -> tuple[bool, int]:
-        """Whether the edges are not stars yet (a node is the larger end of two, or of one and the smaller end of another), and the largest degree."""
-        ends = e.select(F.col("a").alias("n"), F.lit(0).alias("larger")).unionByName(e.select(F.col("b").alias("n"), F.lit(1).alias("larger")))
-        of_node = ends.groupBy("n").agg(F.sum("larger").alias("up"), F.min("larger").alias("down"), F.count("*").alias("degree"))
-        found = of_node.agg(F.max(F.expr("up > 1 or up = 1 and down = 0")), F.max("degree")).first()
-        return bool(found[0]), found[1] or 0
-
     now = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), label)
-    while (found := state(now))[0]:
-        count, degree = now.count(), found[1]
-        large = stars(now, True, count, degree)
-        large = written(large, "large") if degree > common.HOT_ROWS else large  # read four times where hubs are joined apart
-        now = written(stars(large, False, count, degree), label)
+    while True:
+        ends = now.select(F.col("b").alias("u"), F.col("a").alias("m")).unionByName(now.select(F.col("a").alias("u"), F.lit(None).cast("binary").alias("m")))
+        ends = ends.groupBy("u").agg(F.min("m").alias("m"), F.count("m").alias("up"), F.count("*").alias("degree"))
+        ends = written(ends.filter("up > 1 or up = 1 and degree > 1"), "ends")  # in stars a node has one smaller neighbour alone, or larger ones
+        if not ends.limit(1).count():
+            break
+        # large-star: the larger neighbours of a node go to its least neighbour
+        moved = now.join(ends.filter("degree > up").select(F.col("u").alias("a"), "m"), "a", "left").select(F.coalesce("m", "a").alias("a"), "b")
+        # small-star: a node and its smaller neighbours go to the least of these
+        several = moved.groupBy("b").agg(F.min("a").alias("m"), F.max("a").alias("most")).filter("m < most")
+        moved = moved.join(written(several.select("b", "m"), "several"), "b", "left").withColumn("m", F.coalesce("m", "a"))
+        moved = moved.select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
+        now = written(moved.filter("a < b").distinct(), label)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def banded(texts: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
-    """(bucket, node, weight, leader, density): every text in every bucket that it shares with another text.
+def banded(firsts: DataFrame, bands: int) -> DataFrame:
+    """(node, name, first_id, weight, links): every text that shares a bucket with another text, links its (bucket, leader) in each such bucket.
 
-    density counts a text's partners over all its buckets; a bucket's leader is the text of most, the least node on ties. Sizes and
+    firsts is a written table. The node's address here is its number of partners over all its buckets, counted down, then its name
+    in firsts: the least node of a bucket, its leader, is the text of most partners, so hubs come before what they are linked to. Sizes and
     leaders are aggregates, combined before they are shuffled; buckets of many texts are joined with theirs apart from the others.
     """
-    all_bands = written(signatures(texts, bands, rows, size).select("node", "weight", F.explode("buckets").alias("bucket")), "bands")
-    code = F.xxhash64("node")  # copies of a text may lie in several tasks: a bucket is shared if it holds two different nodes
-    sizes = all_bands.groupBy("bucket").agg(F.count("*").alias("rows"), F.min(code).alias("least"), F.max(code).alias("most"))
-    sizes = written(sizes.filter("least < most").select("bucket", "rows"), "sizes")
-    shared = spread_join(all_bands, sizes, "bucket", "rows", all_bands.count()).select("bucket", "node", "weight")
-    shared = written(shared.dropDuplicates(["bucket", "node"]), "shared")
-    sizes = written(shared.groupBy("bucket").agg(F.count("*").alias("n")), "sizes")
+    all_bands = firsts.select(F.col("node").alias("name"), F.explode("buckets").alias("bucket"))
+    sizes = written(all_bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     total, hottest = sizes.agg(F.sum("n"), F.max("n")).first()
-    shared = spread_join(shared, sizes, "bucket", "n", total or 0, hottest or 0)
-    density = shared.groupBy("node").agg(F.sum(F.col("n") - 1).alias("density"))
-    shared = written(shared.join(density, "node"), "dense")
-    best = shared.groupBy("bucket").agg(F.min(F.struct((-F.col("density")).alias("density"), "node")).alias("best"), F.count("*").alias("size"))
-    best = written(best.select("bucket", F.col("best.node").alias("leader"), "size"), "leaders")
-    return written(spread_join(shared, best, "bucket", "size", total or 0, hottest or 0).select("bucket", "node", "weight", "leader", "density"), "buckets")
+    total, hottest = total or 0, hottest or 0
+    shared = spread_join(all_bands, sizes, "bucket", "n", bands * firsts.count(), hottest)
+    dense = shared.groupBy("name").agg(F.sum(F.col("n") - 1).alias("density"), F.collect_list("bucket").alias("buckets"))
+    node = F.unhex(F.concat(F.lpad(F.hex(F.lit(2**63 - 1) - F.col("density")), 16, "0"), F.hex("name")))
+    dense = dense.join(firsts.select(F.col("node").alias("name"), "first_id", "weight"), "name")
+    dense = written(dense.select(node.alias("node"), "name", "first_id", "weight", "buckets"), "dense")
+    shared = dense.select("node", F.explode("buckets").alias("bucket"))
+    best = written(shared.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("size")), "leaders")
+    led = spread_join(shared, best, "bucket", "size", total, hottest)
+    led = led.groupBy("node").agg(F.collect_list(F.struct("bucket", "leader")).alias("links"))
+    return written(dense.drop("buckets").join(led, "node"), "buckets")
+
+
+def name_of(node: str) -> F.Column:
+    """The name in firsts of a node of banded."""
+    return F.col(node).substr(9, 16)
 
 
 def still_apart(members: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     """The members of buckets in which texts of different classes are left, with their classes' roots and the buckets' sizes and least nodes. members has total rows or fewer."""
     rooted = written(members.drop("root", "size", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     several = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("size"), F.min("node").alias("first"))
-    return written(spread_join(rooted, several.filter("least < most").select("bucket", "size", "first"), "bucket", "size", total), "apart")
+    several = written(several.filter("least < most").select("bucket", "size", "first"), "several")
+    return written(spread_join(rooted, several, "bucket", "size", total), "apart")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:
     """(node, first_id, copies, root) of every distinct text: its least doc_id (null only if all are), its rows, the node that stands for its class."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     keyed = keyed.withColumn("node", node_of(F.col("text")))
-    firsts = written(keyed.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")), "firsts")
-    buckets = banded(keyed, bands, rows, size)
+    # copies of a text may lie in several tasks; each such task gives its signature
+    firsts = signatures(keyed, bands, rows, size).groupBy("node")
+    firsts = firsts.agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.max("weight").alias("weight"), F.first("buckets", ignorenulls=True).alias("buckets"))
+    firsts = written(firsts, "firsts")
+    buckets = banded(firsts, bands)
     # one row's text for each node, found by its id, so that the copies of a text are not gathered anywhere
-    wanted = firsts.join(buckets.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("_node"), "first_id")
-    same = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = written(keyed.join(wanted, same).select("doc_id", "node", "text").dropDuplicates(["node", "doc_id"]).select("node", "text"), "texts")
+    wanted = buckets.select(F.col("node").alias("_node"), "name", "first_id")
+    same = (F.col("node") == F.col("name")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    texts = written(keyed.join(wanted, same).select(F.col("_node").alias("node"), "text").dropDuplicates(["node"]), "texts")
 
-    followers = buckets.filter("node <> leader")
-    pairs = written(followers.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    leaders = F.array_except(F.array_distinct("links.leader"), F.array("node"))
+    pairs = buckets.select(F.explode(leaders).alias("a"), F.col("node").alias("b"))
     led = written(compared(pairs, texts, similarity, size, extras=True), "led")
-    roots = written(components(led.filter("similar").select("a", "b")), "roots")
-    apart, more, bounded = still_apart(followers, roots, buckets.count()), LEADERS, False
+    # a text has few leaders and all come before it: with it they are linked to the first of them, which leaves little to the components
+    stars = led.filter("similar").groupBy("b").agg(F.sort_array(F.collect_list("a")).alias("all"))
+    roots = written(components(stars.select(F.col("all")[0].alias("a"), F.explode(F.concat("all", F.array("b"))).alias("b"))), "roots")
+    followers = buckets.select("node", "weight", F.inline("links")).filter("node <> leader")
+    count = buckets.agg(F.sum(F.size("links"))).first()[0] or 0
+    apart, more, bounded = still_apart(followers, roots, count), LEADERS, False
     while count := apart.count():
         if not bounded:
             open_led = written(led.join(apart.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), ["a", "b"], "left_semi"), "open")
@@ -259,13 +263,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         there = member.select("bucket", "salt").distinct().join(lead, "bucket")  # leaders are copied once for every MEMBERS members
         later = ~F.col("leads") | (F.col("node") > F.col("node_a"))
         found = there.join(member, ["bucket", "salt"]).filter(later & (F.col("root") != F.col("root_a")) & may_be_similar(similarity))
-        pairs = written(found.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+        pairs = written(found.select(F.col("node_a").alias("a"), F.col("node").alias("b"), "root_a", "root").distinct(), "pairs")
         new = written(compared(pairs, texts, similarity, size).filter("similar").select("a", "b"), "edges")
         if new.limit(1).count():
-            roots = written(components(roots.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(new)), "roots")
+            # only the classes that the new edges join are connected anew
+            joined = components(new.join(pairs, ["a", "b"]).select(F.col("root_a").alias("a"), F.col("root").alias("b")))
+            joined = joined.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+            both = roots.join(joined, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+            alone = joined.join(roots, F.col("node") == joined["root"], "left_anti").select(F.col("root").alias("node"), F.col("_root").alias("root"))
+            roots = written(both.unionByName(alone), "roots")
         apart, more = still_apart(member.filter("not leads").drop("leads", "salt"), roots, count), min(more * MORE_LEADERS, MOST_LEADERS)
 
-    return firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = roots.select(name_of("node").alias("node"), name_of("root").alias("root"))
+    return firsts.select("node", "first_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = WORDS_PER_SHINGLE) -> DataFrame:

@@ -485,6 +485,22 @@ def test_near_duplicates_in_many_rounds_and_with_hot_keys(spark, monkeypatch):
     assert len(rounds) > 2
 
 
+def test_near_duplicates_of_a_hub_run_few_stages(spark):
+    """Each stage is dealt over all shuffle partitions, however few its rows: a group of near copies must not take many rounds of joins."""
+    rows = [(1000 - i, edited(prose(120, 1), 0.03 if i % 2 else 0.015, i)) for i in range(60)] + [(i, prose(40, i)) for i in range(20)] + [(500 + i, prose(40, 30)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    context = spark.sparkContext
+    context.setJobGroup("hub", "near copies of one text")
+    try:
+        got = sorted(((r.doc_id, r.class_id) for r in neardup.near_duplicates(docs).collect()), key=str)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == brute_classes(rows)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("hub") for s in tracker.getJobInfo(j).stageIds}
+    assert sum(tracker.getStageInfo(s).numCompletedTasks > 0 for s in stages if tracker.getStageInfo(s)) < 125  # 138 with an exchange for each table of buckets and star
+
+
 def test_recall_by_edit_rate():
     """Of near copies whose similarity is 0.8 or more, all but few share a bucket, whatever the share of edited words."""
     near, caught = 0, 0
