@@ -297,12 +297,17 @@ def src_snapshot_relay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("trade_date", "sample_group", "market", "symbol", "prev_board_count", "today_status", F.round("today_pct_chg", 6).alias("today_pct_chg"), "issue")
 
 
+def line_no() -> Column:
+    """A day's events go to a line for every hundred symbols, however many symbols there are."""
+    return F.floor(F.col("symbol").cast("int") / 100).alias("line_no")
+
+
 @query("select trade_date, 'sz' as market, symbol, event_type, board_count, 'n' as reason, case when day(trade_date) % 4 = 1 then 'unknown_field' when day(trade_date) % 4 = 2 then 'mode_not_allowed' when day(trade_date) % 4 = 3 then 'reason_and_audit_ref_required' end as issue from limit_events")
 def src_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line of corrected events for every day; some with a field too many, a mode that is not allowed, or no audit reference."""
+    """Lines of corrected events for every day; some with a field too many, a mode that is not allowed, or no audit reference."""
     event = F.struct(F.col("symbol").alias("code"), "event_type", "close_status", "board_count", "theme_primary")
     day = F.dayofmonth("trade_date") % 4
-    lines = views.limit_events(spark, sf_dir).groupBy("trade_date").agg(F.collect_list(event).alias("events"))
+    lines = views.limit_events(spark, sf_dir).groupBy("trade_date", line_no()).agg(F.collect_list(event).alias("events"))
     fields = [F.col("trade_date").cast("string").alias("trade_date"), F.when(day == 2, "upsert").otherwise("enrich_existing").alias("mode"), F.lit("n").alias("reason"), F.when(day == 3, "").otherwise("ref").alias("audit_ref"), F.col("events")]
     value = F.when(day == 1, F.to_json(F.struct(*fields, F.lit(1).alias("extra")))).otherwise(F.to_json(F.struct(*fields)))
     return review_json.corrections(lines.select(value.alias("value"))).select("trade_date", "market", "symbol", "event_type", "board_count", "reason", "issue")

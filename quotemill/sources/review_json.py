@@ -206,7 +206,9 @@ def corrections(lines: DataFrame, replace_facts: bool = False) -> DataFrame:
         .when((_text(F.col("c.reason")) == "") | (_text(F.col("c.audit_ref")) == ""), "reason_and_audit_ref_required")
         .when(day.isNull(), "invalid_trade_date")
     )
-    rows = text.select(day.alias("trade_date"), "c.mode", "c.reason", "c.audit_ref", line_issue.alias("line_issue"), F.explode_outer("c.events").alias("e"))
+    # a select of its own: beside the explode, a line would be copied, and checked, for each of its events
+    checked = text.select(day.alias("trade_date"), "c.mode", "c.reason", "c.audit_ref", line_issue.alias("line_issue"), F.col("c.events").alias("events"))
+    rows = checked.select("trade_date", "mode", "reason", "audit_ref", "line_issue", F.explode_outer("events").alias("e"))
     e = F.col("e")
     symbol = _text(e["code"])
     reason = F.coalesce(F.nullif(_text(e["reason_text"]), F.lit("")), _text(e["reason_type"]))

@@ -138,6 +138,12 @@ def test_snapshots(spark, tmp_path):
     assert sorted((r.theme_name, r.leader_symbol, r.issue) for r in review_json.themes(rows).collect()) == [("", "", "missing_theme_name"), ("t", "", None)]
 
 
+def test_a_line_is_checked_once_for_all_its_events(spark):
+    lines = spark.range(1).select(F.col("id").cast("string").alias("value"))
+    above, explode, _ = review_json.corrections(lines)._jdf.queryExecution().optimizedPlan().toString().partition("Generate")
+    assert explode and "jsonObjectKeys" not in above
+
+
 def test_corrections(spark):
     event = {"code": "600000", "event_type": "limit_up", "close_status": "sealed", "board_count": 1, "reason_type": "why"}
     line = {"trade_date": "2024-01-05", "mode": "enrich_existing", "reason": "r", "audit_ref": "a", "events": [event]}
