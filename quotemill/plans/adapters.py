@@ -18,6 +18,7 @@ def market_of(number: Column) -> Column:
 
 
 def symbol_of(number: Column) -> Column:
+    """Six digits; of a longer number the first six, so that a symbol is no key of the numbers."""
     return F.lpad(number.cast("string"), 6, "0")
 
 
@@ -138,14 +139,14 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def security_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").withColumn("symbol", symbol_of(F.col("p_partkey"))).withColumn("both", F.concat("p_brand", "p_name"))
-    rows = securities(spark, sf_dir).select("market", "symbol").join(part, "symbol")
+    part = table(spark, sf_dir, "part").withColumn("both", F.concat("p_brand", "p_name"))
+    rows = securities(spark, sf_dir).select("market", "symbol").join(part, F.col("symbol").cast("int") == F.col("p_partkey"))
     return rows.select("market", "symbol", F.concat_ws(" ", "p_brand", "p_name").alias("alias"), _plain("both").alias("alias_norm"), F.lit(50).alias("priority"))
 
 
 def security_name_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    supplier = table(spark, sf_dir, "supplier").withColumn("symbol", symbol_of(F.col("s_suppkey")))
-    rows = securities(spark, sf_dir).select("market", "symbol").join(supplier, "symbol")
+    supplier = table(spark, sf_dir, "supplier")
+    rows = securities(spark, sf_dir).select("market", "symbol").join(supplier, F.col("symbol").cast("int") == F.col("s_suppkey"))
     return rows.select("market", "symbol", F.col("s_name").alias("name"), _plain("s_name").alias("name_norm"), F.lit("2000-01-01").cast("date").alias("valid_from"))
 
 

@@ -50,3 +50,13 @@ def test_index_pages_of_prices_of_zero(spark, tmp_path, name):
     """A low of zero is not among the bars that are made impossible, nor is a day of zeros alone; the seventh is."""
     days = [(k, dt.datetime(2024, 1, day, 10), 1, "view", v, "{}") for k, (day, v) in enumerate([(1, 1.0), (7, 2.0), (7, 3.0), (9, 0.0), (9, 5.25), (10, 0.0), (30, 2.0)])]
     assert same_as_sql(spark, tmp_path, name, events=(days, EVENTS))
+
+
+CUSTOMERS = "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"
+
+
+def test_aliases_of_keys_of_more_than_six_digits(spark, tmp_path):
+    """Part 1234567 is no part of security 123456."""
+    customers = [(k, f"Customer#{k:09d}", k % 25, "BUILDING") for k in (7, 123456)]
+    parts = [(7, "a bolt", "Brand#1"), (123456, "a ring", "Brand#2"), (1234567, "cold anvil", "Brand#3")]
+    assert same_as_sql(spark, tmp_path, "best_aliases", customer=(customers, CUSTOMERS), part=(parts, "p_partkey long, p_name string, p_brand string"))
