@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from quotemill.operators.ordering import complete
 from quotemill.sources.records import consistent
 
-#: Most events of a day that a guard reads.
+#: Most events of a day that a guard reads page by page.
 MOST_EVENTS = 20_000
 
 
-def current_events(events: DataFrame, day: str) -> DataFrame:
-    """A day's events for a write guard: an error if there are more than MOST_EVENTS, or if a key is repeated."""
-    own = complete(events.filter(F.col("trade_date") == F.lit(day).cast("date")), MOST_EVENTS)
+def current_events(events: DataFrame, day: str, paged: bool = True) -> DataFrame:
+    """A day's events for a write guard: an error if a key is repeated or, of a paged read, if there are more than MOST_EVENTS; a table is read whole."""
+    own = events.filter(F.col("trade_date") == F.lit(day).cast("date"))
+    own = complete(own, MOST_EVENTS) if paged else own
     key = Window.partitionBy("market", "symbol", "event_type")
     name = F.concat_ws(":", "market", "symbol", "event_type")
     checked = F.when(F.count("*").over(key) == 1, F.col("symbol")).otherwise(F.raise_error(F.concat(F.lit("repeated current event "), name)))

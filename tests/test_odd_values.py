@@ -6,7 +6,7 @@ import pytest
 
 duckdb = pytest.importorskip("duckdb")
 
-from quotemill.plans import frame_queries, function_queries, registry, source_queries  # noqa: E402, F401 - they register their queries
+from quotemill.plans import frame_queries, function_queries, guards, registry, source_queries  # noqa: E402, F401 - they register their queries
 from quotemill.session import ship  # noqa: E402
 
 
@@ -60,3 +60,9 @@ def test_aliases_of_keys_of_more_than_six_digits(spark, tmp_path):
     customers = [(k, f"Customer#{k:09d}", k % 25, "BUILDING") for k in (7, 123456)]
     parts = [(7, "a bolt", "Brand#1"), (123456, "a ring", "Brand#2"), (1234567, "cold anvil", "Brand#3")]
     assert same_as_sql(spark, tmp_path, "best_aliases", customer=(customers, CUSTOMERS), part=(parts, "p_partkey long, p_name string, p_brand string"))
+
+
+def test_a_guard_reads_a_table_whole(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(guards, "MOST_EVENTS", 1)
+    rows = [(k, dt.datetime(2024, 1, 9, 10), k, "error", 1.0, "{}") for k in range(3)]
+    assert same_as_sql(spark, tmp_path, "guard_current_events", events=(rows, EVENTS))
