@@ -381,7 +381,9 @@ def import_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     refused = checks.filter("problem is not null").select("source_path", F.lit(0).alias("row_offset"), F.col("problem").alias("issue_type"))
     run("day_packages", bars, refused, days, "trade_date")
     items = spark.range(1, 4).select(F.col("id").cast("int").alias("item_id"))
-    run("reports", *records.report_values(packed._report_files(spark, sf_dir), items), ("market", "symbol", "report_date", "item_id"), "report_date", skipping=("duplicate_logical_key",))
+    reported, unknown = records.report_values(packed._report_files(spark, sf_dir), items)
+    unknown = unknown.withColumn("source_path", F.element_at(F.split("source_path", "/"), -1)).distinct()  # the files of a day are one report
+    run("reports", reported, unknown, ("market", "symbol", "report_date", "item_id"), "report_date", skipping=("duplicate_logical_key",))
     run("metrics", *records.metric_values(packed._metric_files(spark, sf_dir)), ("market", "symbol", "metric_type", "event_date"), "event_date", skipping=guards.SKIPPING)
     run("capital_changes", *records.capital_changes(packed.capital_files(spark, sf_dir)), ("market", "symbol", "event_date", "category"), "event_date")
     run("ex_day", *records.ex_day_bars(packed.ex_day_files(spark, sf_dir)), ("ex_market", "code", "trade_date"), "trade_date")

@@ -166,9 +166,15 @@ def src_ex_day_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.ex_day_bars(ex_day_files(spark, sf_dir))[0].select("ex_market", "code", "trade_date", *PRICES, "amount", "price", "position", "trade", "settlement")
 
 
+#: Symbols of a day in a report file, which counts its records in 16 bits.
+REPORT_SYMBOLS = 20_000
+
+
 def _report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report files, a folder for each range of symbols, in it a file for each day."""
     number = packers.date_number(F.col("trade_date"))
-    rows = views.ebars_1d(spark, sf_dir).select(F.format_string("gpcw%d.dat", number).alias("source_path"), number.alias("date"), "symbol", F.array(*PRICES).alias("items"))
+    part = F.floor(F.col("symbol").cast("int") / REPORT_SYMBOLS)
+    rows = views.ebars_1d(spark, sf_dir).select(F.format_string("%d/gpcw%d.dat", part, number).alias("source_path"), number.alias("date"), "symbol", F.array(*PRICES).alias("items"))
     return packers.report_file(rows)
 
 

@@ -66,3 +66,8 @@ def test_a_guard_reads_a_table_whole(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(guards, "MOST_EVENTS", 1)
     rows = [(k, dt.datetime(2024, 1, 9, 10), k, "error", 1.0, "{}") for k in range(3)]
     assert same_as_sql(spark, tmp_path, "guard_current_events", events=(rows, EVENTS))
+
+
+def test_report_files_of_more_symbols_than_a_file_counts(spark, tmp_path):
+    rows = [(k, dt.datetime(2024, 1, 9, 10), k, "error", 1.0, "{}") for k in range(65_540)]
+    assert same_as_sql(spark, tmp_path, "src_report_files", events=(rows, EVENTS))
