@@ -188,13 +188,14 @@ def src_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_ITEMS + " where day(trade_date) % 2 = 0 or day(trade_date) % 3 = 0")
 def src_report_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives by month with plain report files of even days and inner archives of every third, which plain files of their name hide; on disk, read by members."""
+    """Archives by range of symbols and month with plain report files of even days and inner archives of every third, which plain files of their name hide; on disk, read by members."""
     files = _report_files(spark, sf_dir)
     day = F.regexp_extract("source_path", r"([0-9]{2})\.dat$", 1).cast("int")
-    month = F.concat(F.regexp_extract("source_path", r"([0-9]{6})[0-9]{2}\.[a-z]+$", 1), F.lit("/reports.zip")).alias("source_path")
-    plain = files.filter(day % 2 == 0).select(month, F.col("source_path").alias("entry"), "content")
-    inner = packers.zipped(files.filter(day % 3 == 0).select(F.replace(F.col("source_path"), F.lit(".dat"), F.lit(".zip")).alias("source_path"), F.col("source_path").alias("entry"), "content"))
-    root = landed(packers.zipped(plain.unionByName(inner.select(month, F.col("source_path").alias("entry"), "content"))), "report-archives")
+    month = F.regexp_replace("source_path", r"/gpcw([0-9]{6})[0-9]{2}\.[a-z]+$", "/$1/reports.zip").alias("source_path")
+    name = F.element_at(F.split("source_path", "/"), -1).alias("entry")
+    plain = files.filter(day % 2 == 0).select(month, name, "content")
+    inner = packers.zipped(files.filter(day % 3 == 0).select(F.replace(F.col("source_path"), F.lit(".dat"), F.lit(".zip")).alias("source_path"), name, "content"))
+    root = landed(packers.zipped(plain.unionByName(inner.select(month, name, "content"))), "report-archives")
     found = tables.unshadowed(archives.contents(archives.directory(spark, root), (".dat",)))
     return records.report_items(records.as_files(found)).drop("source_path")
 

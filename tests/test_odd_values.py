@@ -68,6 +68,7 @@ def test_a_guard_reads_a_table_whole(spark, tmp_path, monkeypatch):
     assert same_as_sql(spark, tmp_path, "guard_current_events", events=(rows, EVENTS))
 
 
-def test_report_files_of_more_symbols_than_a_file_counts(spark, tmp_path):
+@pytest.mark.parametrize("name", ["src_report_files", "src_report_archives"])
+def test_report_files_of_more_symbols_than_a_file_counts(spark, tmp_path, name):
     rows = [(k, dt.datetime(2024, 1, 9, 10), k, "error", 1.0, "{}") for k in range(65_540)]
-    assert same_as_sql(spark, tmp_path, "src_report_files", events=(rows, EVENTS))
+    assert same_as_sql(spark, tmp_path, name, events=(rows, EVENTS))
