@@ -460,11 +460,18 @@ def wire_action_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wire.corporate_actions(_action_frames(spark, sf_dir))[1].groupBy("issue_type").agg(F.count("*").alias("issue_count"))
 
 
+def frame_of(number: Column, order: list[str], records: int = 100) -> Column:
+    """Frames of so many rows at most: rows by number, and where several rows have one number, by their order."""
+    block = F.floor(number / records)
+    place = F.row_number().over(Window.partitionBy(block).orderBy(*order)) - 1
+    return (block * 1_000_000 + F.floor(place / records)).alias("frame_id")
+
+
 @query("select case market when 'sz' then 0 when 'sh' then 1 else 2 end as market_code, symbol, 'N ' || (cast(symbol as int) % 7) as name, 9.5::double as pre_close, (cast(symbol as bigint) * 3)::double as volume, (-(cast(symbol as bigint) % 5))::double as consecutive_up from securities")
 def wire_board_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of 100 members with three fields of the bitmap: a float, an unsigned and a signed number."""
     n, market = F.col("symbol").cast("long"), F.col("market")
-    placed = views.securities(spark, sf_dir).select(F.floor(n / 100).alias("frame_id"), F.when(market == "sz", 0).when(market == "sh", 1).otherwise(2).alias("code"), "symbol", F.concat(F.lit("N "), (n % 7).cast("string")).alias("name"), n.alias("n"))
+    placed = views.securities(spark, sf_dir).select(frame_of(n, ["symbol", "market"]), F.when(market == "sz", 0).when(market == "sh", 1).otherwise(2).alias("code"), "symbol", F.concat(F.lit("N "), (n % 7).cast("string")).alias("name"), n.alias("n"))
     bitmap = bytearray(20)
     bitmap[0], bitmap[11] = 0b100001, 0b10000
     head = bytes(bitmap) + b"\0" * 4

@@ -72,3 +72,9 @@ def test_a_guard_reads_a_table_whole(spark, tmp_path, monkeypatch):
 def test_report_files_of_more_symbols_than_a_file_counts(spark, tmp_path, name):
     rows = [(k, dt.datetime(2024, 1, 9, 10), k, "error", 1.0, "{}") for k in range(65_540)]
     assert same_as_sql(spark, tmp_path, name, events=(rows, EVENTS))
+
+
+def test_frames_of_members_whose_keys_share_six_digits(spark, tmp_path):
+    """A thousand keys of eight digits have one symbol, so a block of a hundred symbols is no frame's bound."""
+    customers = [(k, f"Customer#{k:09d}", k % 25, "BUILDING") for k in (*range(40), *range(12_345_600, 12_346_600))]
+    assert same_as_sql(spark, tmp_path, "wire_board_members", customer=(customers, CUSTOMERS))
