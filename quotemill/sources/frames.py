@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quotemill.functions.dates import date_of_number, minute_label, packed_minute, vendor_time
 from quotemill.sources.records import PRICES, vendor_text
-from quotemill.sources.wire import MINUTE_CATEGORIES, FrameError, _numbers, _take, frame_records, trade_nature, vendor_float
+from quotemill.sources.wire import MINUTE_CATEGORIES, RECORDS_HELD, FrameError, _numbers, _take, frame_records, trade_nature, vendor_float
 
 _OHLC = [(p, "<f4") for p in PRICES]
 #: Fixed record layouts, little-endian. The time is a packed date and minute, or a date number in the same four bytes.
@@ -60,11 +60,15 @@ def fixed_records(frames: DataFrame, layout: np.dtype, head: tuple[int, int], fi
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = []
+            found, held = [], 0
             for frame, body in zip(batch["frame_id"], batch["body"], strict=True):
                 r = head_and_records(body, layout, head)
                 columns = {n: [vendor_text(x) for x in r[n].tolist()] if layout[n].kind == "S" else r[n].tolist() if layout[n].shape else r[n].astype(float if layout[n].kind == "f" else np.int64) for n in names}
                 found.append(pd.DataFrame({"frame_id": frame, "record_no": range(len(r))} | columns))
+                held += len(r)
+                if held >= RECORDS_HELD:
+                    yield pd.concat(found, ignore_index=True)
+                    found, held = [], 0
             if found:
                 yield pd.concat(found, ignore_index=True)
 
