@@ -1,7 +1,7 @@
 """Sweeps as a stream with durable state: what the newest attempt of every batch came to, and when another attempt is due.
 
-Outcomes arrive in any order, more than once and over any number of runs of the query. State is one row per (run_id, market,
-batch_no); it lies with the query's checkpoint, so a query that is ended or lost goes on where it was. Timers are of processing time: a
+Outcomes arrive in any order, more than once and over any number of runs of the query. State is kept for each (run_id, market,
+batch_no), that of some thousands of batches in one value; it lies with the query's checkpoint, so a query that is ended or lost goes on where it was. Timers are of processing time: a
 retry is due though no other outcome arrives, and no outcome is ever too late to be read.
 """
 
@@ -12,17 +12,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from quotemill.plans.guards import sweep_status
+from quotemill.plans.guards import FAILURES, RECOVERABLE, sweep_status
 
 KEY = ["run_id", "market", "batch_no"]
 OUTCOMES = "run_id string, market string, batch_no long, attempt int, error string, row_count long"
 #: kind: outcome (the batch's state from now on), late (older than the state, or repeated; changes nothing), retry (attempt is the one now due).
 CHANGES = "run_id string, market string, batch_no long, kind string, attempt int, status string, failure string, recoverable boolean, row_count long"
-CHANGE = Row(*(field.split()[0] for field in CHANGES.split(", ")))
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -43,41 +44,92 @@ class Retries:
         return max(1, full // 2 + full * (zlib.crc32(repr((*key, attempt)).encode()) % 1000) // 2000)
 
 
+#: Batch numbers whose state is one value, so that a call for state serves many batches; and the range of those without a number.
+BATCHES, NO_NUMBER = 4000, -(2**62)
+#: A batch's state. Its failure, by number, says its status and whether another attempt may mend it; due is -1 if none is asked for.
+STATE = np.dtype([("batch_no", "<i8"), ("attempt", "<i4"), ("failure", "u1"), ("row_count", "<i8"), ("due", "<i8"), ("changed", "<i8")])
+KINDS = ("", "transport", *dict.fromkeys(name for _, name in FAILURES))
+STATUSES = np.array(["succeeded" if k == "" else "skipped" if k == "cancelled" else "failed" for k in KINDS], object)
+AGAIN = np.array([k in RECOVERABLE for k in KINDS])
+
+
 class Batches(StatefulProcessor):
-    """Keeps each batch's newest attempt, and one timer while another attempt may mend it."""
+    """Keeps the newest attempt of each batch of a range, and one timer: when the first of the attempts that may mend them is due."""
 
     def __init__(self, retries: Retries) -> None:
         self.retries = retries
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "attempt int, status string, failure string, recoverable boolean, row_count long, due long", self.retries.keep_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.newest.get()
-        attempt, due = (held[0], held[5]) if held else (0, None)
-        taken = None
-        for row in sorted(rows, key=lambda r: (r.attempt, r.status, r.failure, r.row_count)):
-            late = row.attempt <= attempt
-            if not late:
-                attempt, taken = row.attempt, row
-            yield CHANGE(*key, "late" if late else "outcome", row.attempt, row.status, row.failure, row.recoverable, row.row_count)
-        if taken is None:
+        self.newest = handle.getValueState("newest", "packed binary, timer long", self.retries.keep_ms)
+
+    def held(self, now: int) -> tuple[np.ndarray, int | None]:
+        """The batches' state by number, without that which is too old, and the time of the timer."""
+        found = self.newest.get()
+        if not found:
+            return np.empty(0, STATE), None
+        state = np.frombuffer(bytes(found[0]), STATE)
+        return state[state["changed"] > now - self.retries.keep_ms], found[1]
+
+    def keep(self, state: np.ndarray, timer: int | None) -> None:
+        """Stores the state, and moves the timer, if it is another, to the first time due."""
+        due = state["due"][state["due"] >= 0]
+        first = int(due.min()) if len(due) else None
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.newest.update((state.tobytes(), first))
+
+    @staticmethod
+    def changes(key: tuple, kind: np.ndarray | str, batch_no: np.ndarray, attempt: np.ndarray, failure: np.ndarray, row_count: np.ndarray) -> pd.DataFrame:
+        run_id, market, block = key
+        numbers = pd.array([None] * len(batch_no) if block == NO_NUMBER else batch_no, "Int64")
+        ids = {"run_id": pd.array([run_id] * len(batch_no), object), "market": pd.array([market] * len(batch_no), object), "batch_no": numbers}
+        return pd.DataFrame(ids | {"kind": kind, "attempt": attempt, "status": STATUSES[failure], "failure": np.array(KINDS, object)[failure], "recoverable": AGAIN[failure], "row_count": row_count})
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        state, timer = self.held(now)
+        own = pd.concat(list(rows), ignore_index=True)
+        own = own.sort_values(["batch_no", "attempt", "status", "failure", "row_count"], kind="stable")
+        numbers, attempts = own["batch_no"].to_numpy(np.int64), own["attempt"].to_numpy(np.int32)
+        failures = pd.Categorical(own["failure"], categories=KINDS).codes.astype(np.uint8)
+        counts = own["row_count"].to_numpy(np.int64)
+        newest = np.zeros(len(own), np.int64)
+        if len(state):
+            at = np.searchsorted(state["batch_no"], numbers).clip(max=len(state) - 1)
+            newest = np.where(state["batch_no"][at] == numbers, state["attempt"][at], 0)
+        step = np.ones(len(own), bool)  # the first row of a batch's attempt
+        step[1:] = (numbers[1:] != numbers[:-1]) | (attempts[1:] != attempts[:-1])
+        taken = step & (attempts > newest)
+        yield self.changes(key, np.where(taken, "outcome", "late").astype(object), numbers, attempts, failures, counts)
+        if not taken.any():
             return
-        if due is not None:
-            self.handle.deleteTimer(due)
-        again = taken.recoverable and attempt <= self.retries.budget
-        due = timerValues.getCurrentProcessingTimeInMs() + self.retries.delay(key, attempt) if again else None
-        if due is not None:
-            self.handle.registerTimer(due)
-        self.newest.update((attempt, taken.status, taken.failure, taken.recoverable, taken.row_count, due))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        held = self.newest.get()
-        if held is None or held[5] != expiredTimerInfo.getExpiryTimeInMs():
+        places = np.flatnonzero(taken)
+        places = places[np.append(numbers[places][1:] != numbers[places][:-1], True)]  # of a batch's attempts the last
+        new = np.zeros(len(places), STATE)
+        for name, values in (("batch_no", numbers), ("attempt", attempts), ("failure", failures), ("row_count", counts)):
+            new[name] = values[places]
+        new["changed"], new["due"] = now, -1
+        for k in np.flatnonzero(AGAIN[new["failure"]] & (new["attempt"] <= self.retries.budget)):
+            number = None if key[2] == NO_NUMBER else int(new["batch_no"][k])
+            new["due"][k] = now + self.retries.delay((key[0], key[1], number), int(new["attempt"][k]))
+        state = np.concatenate([state[~np.isin(state["batch_no"], new["batch_no"])], new])
+        self.keep(state[np.argsort(state["batch_no"])], timer)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs()
+        state, timer = self.held(now)
+        if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
-        self.newest.update((*held[:5], None))
-        yield CHANGE(*key, "retry", held[0] + 1, held[1], held[2], held[3], held[4])
+        state = state.copy()
+        due = (state["due"] >= 0) & (state["due"] <= now)
+        told = state[due]
+        state["due"][due], state["changed"][due] = -1, now
+        self.keep(state, None)  # a timer goes as it expires
+        yield self.changes(key, "retry", told["batch_no"], told["attempt"] + 1, told["failure"], told["row_count"])
 
 
 def sweep_changes(outcomes: DataFrame, retries: Retries = Retries()) -> DataFrame:
@@ -86,8 +138,10 @@ def sweep_changes(outcomes: DataFrame, retries: Retries = Retries()) -> DataFram
     A null error is none; a null attempt counts as 0, which is late; a null row_count is 0. Null keys are keys.
     """
     plain = outcomes.withColumns({"attempt": F.coalesce("attempt", F.lit(0)), "row_count": F.coalesce("row_count", F.lit(0)).cast("long")})
-    rows = sweep_status(plain).select(*KEY, "attempt", "status", "failure", "recoverable", "row_count")
-    return rows.groupBy(*KEY).transformWithState(statefulProcessor=Batches(retries), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime")
+    number = F.col("batch_no")
+    block = F.coalesce(F.floor(number / BATCHES), F.lit(NO_NUMBER)).alias("block")
+    rows = sweep_status(plain).select("run_id", "market", block, F.coalesce(number, F.lit(0)).alias("batch_no"), "attempt", "status", "failure", "row_count")
+    return rows.groupBy("run_id", "market", "block").transformWithStateInPandas(statefulProcessor=Batches(retries), outputStructType=CHANGES, outputMode="Append", timeMode="ProcessingTime")
 
 
 def sweep_stream(spark: SparkSession, source: str, target: str, checkpoint: str, retries: Retries = Retries(), every: str | None = None) -> StreamingQuery:

@@ -64,6 +64,30 @@ def test_retries_fall_due_without_further_outcomes(spark, tmp_path):
     assert found == {("sh", 1, "outcome", 1, "failed", "transport", 0), ("sh", 1, "retry", 2, "failed", "transport", 0)}
 
 
+def test_many_batches_share_a_value_of_state(spark, tmp_path):
+    ship(spark)
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    numbers = [*range(-100, 4000), None, 2**53 + 1]
+
+    def go_on(rows):
+        land(spark, source, rows)
+        query = sweeps.sweep_stream(spark, source, target, checkpoint, sweeps.Retries(budget=1, base_ms=1))
+        assert query.awaitTermination(60)
+        return sum(o.numRowsTotal for p in query.recentProgress for o in p.stateOperators)
+
+    assert go_on([("r", "sh", n, 1, "reset" if n is None or n % 2 else "", 5) for n in numbers]) < 20
+    go_on([("r", "sh", n, 1, "", 5) for n in (0, 1, None)])  # late, while what failed has fallen due
+    found = changes(spark, target)
+    bad = [n for n in numbers if n is None or n % 2]
+    assert {c[1] for c in found if c[2] == "outcome"} == set(numbers) and {c[1] for c in found if c[2] == "late"} == {0, 1, None}
+    assert {c for c in found if c[2] == "retry"} == {("sh", n, "retry", 2, "failed", "transport", 0) for n in bad}
+    go_on([("r", "sh", n, 2, "", 7) for n in bad])
+    written = spark.read.schema(sweeps.CHANGES).parquet(target)
+    assert sweeps.due_retries(written).count() == 0 and written.count() == len(numbers) + 3 + 2 * len(bad)
+    planned = spark.createDataFrame([("r", len(numbers))], "run_id string, planned long")
+    assert tuple(guards.sweep_run(sweeps.batch_states(written), planned).first()) == ("r", len(numbers), len(numbers), 0, 0, 5 * (len(numbers) - len(bad)) + 7 * len(bad), "completed")
+
+
 def test_delays_double_up_to_their_bound_and_repeat():
     retries = sweeps.Retries(base_ms=200, most_ms=1000)
     for attempt, full in ((1, 200), (2, 400), (3, 800), (4, 1000), (9, 1000)):
